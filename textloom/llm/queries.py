@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contaminated
 from .mixing import mix
 from .quality_model import quality_classifier
 from .quality_rules import quality_rules
 from .secret_scan import digest as secret_digest
 from .secret_scan import secret_scan
+from .simhash import near_duplicates
+from .substrings import substring_digest
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -31,6 +34,10 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,6 +46,14 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(_table(spark, sf_dir, "documents"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
@@ -48,8 +63,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": _op1,
         "op2_secret_scan": _op2,
         "op3_quality_classifier": _op3,
+        "op5_decontamination": _op5,
         "op6_toxicity": _op6,
         "op7_mix_sources": _op7,
+        "op8_near_duplicates": _op8,
+        "op9_substring_dedup": _op9,
         "op10_token_counts": _op10,
     }
 
@@ -85,5 +103,33 @@ FROM running
 """
 
 
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id AS id, true AS is_doc, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT item_id, false, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') FROM benchmark WHERE item_id IS NOT NULL),
+grams AS (
+  SELECT DISTINCT id, is_doc, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT id, is_doc, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+items AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n_item FROM grams WHERE NOT is_doc)
+SELECT d.id AS doc_id, item_id, n_item::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*)::DOUBLE / n_item AS containment
+FROM grams d JOIN items USING (g) WHERE d.is_doc
+GROUP BY d.id, item_id, n_item HAVING 5 * count(*) >= 4 * n_item
+"""
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM windows) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(50) AS t(k)),
+cut AS (SELECT doc_id, list(i) AS cuts FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(coalesce(cuts, []))::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN cuts IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(cuts, i)) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN cut USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": OP7_SQL}
+    return {"op5_decontamination": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_substring_dedup": OP9_SQL}
