@@ -77,5 +77,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the documents that hold no item; rows with a null id stay."""
-    bad = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__held"), "left_anti")
+    held = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("__textloom_held")).distinct()
+    held = C.Scratch(docs.sparkSession).keep(held, "held")
+    few = F.broadcast if held.count() <= BROADCAST_ROWS else lambda df: df
+    return docs.join(few(held), docs[id_col] == F.col("__textloom_held"), "left_anti")

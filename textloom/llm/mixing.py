@@ -16,7 +16,7 @@ rows go together (a null id counts as the empty text); a source of size 0 has ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -29,14 +29,16 @@ HASH_BITS = BITS * LEVELS
 BROADCAST_SOURCES = 100_000
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    narrow = C.id_and_text(docs, id_col, text_col).select("doc_id", "text") if source_col not in docs.columns else docs.select(
-        docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[source_col].cast("string").alias("source")
-    )
-    if source_col not in docs.columns:
-        narrow = narrow.withColumn("source", F.lit(None).cast("string"))
-    return narrow.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
+def _hash(id_column: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(C.WORD)), F.lit(0)).cast("long")
+
+
+def _source(docs: DataFrame, source_col: str) -> Column:
+    return docs[source_col].cast("string") if source_col in docs.columns else F.lit(None).cast("string")
 
 
 def _ranked(sources: DataFrame, scratch: C.Scratch) -> DataFrame:
@@ -74,39 +76,64 @@ def targets(sources: DataFrame, scratch: C.Scratch) -> DataFrame:
     return ranked.select("source", "source_size", F.when(capped, (MOST_PASSES * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
 
 
+def thresholds(sized: DataFrame, scratch: C.Scratch) -> tuple[DataFrame, bool]:
+    """of, source_size, target, passes and below of every source, and whether they are few enough to broadcast.
+
+    ``sized`` has source, size and h of every row. Rows with a hash under ``below`` are taken once more.
+    """
+    sources = scratch.save(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
+    few = sources.count() <= BROADCAST_SOURCES
+    near = F.broadcast if few else lambda df: df
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    state = targets(sources, scratch).withColumn("passes", passes).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
+    state = scratch.save(state.withColumn("below", F.lit(0).cast("long")).withColumn("open", F.col("passes") < MOST_PASSES), "state")
+    for level in range(1, LEVELS + 1):
+        shift, before = HASH_BITS - BITS * level, HASH_BITS - BITS * (level - 1)
+        st = state.filter("open").select(F.col("source").alias("of"), "below", "budget")
+        inside = sized.filter("size > 0").join(near(st), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("h", before) == F.shiftright("below", before)))
+        sums = inside.groupBy("of", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n"), F.first("budget").alias("budget"))
+        upto = F.sum("n").over(Window.partitionBy("of").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+        fits = F.col("upto") <= F.col("budget")
+        edge = sums.withColumn("upto", upto).groupBy("of").agg(
+            F.sum(F.when(fits, F.col("n"))).alias("used"), F.max(F.when(fits, F.col("b"))).alias("last"),
+            F.min(F.when(~fits, F.struct("b", "n"))).alias("cut"),
+        )
+        joined = state.join(edge, F.col("source").eqNullSafe(F.col("of")), "left")
+        left = F.col("budget") - F.coalesce("used", F.lit(0))
+        has_cut = F.col("cut").isNotNull()
+        cut = F.shiftleft(F.col("cut.b"), shift)
+        if level == LEVELS:  # a single hash value: to the nearer side
+            cut = cut + (F.col("cut.n") <= 2 * left).cast("long")
+        below = F.when(has_cut, cut).when(F.col("last").isNotNull(), F.shiftleft(F.col("last") + 1, shift)).otherwise(F.col("below"))
+        state = joined.select("source", "source_size", "target", "passes", left.alias("budget"), below.alias("below"), (F.col("open") & has_cut).alias("open"))
+        state = scratch.keep(state, "thresholds") if level == LEVELS else scratch.save(state, "state")
+    return state.select(F.col("source").alias("of"), "source_size", "target", "passes", "below"), few
+
+
+def _times() -> Column:
+    return F.col("passes") + ((F.col("passes") < MOST_PASSES) & (F.col("h") < F.col("below"))).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken and passes, one row per input row."""
-    spark = docs.sparkSession
-    with C.Scratch(spark) as scratch:
-        sized = scratch.keep(_sized(docs, id_col, text_col, source_col), "sizes")
-        sources = scratch.save(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
-        few = sources.count() <= BROADCAST_SOURCES
-        near = F.broadcast if few else lambda df: df
-        state = targets(sources, scratch)
-        passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-        state = state.withColumn("passes", passes).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
-        state = scratch.save(state.withColumn("below", F.lit(0).cast("long")).withColumn("open", F.col("passes") < MOST_PASSES), "state")
-        for level in range(1, LEVELS + 1):
-            shift, before = HASH_BITS - BITS * level, HASH_BITS - BITS * (level - 1)
-            st = state.filter("open").select(F.col("source").alias("of"), "below", "budget")
-            inside = sized.filter("size > 0").join(near(st), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("h", before) == F.shiftright("below", before)))
-            sums = inside.groupBy("of", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n"), F.first("budget").alias("budget"))
-            upto = F.sum("n").over(Window.partitionBy("of").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-            fits = F.col("upto") <= F.col("budget")
-            edge = sums.withColumn("upto", upto).groupBy("of").agg(
-                F.sum(F.when(fits, F.col("n"))).alias("used"), F.max(F.when(fits, F.col("b"))).alias("last"),
-                F.min(F.when(~fits, F.struct("b", "n"))).alias("cut"),
-            )
-            joined = state.join(edge, F.col("source").eqNullSafe(F.col("of")), "left")
-            left = F.col("budget") - F.coalesce("used", F.lit(0))
-            has_cut = F.col("cut").isNotNull()
-            cut = F.shiftleft(F.col("cut.b"), shift)
-            if level == LEVELS:  # a single hash value: to the nearer side
-                cut = cut + (F.col("cut.n") <= 2 * left).cast("long")
-            below = F.when(has_cut, cut).when(F.col("last").isNotNull(), F.shiftleft(F.col("last") + 1, shift)).otherwise(F.col("below"))
-            state = joined.select("source", "source_size", "target", "passes", left.alias("budget"), below.alias("below"), (F.col("open") & has_cut).alias("open"))
-            state = scratch.keep(state, "thresholds") if level == LEVELS else scratch.save(state, "state")
-        st = state.select(F.col("source").alias("of"), "source_size", "target", "passes", "below")
-        out = sized.join(near(st), F.col("source").eqNullSafe(F.col("of")), "left")
-        times = F.col("passes") + ((F.col("passes") < MOST_PASSES) & (F.col("h") < F.col("below"))).cast("long")
-        return out.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("passes"))
+    with C.Scratch(docs.sparkSession) as scratch:
+        sized = docs.select(docs[id_col].alias("doc_id"), _source(docs, source_col).alias("source"), _size(docs[text_col]).alias("size"), _hash(docs[id_col]).alias("h"))
+        sized = scratch.keep(sized, "sizes")
+        state, few = thresholds(sized, scratch)
+    out = sized.join(F.broadcast(state) if few else state, F.col("source").eqNullSafe(F.col("of")), "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", (_times() * F.col("size")).alias("taken"), _times().alias("passes"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """All columns of the documents that the mix takes, with mix_passes (times taken) and mix_taken (words taken).
+
+    Columns of these two names that the input has already are replaced.
+    """
+    with C.Scratch(docs.sparkSession) as scratch:
+        sized = scratch.save(docs.select(_source(docs, source_col).alias("source"), _size(docs[text_col]).alias("size"), _hash(docs[id_col]).alias("h")), "sizes")
+        state, few = thresholds(sized, scratch)
+    row, of = F.struct("*").alias("row"), _source(docs, source_col).alias("from")
+    own = docs.select(row, of, _hash(docs[id_col]).alias("h"), _size(docs[text_col]).alias("size"))
+    out = own.join(F.broadcast(state) if few else state, F.col("from").eqNullSafe(F.col("of")), "left").filter(_times() > 0)
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_passes", "mix_taken")]
+    return out.select(*kept, _times().alias("mix_passes"), (_times() * F.col("size")).alias("mix_taken"))

@@ -100,19 +100,56 @@ def _distances(feats: DataFrame, references: list[tuple[np.ndarray, np.ndarray]]
     return feats.mapInArrow(run, out)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """doc_id, base counts, base_failed, both distances (null without a reference) and kept, one row per input row."""
-    scratch = C.Scratch(docs.sparkSession)
-    feats = scratch.keep(features(docs, id_col, text_col, lang_col), "quality")
+def _learned(feats: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The references, estimated twice from the features of all documents."""
     known = feats.filter(F.col("lang").isin(_LANGS) & ~base_failed() & (F.col("n_words") >= TRIM_WORDS))
     references = _references(known)
     if references:
         near = _distances(known, references, ("lang", "chars", "common")).filter(F.col("char_distance") <= TRIM)
         references = _references(near) or references
-    out = _distances(feats, references, ("doc_id", *_COUNTS)) if references else feats.select("doc_id", *_COUNTS, *(F.lit(None).cast("double").alias(c) for c in ("char_distance", "word_distance")))
+    return references
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """doc_id, base counts, base_failed, both distances (null without a reference) and kept, one row per input row."""
+    scratch = C.Scratch(docs.sparkSession)
+    feats = scratch.keep(features(docs, id_col, text_col, lang_col), "quality")
+    return _judged(feats, _learned(feats))
+
+
+def _judged(feats: DataFrame, references: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    nothing = (F.lit(None).cast("double").alias(c) for c in ("char_distance", "word_distance"))
+    out = _distances(feats, references, ("doc_id", *_COUNTS)) if references else feats.select("doc_id", *_COUNTS, *nothing)
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     far = F.lit(False)
     for name, (at, slope) in (("char_distance", CHAR_LIMIT), ("word_distance", WORD_LIMIT)):
         far = far | (F.col(name) > F.lit(at) + F.lit(slope) / root)
     judged = (F.col("n_words") >= MIN_WORDS) & F.coalesce(far, F.lit(False))
     return out.select("doc_id", *_COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~judged).alias("kept"), "char_distance", "word_distance")
+
+
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """All columns of the rows that :func:`quality_rules` keeps.
+
+    The rows are judged where they are read, once the references are known, so texts aren't shuffled.
+    """
+    with C.Scratch(docs.sparkSession) as scratch:
+        references = _learned(scratch.save(features(docs, id_col, text_col, lang_col), "quality"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in C.arrow_steps(batches):
+            found = [profile(t or b"") for t in part.column(text_col).cast(pa.binary()).to_pylist()]
+            n, repeats = (np.array([p[c] for p in found], dtype=np.int64) for c in ("n_words", "n_repeat_words"))
+            chars = np.array([p["chars"] for p in found], dtype=float).reshape(len(found), -1)
+            words = np.array([[*p["common"], p["n_plain"] - sum(p["common"])] for p in found], dtype=float).reshape(len(found), -1)
+            best = np.full((len(found), 2), np.inf)
+            for a, b in references if len(found) else ():
+                got = np.stack([_distance(chars, a), _distance(words, b)], 1)
+                nearer = got.sum(1) < best.sum(1)
+                best[nearer] = got[nearer]
+            limits = [at + slope / np.sqrt(np.maximum(n, 1)) for at, slope in (CHAR_LIMIT, WORD_LIMIT)]
+            far = ((best[:, 0] > limits[0]) | (best[:, 1] > limits[1])) & (n >= MIN_WORDS) & bool(references)
+            failed = (n < MIN_BASE_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
+            yield part.filter(pa.array(~failed & ~far))
+
+    return docs.mapInArrow(run, docs.schema)

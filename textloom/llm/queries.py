@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contaminated
 from .mixing import mix
+from .pii import digest as pii_digest
+from .pii import personal_data
 from .quality_model import quality_classifier
 from .quality_rules import quality_rules
 from .secret_scan import digest as secret_digest
@@ -34,6 +36,10 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(personal_data(_table(spark, sf_dir, "documents")))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": _op1,
         "op2_secret_scan": _op2,
         "op3_quality_classifier": _op3,
+        "op4_personal_data": _op4,
         "op5_decontamination": _op5,
         "op6_toxicity": _op6,
         "op7_mix_sources": _op7,

@@ -164,6 +164,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows with a null id can't be named and stay; of rows that share an id, one stays.
     """
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__textloom_kept")).distinct()
+    named = docs.join(kept, docs[id_col] == F.col("__textloom_kept"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.filter(docs[id_col].isNull()))
