@@ -11,7 +11,7 @@ from textloom.functions import scores, segments, text, tokens, urls
 from textloom.functions.html import page_parts
 from textloom.operators import predict, requests, views
 from textloom.operators.classify import hashed_logits
-from textloom.sources.tables import read_table, requests_of
+from textloom.sources.tables import read_table, requests_of, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -100,7 +100,7 @@ def _sql_predicted(mode: str, rest: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def dirty(c: Column) -> Column:
@@ -214,13 +214,13 @@ def join_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read_table(spark, sf_dir, "pages").select("page_id", page_parts(F.col("html")).alias("p"))
+    parts = spread(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", page_parts(F.col("html")).alias("p"))
     return parts.select("page_id", F.posexplode("p.blocks").alias("block_index", "text"))
 
 
 @_query()
 def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read_table(spark, sf_dir, "pages").select("page_id", page_parts(F.col("html")).alias("p"))
+    parts = spread(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", page_parts(F.col("html")).alias("p"))
     return parts.select("page_id", F.posexplode("p.lines").alias("line_index", "text"))
 
 

@@ -13,6 +13,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Tables up to this many bytes are dealt out to all cores: their files often have a single row group, which one task reads.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores if the table is small; larger ones are split well enough by their files and aren't shuffled."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if int(str(size)) <= SPREAD_BYTES and cores > 1 else df
+
+
 def read_requests(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """Requests as Parquet or as one JSON object a line; the schema is declared, not inferred."""
     return spark.read.schema(REQUESTS).format(form).load(path)
