@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+#: What is thought of a labeler before any vote, as so many votes of each class: one for rather goes with the class, one against doesn't.
+PRIOR_VOTES, LEAN = 20, ({-1: 0.1, 1: 0.9}, {-1: 0.9, 1: 0.1})
 KEEP, EM_STEPS, FIT_STEPS, RATE, BLOCK, CONTEXT = 0.5, 40, 400, 0.5, 256, 30
 
 # Kinds in report order with pattern and a cheap test that a text can hold one.
@@ -44,6 +46,8 @@ MORE = {
     "local_phone": (r"(?<![0-9]|\+[0-9]{1,3}[\x20.-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", None),
 }
 KINDS = BASE | MORE
+#: Kinds whose form is sure: a match that fails it is none.
+DECIDED = (*BASE, "iban", "ssn")
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 LABELERS = ("form", "gazetteer", "context", "doubt", "edges")
 
@@ -114,7 +118,7 @@ def _bank_check(value: Column) -> Column:
 
 
 def _form(kind: str, value: Column) -> Column:
-    """The test of a match; that of a base kind decides whether it is a span at all."""
+    """The test of a match; for the kinds in ``DECIDED`` it decides whether there is a span at all."""
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
@@ -168,7 +172,7 @@ def _candidates(kind: str, text: Column) -> Column:
         )
 
     found = F.transform(_located(text, pattern), told)
-    if kind in BASE:
+    if kind in DECIDED:
         found = F.filter(found, lambda s: s["form"] > 0)
     return F.when(F.contains(text, F.lit(needs)), found) if needs else found
 
@@ -187,23 +191,23 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def reliabilities(counts: list[tuple[str, tuple[int, ...], int]]) -> list[float]:
-    """Posterior of each vote pattern: EM for two classes, votes independent given the class, a prior for each kind."""
+    """Posterior of each vote pattern: EM for two classes, votes independent given the class, a prior for each kind.
+
+    A labeler that abstains (0) says nothing.
+    """
     kinds = sorted({k for k, _, _ in counts})
     post = [1 / (1 + math.exp(-1.5 * sum(v))) for _, v, _ in counts]
     for _ in range(EM_STEPS):
-        mass = [sum(n * p for (_, _, n), p in zip(counts, post, strict=True)), sum(n * (1 - p) for (_, _, n), p in zip(counts, post, strict=True))]
-        seen = [[{x: 0.0 for x in (-1, 0, 1)} for _ in LABELERS] for _ in range(2)]
+        seen = [[dict.fromkeys((-1, 0, 1), 0.0) for _ in LABELERS] for _ in range(2)]
         prior = {k: [1.0, 1.0] for k in kinds}
         for (k, v, n), p in zip(counts, post, strict=True):
             for c, w in enumerate((n * p, n * (1 - p))):
                 prior[k][c] += w
                 for j, x in enumerate(v):
                     seen[c][j][x] += w
-        # Smoothing leans on the sense of a vote: one for rather goes with the class, one against doesn't.
-        lean = ({-1: 0.5, 0: 1.0, 1: 1.5}, {-1: 1.5, 0: 1.0, 1: 0.5})
-        rate = [[{x: (seen[c][j][x] + lean[c][x]) / (mass[c] + 3) for x in (-1, 0, 1)} for j in range(len(LABELERS))] for c in range(2)]
+        rate = [[{x: (s[x] + PRIOR_VOTES * LEAN[c][x]) / (s[-1] + s[1] + PRIOR_VOTES) for x in (-1, 1)} for s in seen[c]] for c in range(2)]
         for i, (k, v, _) in enumerate(counts):
-            odds = math.log(prior[k][0] / prior[k][1]) + sum(math.log(rate[0][j][x] / rate[1][j][x]) for j, x in enumerate(v))
+            odds = math.log(prior[k][0] / prior[k][1]) + sum(math.log(rate[0][j][x] / rate[1][j][x]) for j, x in enumerate(v) if x)
             post[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return post
 

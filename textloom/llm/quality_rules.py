@@ -27,8 +27,8 @@ from .textstats import CHAR_CLASSES, COMMON, COMMON_WORDS, profile
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_WORDS = 20
 CHAR_LIMIT, WORD_LIMIT = (0.06, 1.2), (0.06, 2.5)
-#: A document takes part in the second estimate if its distance to the first is at most this.
-TRIM, TRIM_WORDS = 0.13, 50
+#: Documents of at least so many words take part in a reference; in the second estimate, this share of them, nearest to the first.
+TRIM_WORDS, TRIM_SHARE = 50, 0.7
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _LANGS = list(COMMON_WORDS)
@@ -105,8 +105,9 @@ def _learned(feats: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     known = feats.filter(F.col("lang").isin(_LANGS) & ~base_failed() & (F.col("n_words") >= TRIM_WORDS))
     references = _references(known)
     if references:
-        near = _distances(known, references, ("lang", "chars", "common")).filter(F.col("char_distance") <= TRIM)
-        references = _references(near) or references
+        near = _distances(known, references, ("lang", "chars", "common"))
+        limit = near.agg(F.percentile_approx("char_distance", TRIM_SHARE, 1000)).first()[0]
+        references = _references(near.filter(F.col("char_distance") <= limit)) or references
     return references
 
 
