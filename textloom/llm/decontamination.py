@@ -1,6 +1,6 @@
 """Operator 5, benchmark decontamination: size-partitioned MinHash containment search.
 
-Items and documents are sets of five-word shingles, A-Z in lower case. Items fall into partitions by
+Items and documents are sets of five-word shingles in lower case. Items fall into partitions by
 size, a power of two each. The signature of an item is the set of its least shingle hashes
 (bottom-k MinHash); k is set for its partition's upper size so that an item of which at least
 ``THRESHOLD`` lies in a document shares a signature hash with it for certain: of n shingles at most

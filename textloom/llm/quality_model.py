@@ -87,7 +87,9 @@ def _mapped(df: DataFrame, made, out: pa.Schema, keep: tuple[str, ...]) -> DataF
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> dict:
     few = training_sample(docs, labels, label, FOLDS, HELD_OUT, SAMPLE, id_col, text_col).select("doc_id", "text", "label")
     out = C.arrow_schema(C.id_type(few, "doc_id"), label=pa.int32(), x=pa.list_(pa.float64()))
-    rows = sorted(_mapped(few, lambda x: pa.array(x.tolist(), type=pa.list_(pa.float64())), out, ("doc_id", "label")).collect(), key=lambda r: (r.doc_id, r.label, r.x))
+    each = _mapped(few, lambda x: pa.array(x.tolist(), type=pa.list_(pa.float64())), out, ("doc_id", "label"))
+    # One row for each id and label, however many documents share the id: what is collected is bounded.
+    rows = sorted(each.groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect(), key=lambda r: (r.doc_id, r.label))
     return fit(np.array([r.x for r in rows]).reshape(-1, N_FEATURES), np.array([r.label for r in rows]))
 
 
