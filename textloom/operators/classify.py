@@ -7,18 +7,21 @@ the whole dataflow gives exact results without the model's weights, which aren't
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.scores import argmax, label_of, probability_map, rounded, softmax
 from textloom.functions.text import words
 from textloom.functions.tokens import MAX_LENGTH, PAD_ID
 
+log = logging.getLogger("textloom")
+
 LOGITS = ("z0", "z1", "z2")
 #: Files that a model folder must have.
 MODEL_FILES = ("config.json", "model.onnx", "tokenizer.json")
@@ -119,6 +122,14 @@ def result_of(text: Column, index: Column, z: Column) -> Column:
     return F.get(F.transform(F.array(z), build), 0)
 
 
+def warm(spark: SparkSession, scorer: Scorer) -> None:
+    """Loads the scorer in the Python workers ahead of the first query: one short text for each core."""
+    cores = spark.sparkContext.defaultParallelism
+    texts = spark.range(0, cores, 1, cores).select(F.lit("warm").alias("text"))
+    n = scorer.logits(texts, "text").agg(F.count("z0")).first()[0]
+    log.info("scorer ready on %d cores", n)
+
+
 def scored(segments: DataFrame, scorer: Scorer | None = None, text_col: str = "text") -> DataFrame:
     """Adds label, label_id, p_left, p_right, p_center: rounded probabilities, and the argmax of the unrounded logits."""
     kept = segments.columns

@@ -34,8 +34,13 @@ def requests_of(df: DataFrame, id_col: str, text_col: str, mode: str = "article"
     return df.select(F.col(id_col).alias("request_id"), F.col(text_col).alias("input"), F.lit(mode).alias("mode"))
 
 
-def write_predictions(predictions: DataFrame, path: str, form: str = "parquet") -> None:
-    predictions.write.format(form).save(path)
+def ordered(predictions: DataFrame) -> DataFrame:
+    """In document order: a range sort, for a sink that is read from front to back; nothing before it needs order."""
+    return predictions.orderBy("request_id", "segment_index")
+
+
+def write_predictions(predictions: DataFrame, path: str, form: str = "parquet", in_order: bool = False) -> None:
+    (ordered(predictions) if in_order else predictions).write.format(form).save(path)
 
 
 def write_responses(responses: DataFrame, path: str) -> None:
