@@ -42,13 +42,18 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def row(text: bytes, lang: str | None) -> tuple:
         p = profile(text)
-        return (lang, *(p[c] for c in _COUNTS), p["chars"].tolist(), [*p["common"], p["n_plain"] - sum(p["common"])])
+        return (lang, *(p[c] for c in _COUNTS), p["chars"].tolist(), _with_rest(p))
 
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     narrow = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), lang.alias("lang"))
     return narrow.mapInArrow(C.map_rows(row, schema, ("lang",), as_bytes=True), C.spark_schema(schema))
 
 
+def _with_rest(p: dict) -> list[int]:
+    """Counts of the common words, and of all other words."""
+    return [*p["common"], p["n_plain"] - sum(p["common"])]
+
+
 def base_failed() -> F.Column:
     return (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
@@ -63,6 +68,17 @@ def _distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum(bits / 2, 0)), 1.0)
 
 
+def _nearest(chars: list, words: list, references: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Both distances of each row to the reference with the least sum of them; infinite without a reference."""
+    best = np.full((len(chars), 2), np.inf)
+    a, b = (np.array(x, dtype=float).reshape(len(chars), -1) for x in (chars, words))
+    for char_sums, word_sums in references if len(chars) else ():
+        got = np.stack([_distance(a, char_sums), _distance(b, word_sums)], 1)
+        nearer = got.sum(1) < best.sum(1)
+        best[nearer] = got[nearer]
+    return best
+
+
 def _references(feats: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sums by language: at most as many rows as there are languages with a word list."""
     parts = []
@@ -88,12 +104,7 @@ def _distances(feats: DataFrame, references: list[tuple[np.ndarray, np.ndarray]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            best = np.full((part.num_rows, 2), np.inf)
-            chars, words = (np.array(part.column(c).to_pylist(), dtype=float).reshape(part.num_rows, -1) for c in ("chars", "common"))
-            for a, b in references if part.num_rows else ():
-                got = np.stack([_distance(chars, a), _distance(words, b)], 1)
-                nearer = got.sum(1) < best.sum(1)
-                best[nearer] = got[nearer]
+            best = _nearest(part.column("chars").to_pylist(), part.column("common").to_pylist(), references)
             columns = [part.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(best[:, 0]), pa.array(best[:, 1])], schema=schema)
 
@@ -141,13 +152,7 @@ def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for part in C.arrow_steps(batches):
             found = [profile(t or b"") for t in part.column(text_col).cast(pa.binary()).to_pylist()]
             n, repeats = (np.array([p[c] for p in found], dtype=np.int64) for c in ("n_words", "n_repeat_words"))
-            chars = np.array([p["chars"] for p in found], dtype=float).reshape(len(found), -1)
-            words = np.array([[*p["common"], p["n_plain"] - sum(p["common"])] for p in found], dtype=float).reshape(len(found), -1)
-            best = np.full((len(found), 2), np.inf)
-            for a, b in references if len(found) else ():
-                got = np.stack([_distance(chars, a), _distance(words, b)], 1)
-                nearer = got.sum(1) < best.sum(1)
-                best[nearer] = got[nearer]
+            best = _nearest([p["chars"] for p in found], [_with_rest(p) for p in found], references)
             limits = [at + slope / np.sqrt(np.maximum(n, 1)) for at, slope in (CHAR_LIMIT, WORD_LIMIT)]
             far = ((best[:, 0] > limits[0]) | (best[:, 1] > limits[1])) & (n >= MIN_WORDS) & bool(references)
             failed = (n < MIN_BASE_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
