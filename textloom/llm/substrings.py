@@ -1,26 +1,28 @@
 """Operator 9, substring dedup with prefix-partitioned suffix trees.
 
-The suffixes of all documents are split by prefixes of growing length, and a prefix is only made
-longer where that can still lead to a node of ``WINDOW`` words:
+Copies of a whole text are one leaf: their least document stands for them, and the others, all of
+whose windows start in it too, lose every word (if they have ``WINDOW`` words). The suffixes of the
+distinct texts are split by prefixes of growing length, and a prefix is only made longer where that
+can still lead to a node of ``WINDOW`` words:
 
 1. Prefixes of ``PREFIX`` words, at positions picked by content: the least prefix hash of every
    ``WINDOW - PREFIX + 1`` neighbours. Equal windows pick equal positions, so a window that occurs in two
-   documents holds a prefix that was picked in both. Prefixes of one document lead nowhere and end here.
+   texts holds a prefix that was picked in both. Prefixes of one text lead nowhere and end here.
 2. Suffixes of ``WINDOW`` words that hold a prefix left over from 1. Those that share all
    ``WINDOW`` words hang below one internal node of that depth, the repeat; its least document keeps
    the words, in all others the words that the node covers are marked.
 3. Marked words are cut from their documents.
 
 Nodes stand for their subtree by a fingerprint (64 bits at the first depth, 96 at the second) and are
-formed by sorting, so memory doesn't depend on how many suffixes share a prefix. Each task first
+formed by sorting, and a text by 96 bits and its length, so memory doesn't depend on how many suffixes share a prefix. Each task first
 settles what it can decide alone: in a buffer of ``BUFFER`` suffixes all but the least document of a
 node are settled, and only that document's suffixes travel. So a passage that very many documents
 share sends a few rows a task. Tasks read their rows in a fixed order, so that a task that runs
 again after a loss settles the same rows.
 
 Defined results: a null or empty text has no words; texts under ``WINDOW`` words keep all; ids are
-compared as integers, a null id has no smaller one and is none, so its row stays whole; rows that share an id
-don't remove each other's words; repeats within one document stay.
+compared as integers, a null id has no smaller one and is none, so its row stays whole; an id names
+one text, and rows that repeat it don't remove each other's words; repeats within one document stay.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from . import common as C
 
 WINDOW, PREFIX = 50, 25
 BUFFER = 500_000
+ALL = 2**31 - 1
 _ODD = np.random.default_rng(9).integers(0, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _INVERSE = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _ODD]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -108,46 +111,42 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(n), 0))
 
 
-def _rows(part: pa.RecordBatch) -> Iterator[tuple[int, bytes, list | None]]:
-    ids, texts = part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()
-    more = part.column("at").to_pylist() if "at" in part.schema.names else [None] * len(ids)
-    return zip(ids, texts, more, strict=True)
+def _texts(part: pa.RecordBatch) -> list[bytes | None]:
+    return part.column("text").cast(pa.binary()).to_pylist()
 
 
-_PREFIXES = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
+_PREFIXES = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1 in a task: picked prefixes. ``known`` marks those that two documents of this task share.
+    """Step 1 in a task: picked prefixes. ``known`` marks those that two texts of this task share.
 
-    Of these only one travels by its hash, for the other tasks; the rest is dealt by document.
+    Of these only one travels by its hash, for the other tasks; the rest is dealt by text.
     """
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def settle() -> pa.RecordBatch:
-        h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((pos, doc, h))
-        h, doc, pos = h[order].view(np.int64), doc[order], pos[order]
+        h, key, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((pos, key, h))
+        h, key, pos = h[order].view(np.int64), key[order], pos[order]
+        once = np.ones(len(h), dtype=bool)  # copies of a text say the same
+        once[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
+        h, key, pos = h[once], key[once], pos[once]
         first = _runs(h)
-        last = np.append(first[1:] != first[:-1], True)  # last row of its run
-        ends = np.flatnonzero(last)
-        shared_run = doc[first[ends]] != doc[ends]
-        known = np.repeat(shared_run, np.diff(np.append(-1, ends)))
-        speaks = first == np.arange(len(h))
-        k = np.where(known & ~speaks, doc, h)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.where(known & ~speaks, 0, h)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(known)], schema=_PREFIXES)
+        ends = np.flatnonzero(np.append(first[1:] != first[:-1], True))
+        known = np.repeat(key[first[ends]] != key[ends], np.diff(np.append(-1, ends)))
+        aside = known & (first != np.arange(len(h)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(aside, key, h), np.where(aside, 0, h), key, pos.astype(np.int32), known)], schema=_PREFIXES)
 
     for batch in C.arrow_steps(batches):
-        for doc, text, _ in _rows(batch):
-            if doc is None or not text:
-                continue
-            words = text.split()
+        for key, text in zip(batch.column("key").to_pylist(), _texts(batch), strict=True):
+            words = (text or b"").split()
             if len(words) < WINDOW:
                 continue
             h = rolling(word_ids(words), PREFIX, 0)
             pos = picked(h)
-            held.append((h[pos], np.full(len(pos), doc, dtype=np.int64), pos))
+            held.append((h[pos], np.full(len(pos), key, dtype=np.int64), pos))
             size += len(pos)
             if size >= BUFFER:
                 yield settle()
@@ -157,33 +156,34 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1 over all tasks: rows sorted by hash and document; gives doc_id and pos of prefixes in two documents.
+    """Step 1 over all tasks: rows sorted by hash and text; gives key and pos of prefixes in two texts.
 
-    A run waits as long as it has one document, so what waits is from one document.
+    A run waits as long as it has one text, so what waits is from one text.
     """
-    out = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32())])
+    out = pa.schema([("key", pa.int64()), ("pos", pa.int32())])
     wait = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)]
     open_hash = None  # of a run that goes on and is known to be shared
     for part in batches:
-        h, doc, pos, known = (part.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc_id", "pos", "known"))
-        h, doc, pos = (np.concatenate(x) for x in zip(wait, (h, doc, pos), strict=True))
+        h, key, pos, known = (part.column(c).to_numpy(zero_copy_only=False) for c in ("h", "key", "pos", "known"))
+        h, key, pos = (np.concatenate(x) for x in zip(wait, (h, key, pos), strict=True))
         known = np.concatenate([np.zeros(len(h) - len(known), dtype=bool), known])
         if not len(h):
             continue
         first = _runs(h)
         ends = np.flatnonzero(np.append(first[1:] != first[:-1], True))
         starts = first[ends]
-        shared = (doc[starts] != doc[ends]) | np.logical_or.reduceat(known, starts)
+        shared = (key[starts] != key[ends]) | np.logical_or.reduceat(known, starts)
         if open_hash is not None and h[0] == open_hash:
             shared[0] = True
         keep = np.repeat(shared, ends - starts + 1)
         open_hash = h[-1] if shared[-1] else None
         rest = slice(len(h) if shared[-1] else starts[-1], len(h))
-        wait = [h[rest], doc[rest], pos[rest]]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], schema=out)
+        wait = [h[rest], key[rest], pos[rest]]
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(pos[keep])], schema=out)
 
 
-_WINDOWS = pa.schema([("k", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("settled", pa.bool_())])
+#: place is the start of an open window, or start and stop (from bit 32 on) of a settled run of words.
+_WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
 
 def _merged(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,14 +209,13 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_doc, cut_start, cut_stop = _merged(doc[later], start[later])
         left, n = ~later, len(cut_doc)
         columns = (
-            np.concatenate([h1[left], cut_doc]), np.concatenate([h1[left], np.zeros(n, dtype=np.int64)]), np.concatenate([h2[left], np.zeros(n, dtype=np.int32)]),
-            np.concatenate([doc[left], cut_doc]), np.concatenate([start[left], cut_start]).astype(np.int32),
-            np.concatenate([start[left] + WINDOW, cut_stop]).astype(np.int32), np.repeat([False, True], [left.sum(), n]),
+            np.concatenate([h1[left], cut_doc]), np.concatenate([h2[left], np.zeros(n, dtype=np.int32)]),
+            np.concatenate([doc[left], cut_doc]), np.concatenate([start[left], cut_start | cut_stop << 32]),
         )
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_WINDOWS)
 
     for batch in C.arrow_steps(batches):
-        for doc, text, at in _rows(batch):
+        for doc, text, at in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("at").to_pylist(), strict=True):
             words = (text or b"").split()
             n = len(words) - WINDOW + 1
             if n < 1:
@@ -224,7 +223,6 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = word_ids(words)
             mark = np.zeros(n + 1, dtype=np.int64)
             at = np.array(at, dtype=np.int64)
-            at = at[at <= len(words) - PREFIX]  # rows that share an id share the list
             np.add.at(mark, np.clip(at - (WINDOW - PREFIX), 0, n), 1)
             np.add.at(mark, np.clip(at + 1, 0, n), -1)
             start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
@@ -245,11 +243,12 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
     node, least = None, 0
     for part in batches:
-        h1, h2, doc, start, stop, settled = (part.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "doc_id", "start", "stop", "settled"))
+        h1, h2, doc, place = (part.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "doc_id", "place"))
         if not len(h1):
             continue
-        done, go = settled.astype(bool), ~settled.astype(bool)
-        a, b, d, s = h1[go], h2[go], doc[go], start[go].astype(np.int64)
+        start, stop = place & 0xFFFFFFFF, place >> 32
+        done, go = stop > 0, stop == 0
+        a, b, d, s = h1[go], h2[go], doc[go], start[go]
         first = _runs(a, b)
         lead = d[first]
         if len(a):
@@ -263,16 +262,27 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and at, an array of struct(start, stop): the words to remove of each document that has some; runs may overlap."""
-    texts = C.id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    prefixes = texts.mapInArrow(_prefix_rows, C.spark_schema(_PREFIXES))
-    prefixes = prefixes.repartition("k").sortWithinPartitions("h", "doc_id", "pos").select("h", "doc_id", "pos", "known")
-    shared = prefixes.mapInArrow(_shared_prefixes, "doc_id long, pos int").groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    found = texts.join(shared.hint("merge"), F.col("doc_id") == F.col("of")).select("doc_id", "text", "at")
+    """doc_id and at, an array of struct(start, stop): the words to remove of each document that has some.
+
+    Runs may overlap; the run to ``ALL`` stands for the whole of a copy.
+    """
+    texts = C.id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("key", F.xxhash64("text"))
+    ids = texts.select("doc_id", "key", F.hash("text").alias("more"), F.length("text").alias("n"))
+    least = ids.groupBy("key", "more", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    copied = least.filter("most > least").select(*(F.col(c).alias(f"of_{c}") for c in ("key", "more", "n")), "least")
+    same = F.col("key").eqNullSafe(F.col("of_key")) & (F.col("more") == F.col("of_more")) & (F.col("n") == F.col("of_n"))
+    copies = ids.join(copied, same).filter("doc_id > least").select("doc_id", F.lit(0).alias("start"), F.lit(ALL).alias("stop")).distinct()
+
+    prefixes = texts.select("text", "key").mapInArrow(_prefix_rows, C.spark_schema(_PREFIXES))
+    prefixes = prefixes.repartition("k").sortWithinPartitions("h", "key", "pos").select("h", "key", "pos", "known")
+    shared = prefixes.mapInArrow(_shared_prefixes, "key long, pos int").groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    wanted = shared.join(least.select("key", "least"), "key").select(F.col("least").alias("of"), F.col("key").alias("of_key"), "at")
+    found = texts.join(wanted.hint("merge"), (F.col("doc_id") == F.col("of")) & (F.col("key") == F.col("of_key"))).select("doc_id", "text", "at")
     windows = found.sortWithinPartitions("doc_id").mapInArrow(_window_rows, C.spark_schema(_WINDOWS))
-    windows = windows.repartition("k").sortWithinPartitions("h1", "h2", "doc_id", "start").drop("k")
+    windows = windows.repartition("h1").sortWithinPartitions("h1", "h2", "doc_id", "place")
     runs = windows.mapInArrow(_cuts, "doc_id long, start int, stop int")
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("at"))
+    return runs.unionAll(copies).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("at"))
 
 
 def kept_words(words: list[bytes], at: list[dict] | None) -> list[bytes]:
@@ -280,6 +290,8 @@ def kept_words(words: list[bytes], at: list[dict] | None) -> list[bytes]:
         return words
     gone = np.zeros(len(words) + 1, dtype=np.int64)
     for run in at:
+        if run["stop"] == ALL and len(words) >= WINDOW:
+            return []
         if run["stop"] <= len(words):
             gone[run["start"]] += 1
             gone[run["stop"]] -= 1
