@@ -493,11 +493,11 @@ def ext_conversation_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.predictions(turns).select("request_id", "label", "p_left", "p_right", "p_center")
 
 
-@_query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, sum(value::DECIMAL(18, 6))::DOUBLE AS total FROM events GROUP BY ALL")
+@_query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, sum(value::DECIMAL(18, 6))::DOUBLE AS total FROM events GROUP BY ALL")
 def ext_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.streaming.predict import event_counts
 
-    return event_counts(read_table(spark, sf_dir, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
+    return event_counts(read_table(spark, sf_dir, "events")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
 def queries() -> dict[str, Query]:
