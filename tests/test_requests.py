@@ -31,6 +31,7 @@ PAGES = {
     "H10": (f"<p>{W}&amp;&nbsp;x</p>", [f"{W}&\xa0x"]),
     "unclosed": (f"<p>{W}</p><aside><p>gone {W}", [W]),
     "script": (f"<p>{W}</p><script>var a = '<p>{W} {W}</p>';</script>", [W]),
+    "template": (f"<p>{W}<template><b>x</b> y</template> z</p>", [f"{W} z"]),
     "null": (None, None),
     "empty": ("", None),
 }

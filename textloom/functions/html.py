@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 DROPPED = frozenset("script style noscript header footer nav aside".split())
 BLOCKS = frozenset({"p", "article"})
 VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr basefont bgsound command frame image isindex nextid spacer".split())
-#: Their own text isn't text of the page.
+#: Text anywhere in them isn't text of the page.
 SILENT = frozenset({"template", "rt", "rp"})
 
 
@@ -28,7 +28,7 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int]] = []  # tag and block number or -1
         self.depth: dict[str, int] = {}
-        self.dropped = 0
+        self.dropped = self.silent = 0
         self.pieces: list[str] = []
         self.blocks: list[list[int]] = []
         self.run: list[str] = []
@@ -37,7 +37,7 @@ class _Page(HTMLParser):
         if self.run:
             text = "".join(self.run).strip()
             self.run = []
-            if text and not self.dropped and not (self.open and self.open[-1][0] in SILENT):
+            if text and not self.dropped and not self.silent:
                 self.pieces.append(text)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -46,6 +46,7 @@ class _Page(HTMLParser):
             return
         block = -1
         self.dropped += tag in DROPPED
+        self.silent += tag in SILENT
         if tag in BLOCKS and not self.dropped:
             block = len(self.blocks)
             self.blocks.append([len(self.pieces), -1])
@@ -60,6 +61,7 @@ class _Page(HTMLParser):
         tag, block = self.open.pop()
         self.depth[tag] -= 1
         self.dropped -= tag in DROPPED
+        self.silent -= tag in SILENT
         if block >= 0:
             self.blocks[block][1] = len(self.pieces)
         return tag
