@@ -182,18 +182,21 @@ def _shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(pos[keep])], schema=out)
 
 
-#: place is the start of an open window, or start and stop (from bit 32 on) of a settled run of words.
+#: place is the start and, from bit 32 on, the stop of a run of words; negative if the run is settled.
+#: An open run stands for all windows of one node in one document that touch, so a line repeated many times is one row.
 _WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
 
-def _merged(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of words that windows at these places cover, by document."""
+def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same words in runs that don't touch, by document."""
+    if not len(doc):
+        return doc, start, stop
     order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + WINDOW)
-    at = np.flatnonzero(new)
-    return doc[at], start[at], (start[np.append(at[1:], len(doc)) - 1] + WINDOW) if len(doc) else start
+    doc, start, stop = doc[order], start[order], stop[order]
+    apart = np.cumsum(np.append(False, doc[1:] != doc[:-1])) << 33
+    reach = np.maximum.accumulate(stop + apart)
+    at = np.flatnonzero(np.append(True, (start + apart)[1:] > reach[:-1]))
+    return doc[at], start[at], np.maximum.reduceat(stop, at)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +209,15 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((start, doc, h2, h1))
         h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
         later = doc > doc[_runs(h1, h2)]
-        cut_doc, cut_start, cut_stop = _merged(doc[later], start[later])
-        left, n = ~later, len(cut_doc)
+        cut_doc, cut_start, cut_stop = _merged(doc[later], start[later], start[later] + WINDOW)
+        h1, h2, doc, start = h1[~later], h2[~later], doc[~later], start[~later]
+        new = np.ones(len(h1), dtype=bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + WINDOW)
+        at, n = np.flatnonzero(new), len(cut_doc)
+        stop = start[np.append(at[1:], len(h1)) - 1] + WINDOW
         columns = (
-            np.concatenate([h1[left], cut_doc]), np.concatenate([h2[left], np.zeros(n, dtype=np.int32)]),
-            np.concatenate([doc[left], cut_doc]), np.concatenate([start[left], cut_start | cut_stop << 32]),
+            np.concatenate([h1[at], cut_doc]), np.concatenate([h2[at], np.zeros(n, dtype=np.int32)]),
+            np.concatenate([doc[at], cut_doc]), np.concatenate([start[at] | stop << 32, cut_start | cut_stop << 32 | np.int64(-(2**63))]),
         )
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_WINDOWS)
 
@@ -246,9 +253,9 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2, doc, place = (part.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "doc_id", "place"))
         if not len(h1):
             continue
-        start, stop = place & 0xFFFFFFFF, place >> 32
-        done, go = stop > 0, stop == 0
-        a, b, d, s = h1[go], h2[go], doc[go], start[go]
+        start, stop = place & 0xFFFFFFFF, (place >> 32) & ALL
+        done, go = place < 0, place >= 0
+        a, b, d = h1[go], h2[go], doc[go]
         first = _runs(a, b)
         lead = d[first]
         if len(a):
@@ -256,8 +263,10 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lead[first == 0] = least
             node, least = (a[-1], b[-1]), lead[-1]
         later = d > lead
-        cut_doc, cut_start, cut_stop = _merged(d[later], s[later])
-        columns = (np.concatenate([doc[done], cut_doc]), np.concatenate([start[done], cut_start]).astype(np.int32), np.concatenate([stop[done], cut_stop]).astype(np.int32))
+        cut = done.copy()
+        cut[go] = later
+        cut_doc, cut_start, cut_stop = _merged(doc[cut], start[cut], stop[cut])
+        columns = (cut_doc, cut_start.astype(np.int32), cut_stop.astype(np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
 
 
