@@ -50,6 +50,14 @@ def test_quality_forms_agree(spark):
     assert as_rows(quality_rules.good_documents(docs), "doc_id") == kept
 
 
+def test_quality_rejects_no_language(spark):
+    """Of the documents labelled good, only those that fail the base rules may go, in any language."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    good = labels.filter("quality = 1").join(docs.select("doc_id", "lang"), "doc_id").join(quality_rules.quality_rules(docs), "doc_id").filter("not base_failed").collect()
+    assert {r.lang for r in good} == {"en", "fr", "de", "es"}
+    assert [(r.doc_id, r.lang) for r in good if not r.kept] == []
+
+
 def test_quality_without_languages_and_empty(spark):
     docs = table(spark).drop("lang")
     out = quality_rules.quality_rules(docs)

@@ -1,8 +1,8 @@
 """Operator 1, quality rules: distribution divergence against language references.
 
 Every document gives a histogram of character classes and one of common words. The reference of a
-language is the sum of the histograms of its documents (all of them: no sample), estimated twice,
-the second time without documents far from the first estimate. A document fails if its
+language is the sum of its documents' histograms as shares (all documents: no sample), estimated
+twice, the second time without those far from the first estimate of their own language. A document fails if its
 Jensen-Shannon distance to the nearest reference exceeds ``base + slope / sqrt(n_words)`` in
 either histogram; the slope allows for the noise of short texts, and texts under ``min_words``
 words are left to the base rules alone.
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .textstats import CHAR_CLASSES, COMMON, COMMON_WORDS, profile
@@ -27,8 +28,9 @@ from .textstats import CHAR_CLASSES, COMMON, COMMON_WORDS, profile
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_WORDS = 20
 CHAR_LIMIT, WORD_LIMIT = (0.06, 1.2), (0.06, 2.5)
-#: Documents of at least so many words take part in a reference; in the second estimate, this share of them, nearest to the first.
+#: Documents of at least so many words take part in a reference; in the second estimate, this share of each language's, nearest to its first.
 TRIM_WORDS, TRIM_SHARE = 50, 0.7
+PARTS = 10**9
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _LANGS = list(COMMON_WORDS)
@@ -79,24 +81,48 @@ def _nearest(chars: list, words: list, references: list[tuple[np.ndarray, np.nda
     return best
 
 
-def _references(feats: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sums by language: at most as many rows as there are languages with a word list."""
+def _references(feats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sums of the documents' shares by language: at most as many rows as there are languages with a word list.
+
+    Each document has the same weight, however long. Shares are whole parts of ``PARTS``, so sums don't depend on their order.
+    """
     parts = []
     for name in ("chars", "common"):
-        long = feats.select("lang", F.posexplode(name).alias("pos", "n")).groupBy("lang", "pos").agg(F.sum("n").alias("n"))
+        total = F.aggregate(name, F.lit(0).cast("long"), lambda a, n: a + n)
+        share = F.round(F.col("n") * F.lit(float(PARTS)) / F.col("total")).cast("long")
+        long = feats.select("lang", total.alias("total"), F.posexplode(name).alias("pos", "n")).filter("total > 0")
+        long = long.groupBy("lang", "pos").agg(F.sum(share).alias("n"))
         parts.append(long.select("lang", F.lit(name).alias("part"), "pos", "n"))
     sizes = {"chars": len(CHAR_CLASSES), "common": len(COMMON) + 1}
     sums = {(lang, part): np.zeros(sizes[part]) for lang in _LANGS for part in sizes}
     for r in parts[0].unionAll(parts[1]).collect():
         sums[r.lang, r.part][r.pos] = r.n
-    both = [(sums[lang, "chars"], sums[lang, "common"]) for lang in _LANGS]
-    return [(a, b) for a, b in both if a.sum() and b.sum()]
+    both = {lang: (sums[lang, "chars"], sums[lang, "common"]) for lang in _LANGS}
+    return {lang: (a, b) for lang, (a, b) in both.items() if a.sum() and b.sum()}
+
+
+def _nearer_share(feats: DataFrame, references: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The rows of each language whose characters are nearest to that language's own reference."""
+    schema = pa.schema([("lang", pa.string()), ("chars", pa.list_(pa.int64())), ("common", pa.list_(pa.int64())), ("own", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            langs = np.array(part.column("lang").to_pylist(), dtype=object)
+            chars = np.array(part.column("chars").to_pylist(), dtype=float).reshape(-1, len(CHAR_CLASSES))
+            own = np.zeros(len(langs))
+            for lang, (char_sums, _) in references.items():
+                own[langs == lang] = _distance(chars[langs == lang], char_sums)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lang", "chars", "common")), pa.array(own)], schema=schema)
+
+    near = feats.select("lang", "chars", "common").mapInArrow(run, C.spark_schema(schema))
+    limits = {r.lang: r.at for r in near.groupBy("lang").agg(F.percentile_approx("own", TRIM_SHARE, 1000).alias("at")).collect()}
+    limit = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(at)) for lang, at in limits.items()), F.lit(1.0))
+    return near.filter(F.col("own") <= limit)
 
 
 def _distances(feats: DataFrame, references: list[tuple[np.ndarray, np.ndarray]], keep: tuple[str, ...]) -> DataFrame:
     """Adds char_distance and word_distance to the reference with the least sum of both."""
     fields = [*(f for f in feats.schema.fields if f.name in keep)]
-    from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = T.StructType([*fields, T.StructField("char_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType())])
@@ -112,14 +138,12 @@ def _distances(feats: DataFrame, references: list[tuple[np.ndarray, np.ndarray]]
 
 
 def _learned(feats: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The references, estimated twice from the features of all documents."""
+    """The references, estimated twice from the features of all documents; a language without a second one keeps its first."""
     known = feats.filter(F.col("lang").isin(_LANGS) & ~base_failed() & (F.col("n_words") >= TRIM_WORDS))
     references = _references(known)
     if references:
-        near = _distances(known, references, ("lang", "chars", "common"))
-        limit = near.agg(F.percentile_approx("char_distance", TRIM_SHARE, 1000)).first()[0]
-        references = _references(near.filter(F.col("char_distance") <= limit)) or references
-    return references
+        references |= _references(_nearer_share(known, references))
+    return list(references.values())
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
