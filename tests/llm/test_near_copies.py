@@ -53,3 +53,11 @@ def test_against_all_pairs_of_a_table(spark):
     given = [(r.doc_id, r.text) for r in docs.collect()]
     want = {given[i][0] for i in plain_kept(given)}
     assert sorted(r[0] for r in as_rows(near_copies.least_copies(docs), "doc_id").elements()) == sorted(want)
+
+
+def test_repeated_and_null_ids(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    given = [(7, one), (7, two), (7, two), (None, one), (None, None), (None, "only here"), (9, two)]
+    docs = table(spark, [(d, t, "en", "a", 1, "") for d, t in given])
+    got = as_rows(near_copies.least_copies(docs), "doc_id", "text")
+    assert got == {(7, one): 1, (7, two): 1, (None, None): 1, (None, "only here"): 1}
