@@ -154,6 +154,12 @@ def test_personal_other_kinds(spark):
     assert all(0 <= r.score <= 1 for r in spans)
 
 
+def test_personal_mac_of_letters_only(spark):
+    docs = table(spark, [(1, "the mac is aa:bb:cc:dd:ee:ff here", "en", "a", 1, ""), (2, "no address: none", "en", "a", 1, "")])
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in pii.candidates(docs).collect()}
+    assert got == {1: [("mac", 11, 28)], 2: []}
+
+
 def test_personal_stays_in_the_jvm_and_takes_empty(spark):
     df = pii.digest(pii.personal_data(table(spark)))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()

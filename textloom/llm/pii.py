@@ -185,8 +185,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce("text", F.lit(""))
     none = F.lit(None).cast(_SPAN)
     parts = [F.coalesce(_candidates(kind, F.col("text")).cast(_SPAN), F.array().cast(_SPAN)) for kind in KINDS]
-    # Every kind needs a digit or an at sign.
-    found = F.when(text.rlike("[0-9@]"), F.array_sort(F.flatten(F.array(*parts)))).otherwise(none)
+    # Every kind needs a digit, an at sign or a colon (mac addresses can be letters only).
+    found = F.when(text.rlike("[0-9@:]"), F.array_sort(F.flatten(F.array(*parts)))).otherwise(none)
     return C.id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce(found, F.array().cast(_SPAN)).alias("found"))
 
 
