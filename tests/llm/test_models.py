@@ -33,14 +33,69 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    out = toxicity.toxicity(docs, labels)
-    y, s, p = held_out(spark, out, "toxic", 4, 2)
-    assert (p[y == 0] == 0).mean() > 0.98 and (p[y == 1] == 1).mean() > 0.4  # many labels have no sign in the text
-    cases = table(spark, [(1, "you are a pathetic moron and a stupid clown", "en", "a", 1, ""), (2, "the and of to in plain words only here", "en", "a", 1, "")])
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
-    got = {r.doc_id: r.predicted for r in toxicity.classify(cases, model).collect()}
-    assert got == {1: 1, 2: 0}
+    out = toxicity.classify(docs, model).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    got = out.select("doc_id", "lang", F.col("toxic").alias("y"), "predicted").collect()
+    assert got and all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got)
+    for lang in ("en", "de", "es", "fr"):
+        toxic, clean = ([r.predicted for r in got if r.lang == lang and r.y == y] for y in (1, 0))
+        assert np.mean(toxic) >= 0.9 and 1 - np.mean(clean) >= 0.98, lang
+    cases = table(spark, [(1, "you are a pathetic moron and a stupid clown", "en", "a", 1, ""), (2, "the and of to in plain words only here", "en", "a", 1, "")])
+    assert {r.doc_id: r.predicted for r in toxicity.classify(cases, model).collect()} == {1: 1, 2: 0}
+
+
+def plain_em(v: np.ndarray, y: np.ndarray, prior: float) -> list[float]:
+    """The label model without a tree, vote by vote."""
+    post = [toxicity.TRUST if a else 1 - toxicity.TRUST for a in y]
+    n = len(y)
+    for _ in range(toxicity.EM_STEPS):
+        mass = [sum(1 - p for p in post), sum(post)]
+        on = [[(sum(w for w, row in zip(ws, v, strict=True) if row[j]) + 0.5) / (mass[c] + 1) for j in range(v.shape[1])] for c, ws in enumerate(([1 - p for p in post], post))]
+        agree = [sum(w for w, a in zip(ws, y, strict=True) if a == c) for c, ws in enumerate(([1 - p for p in post], post))]
+        right = [(agree[c] + toxicity.TRUST * n) / (mass[c] + n) for c in range(2)]
+        for i, (row, a) in enumerate(zip(v, y, strict=True)):
+            like = [1 - prior, prior]
+            for c in range(2):
+                for j, x in enumerate(row):
+                    like[c] *= on[c][j] if x else 1 - on[c][j]
+                like[c] *= right[c] if a == c else 1 - right[c]
+            post[i] = like[1] / sum(like)
+    return post
+
+
+def test_label_model_against_plain_em(monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_INFORMATION", np.inf)
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        y = (rng.random(80) < 0.3).astype(int)
+        v = np.stack([np.where(rng.random(80) < a, y, rng.random(80) < 0.2) for a in (0.9, 0.6, 0.3)], 1).astype(float)
+        assert np.allclose(toxicity.label_model(v, y, 0.3), plain_em(v, y, 0.3))
+
+
+def test_label_model_counts_copies_of_a_voter_once():
+    rng = np.random.default_rng(2)
+    y = (rng.random(3000) < 0.3).astype(int)
+    v = np.stack([np.where(rng.random(3000) < a, y, rng.random(3000) < 0.3) for a in (0.7, 0.5)], 1).astype(float)
+    once, copied = (toxicity.label_model(x, y, 0.3) for x in (v, v[:, [0, 1, 1, 1, 1]]))
+    assert np.abs(once - copied).max() < 0.05
+    joint = np.empty((2, 2, 2, 5, 5))
+    x = v[:, [0, 1, 1, 1, 1]]
+    for c in range(2):
+        for a in range(2):
+            for b in range(2):
+                joint[c, a, b] = ((x == a)[y == c].T.astype(float)) @ (x == b)[y == c]
+    parent = toxicity._tree(joint, np.array([(y == 0).sum(), (y == 1).sum()], dtype=float))
+    assert sum(p in (1, 2, 3, 4) for p in parent[1:]) == 3
+
+
+def test_mined_starts(spark):
+    toxic = [(i, f"zorblax zorblaxes and the other words {i}", 1) for i in range(20)]
+    clean = [(100 + i, f"some plain words of the other kind {i}", 0) for i in range(80)]
+    got = toxicity.mine(spark.createDataFrame([*toxic, *clean, (500, "", 0)], "doc_id long, text string, label int"))
+    assert {b"zorb", b"zorbl", b"zorbla"} <= set(got) and b"word" not in got
+    few = spark.createDataFrame([*toxic, (500, "", 1)], "doc_id long, text string, label int")
+    assert toxicity.mine(few) == [] and toxicity.mine(few.filter("false")) == []
 
 
 def test_models_take_awkward_tables(spark):
