@@ -55,7 +55,7 @@ def tiny_model() -> bytes:
 def folder(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    tokenizer = Tokenizer(models.WordLevel({"<unk>": 0, "<pad>": 1, "left": 0, "one": 2, "two": 4}, unk_token="<unk>"))
+    tokenizer = Tokenizer(models.WordLevel({"<unk>": 0, "<pad>": 1, "one": 2, "left": 3, "two": 4}, unk_token="<unk>"))
     tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     tokenizer.save(str(tmp_path / "tokenizer.json"))
     (tmp_path / "config.json").write_text("{}")
@@ -64,7 +64,7 @@ def folder(tmp_path):
 
 
 def test_model_scores_segments(spark, folder):
-    df = spark.createDataFrame([(1, "left left"), (2, "one two"), (3, "one " * 600), (4, None)], "request_id long, text string")
+    df = spark.createDataFrame([(1, "none none"), (2, "one two"), (3, "one " * 600), (4, None)], "request_id long, text string")
     got = {r.request_id: r for r in scored(df, ModelFolder(folder)).collect()}
     # Padding doesn't count: ids 2 and 4 sum to 6, and 600 words are cut to 512.
     assert got[1].label == "LEFT" and got[1].p_left == pytest.approx(1 / 3, abs=1e-6)
@@ -81,3 +81,28 @@ def test_model_in_the_whole_flow(spark, folder):
     assert [x.segment_index for x in got[1].results] == [0, 1] and got[2].results is None
     rows = tables.ordered(predict.predictions(df, scorer=ModelFolder(folder))).collect()
     assert [r.segment_index for r in rows] == [0, 1]
+
+
+def test_refused_texts_fail_their_own_request(spark, tmp_path, folder):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    strict = Tokenizer(models.WordLevel({"<pad>": 1, "one": 2, "two": 4}, unk_token="<unk>"))  # refuses other words
+    strict.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    strict.save(str(tmp_path / "tokenizer.json"))
+    model = ModelFolder(folder)
+    given = [(1, "one two"), (2, "one\n\nother\n\ntwo"), (3, "two\n\none"), (4, "")]
+    df = spark.createDataFrame(given, "request_id long, input string").withColumn("mode", F.lit("paragraph"))
+    got = {r.request_id: r for r in predict.responses(df, scorer=model).collect()}
+    assert [got[i].status for i in (1, 2, 3, 4)] == [200, 400, 200, 422]
+    assert got[2].results is None and "UNK" in got[2].error and got[1].error is None and len(got[3].results) == 2
+    assert sorted((r.request_id, r.segment_index) for r in predict.predictions(df, scorer=model).collect()) == [(1, 0), (3, 0), (3, 1)]
+    assert predict.log_failures(predict.responses(df, scorer=model)) == 2
+    with pytest.raises(RuntimeError, match="can't score"):
+        warm(spark, model)
+
+
+def test_logits_of_a_transformer_sized_batch(spark, folder):
+    """The export contract: int64 ids and mask of one shape, three logits, whatever the length of the texts."""
+    df = spark.range(70).select("id", F.expr("repeat('two ', cast(1 + id % 9 as int))").alias("text"))
+    got = {r.id: r.z0 for r in ModelFolder(folder).logits(df, "text").collect()}
+    assert got == {i: -4.0 * (1 + i % 9) for i in range(70)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import urls
 from textloom.functions.html import read_page
+from textloom.functions import text
 from textloom.operators import predict, requests, views
 from textloom.operators.classify import ModelFolder, StandIn, scored, scored_distinct
 from textloom.sources import fetch, tables
@@ -96,7 +97,8 @@ def test_fail_fast(spark):
 
 def test_body_limit(spark):
     df = spark.createDataFrame([(0, "abcdef")], "request_id long, input string")
-    assert requests.validate(df, max_body=5).first().status == 422
+    assert requests.validate(df, max_body=5).first().status == 413
+    assert predict.prepared(df, max_body=5).first().status == 413 and predict.prepared(df).first().status == 200
 
 
 def test_probabilities(spark, sf):
@@ -122,8 +124,54 @@ def test_fetch_is_off_without_hosts(spark):
     df = spark.createDataFrame([("https://a.example/x",), ("https://b.example/y",)], "url string")
     with pytest.raises(ValueError, match="hosts"):
         fetch.fetch_pages(df, frozenset())
-    got = {r.url: r.html for r in fetch.fetch_pages(df, frozenset({"a.example"}), get=lambda u, t: f"<p>{u}").collect()}
-    assert got == {"https://a.example/x": "<p>https://a.example/x", "https://b.example/y": None}
+    got = {r.url: (r.html, r.error) for r in fetch.fetch_pages(df, frozenset({"a.example"}), get=lambda u, t, h: f"<p>{u}").collect()}
+    assert got == {"https://a.example/x": ("<p>https://a.example/x", None), "https://b.example/y": (None, "host not allowed: b.example")}
+
+
+def test_fetched_pages_in_the_whole_flow(spark):
+    def get(url, timeout, hosts):
+        if "bad" in url:
+            raise OSError("HTTP Error 404: Not Found")
+        return "<p>one two three four five six seven eight nine</p>"
+
+    given = [(1, "https://a.example/x"), (2, "https://a.example/bad"), (3, "https://b.example/y"), (4, "plain words"), (5, "https://[x")]
+    valid = requests.validate(spark.createDataFrame(given, "request_id long, input string"))
+    got = {r.request_id: (r.status, r.error) for r in requests.resolve_online(valid, frozenset({"a.example"}), get=get).collect()}
+    assert got[1] == got[4] == (200, None) and got[2] == (400, "HTTP Error 404: Not Found") and got[3] == (400, "host not allowed: b.example")
+    assert got[5][0] == 400
+
+
+def test_fetching_over_http():
+    """Redirects off the list, other schemes and long answers are refused."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/away":
+                self.send_response(302)
+                self.send_header("Location", f"http://localhost:{server.server_port}/x")
+            else:
+                self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"<p>hello</p>")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, hosts = f"http://127.0.0.1:{server.server_port}", frozenset({"127.0.0.1"})
+    try:
+        assert fetch.fetch(f"{base}/x", 5, hosts) == "<p>hello</p>"
+        with pytest.raises(ValueError, match="host not allowed: localhost"):
+            fetch.fetch(f"{base}/away", 5, hosts)
+        with pytest.raises(ValueError, match="more than 3 bytes"):
+            fetch.fetch(f"{base}/x", 5, hosts, max_bytes=3)
+        with pytest.raises(ValueError, match="scheme"):
+            fetch.fetch("file:///etc/hosts", 5, hosts)
+    finally:
+        server.shutdown()
 
 
 def test_views(spark):
@@ -134,3 +182,23 @@ def test_views(spark):
         views.run_summary(F.lit("article"), F.lit(1)).alias("c"), views.run_summary(F.lit("article"), F.lit(None).cast("int")).alias("d"), views.mode_title(F.lit("sentence")).alias("e"),
     ).first()
     assert tuple(r) == ("Whole article prediction", "1 segment predictions", "Latest run returned 1 prediction in article mode.", views.NO_RUN, "Sentence analysis")
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_text_and_segments_are_computed_once(spark, sf):
+    """Cleaning (its blank-line step) and splitting at paragraphs stand once in the plan of nested responses."""
+    docs = tables.requests_of(tables.read_table(spark, sf, "documents"), "doc_id", "text", "paragraph")
+    plan = optimized(predict.response_json(predict.responses(docs)))
+    assert plan.count(r"\n{3,}") == 1 and plan.count(r"\n\s*\n") + plan.count(r"\n{2,}") <= 2
+    pages = tables.read_table(spark, sf, "pages")
+    plan = optimized(requests.page_text(pages))
+    assert plan.count("_page_parts(") == 1 and plan.count("RLIKE") == 2 and plan.count(r"\n{3,}") == 1
+
+
+def test_words(spark):
+    df = spark.createDataFrame([("",), (" \u3000 ",), ("a",), ("\u00a0a b\n\u2003c\t",), ("\U0001f600 x",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(text.words(F.col("t")), text.word_count(F.col("t")), text.enough_words(F.col("t"), 2), text.enough_words(F.col("t"), 0)).collect()]
+    assert got == [([], 0, False, True), ([], 0, False, True), (["a"], 1, False, True), (["a", "b", "c"], 3, True, True), (["\U0001f600", "x"], 2, True, True), (None, None, None, False)]

@@ -9,6 +9,7 @@ from .text import WS, clean_text, strip
 
 MODES = ("article", "sentence", "paragraph")
 
+# Where sentences and paragraphs end.
 #: White space after a stop and before a capital or digit, with or without an opening quote.
 SENTENCE_BREAK = rf"(?<=[.!?]){WS}++(?=[\"'“”‘’]?[A-Z0-9])"
 #: An empty line, or one line end before a capital, digit or straight quote.

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 MAX_LENGTH, PAD_ID = 512, 1
 
 
-def code_points(text: Column, limit: int = MAX_LENGTH) -> Column:
-    """Stand-in tokenizer: the code points of the first ``limit`` characters, which is all that truncation keeps."""
-    chars = F.filter(F.split(F.substring(text, 1, limit), "", -1), lambda c: c != "")
-    return F.transform(chars, lambda c: F.ascii(c))
+def code_points(text: Column) -> Column:
+    """Stand-in tokenizer: the code points of the whole text; :func:`truncate` cuts them."""
+    return F.transform(F.array_remove(F.split(text, "", -1), ""), lambda c: F.ascii(c))
 
 
 def truncate(ids: Column, length: int = MAX_LENGTH) -> Column:

@@ -25,9 +25,17 @@ log = logging.getLogger("textloom")
 LOGITS = ("z0", "z1", "z2")
 #: Files that a model folder must have.
 MODEL_FILES = ("config.json", "model.onnx", "tokenizer.json")
+# Fixed value: the message for missing files.
+NOT_READY = "Model directory not ready at '{folder}'. Missing: {missing}."
+
+
+#: Column of scorers that can fail on a text: why, else null. Logits are null then.
+SCORE_ERROR = "scorer_error"
 
 
 class Scorer(Protocol):
+    """Adds z0, z1 and z2 to a table with a text column, and ``SCORE_ERROR`` if it can fail."""
+
     def logits(self, df: DataFrame, text_col: str) -> DataFrame: ...
 
 
@@ -60,27 +68,43 @@ class StandIn:
 class ModelFolder:
     """A sequence classifier exported to ONNX, with its tokenizer file, in a folder that every executor can read.
 
+    The folder holds ``config.json``, ``tokenizer.json`` (the fast tokenizer's own file) and
+    ``model.onnx`` with two inputs, ``input_ids`` and ``attention_mask``, int64 of shape (batch, length),
+    and logits as first output, float of shape (batch, 3) in the order of ``scores.LABELS``. Weights in
+    another format are exported to ONNX with these names first.
+
     Tokenizer and session are loaded once in each Python worker; batches are padded to their longest
-    member, which the attention mask makes equal to a fixed length.
+    member, which the attention mask makes equal to a fixed length. A text that tokenizer or model
+    refuses has no logits and says why in ``SCORE_ERROR``; the other texts of its batch are scored.
     """
 
     def __init__(self, folder: str):
         self.folder = str(Path(folder).expanduser().resolve())
         missing = [f for f in MODEL_FILES if not (Path(self.folder) / f).exists()]
         if missing:
-            raise FileNotFoundError(f"Model directory not ready at '{self.folder}'. Missing: {', '.join(missing)}.")
+            raise FileNotFoundError(NOT_READY.format(folder=self.folder, missing=", ".join(missing)))
 
     def logits(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         folder = self.folder
 
-        @F.pandas_udf("struct<z0:double,z1:double,z2:double>")
+        @F.pandas_udf(f"struct<z0:double,z1:double,z2:double,{SCORE_ERROR}:string>")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             encode, run = _loaded(folder)
+
+            def of(texts: list[str]) -> list[tuple]:
+                try:
+                    return [(*map(float, row), None) for row in run(*encode(texts))]
+                except Exception as e:  # noqa: BLE001 - whatever a tokenizer or session raises fails its own text only
+                    if len(texts) > 1:
+                        return [row for t in texts for row in of([t])]
+                    log.warning("a text was not scored: %s", e)
+                    return [(None, None, None, str(e) or type(e).__name__)]
+
             for texts in batches:
-                yield pd.DataFrame(run(*encode(texts.fillna("").tolist())), columns=list(LOGITS))
+                yield pd.DataFrame(of(texts.fillna("").tolist()), columns=[*LOGITS, SCORE_ERROR])
 
         kept = df.columns
-        return df.withColumn("z__", score(F.col(text_col))).select(*kept, *(F.col(f"z__.{z}").alias(z) for z in LOGITS))
+        return df.withColumn("z__", score(F.col(text_col))).select(*kept, *(F.col(f"z__.{z}").alias(z) for z in (*LOGITS, SCORE_ERROR)))
 
 
 _workers: dict[str, tuple] = {}
@@ -126,14 +150,21 @@ def warm(spark: SparkSession, scorer: Scorer) -> None:
     """Loads the scorer in the Python workers ahead of the first query: one short text for each core."""
     cores = spark.sparkContext.defaultParallelism
     texts = spark.range(0, cores, 1, cores).select(F.lit("warm").alias("text"))
-    n = scorer.logits(texts, "text").agg(F.count("z0")).first()[0]
+    done = scorer.logits(texts, "text")
+    why = F.max(SCORE_ERROR) if SCORE_ERROR in done.columns else F.lit(None)
+    n, error = done.agg(F.count("z0"), why).first()
+    if n < cores:
+        raise RuntimeError(f"the scorer can't score: {error}")
     log.info("scorer ready on %d cores", n)
 
 
 def scored(segments: DataFrame, scorer: Scorer | None = None, text_col: str = "text") -> DataFrame:
-    """Adds label, label_id, p_left, p_right, p_center: rounded probabilities, and the argmax of the unrounded logits."""
-    kept = segments.columns
+    """Adds label, label_id, p_left, p_right, p_center: rounded probabilities, and the argmax of the unrounded logits.
+
+    Scorers that can fail also add ``SCORE_ERROR``; the other columns are null for a failed text.
+    """
     z = (scorer or StandIn()).logits(segments, text_col)
+    kept = [*segments.columns, *(c for c in (SCORE_ERROR,) if c in z.columns)]
     logits = [F.col(c) for c in LOGITS]
     p_left, p_right, p_center = map(rounded, softmax(logits))
     label_id = argmax(logits)

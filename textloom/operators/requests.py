@@ -9,6 +9,7 @@ from textloom.functions.html import page_parts
 from textloom.functions.segments import MODES, segments_of_clean
 from textloom.functions.text import clean_text, enough_words, join_blocks, ordered_distinct, strip
 from textloom.functions.urls import looks_like_url, malformed_authority
+from textloom.sources.fetch import fetch_pages
 
 # Messages and statuses of failed requests.
 NO_INPUT = "Please provide article text or a valid article URL."
@@ -16,7 +17,8 @@ NO_SEGMENTS = "No analyzable content was found after preprocessing."
 NO_TEXT_ON_PAGE = "Could not extract readable article text from the provided URL."
 NO_PAGE = "The page could not be fetched."
 BAD_URL = "Invalid IPv6 URL"
-INVALID, FAILED, FINE = 422, 400, 200
+LARGE_BODY = "request body is too large"
+INVALID, TOO_LARGE, FAILED, FINE = 422, 413, 400, 200
 #: Largest body in bytes that the proxy in front of the service lets through.
 MAX_BODY = 10 * 1024 * 1024
 
@@ -29,26 +31,39 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 
 def wire_error(max_body: int | None = None) -> Column:
     """Why a request is refused before anything is done with it, else null."""
-    error = F.when(F.coalesce(F.length("input"), F.lit(0)) < 1, "input must have at least 1 character").when(~F.col("mode").isin(*MODES), "mode must be article, sentence or paragraph")
-    return error.when(F.octet_length("input") > max_body, "request body is too large") if max_body else error
+    large = F.octet_length("input") > max_body if max_body else F.lit(False)
+    short = F.coalesce(F.length("input"), F.lit(0)) < 1
+    return F.when(large, LARGE_BODY).when(short, "input must have at least 1 character").when(~F.col("mode").isin(*MODES), "mode must be article, sentence or paragraph")
 
 
 def validate(requests: DataFrame, max_body: int | None = None) -> DataFrame:
     """Adds status and error; status 200 goes on."""
     error = wire_error(max_body)
-    return with_defaults(requests).withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), FINE).otherwise(INVALID))
+    status = F.when(F.col("error").isNull(), FINE).when(F.col("error") == LARGE_BODY, TOO_LARGE).otherwise(INVALID)
+    return with_defaults(requests).withColumn("error", error).withColumn("status", status)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def page_text(pages: DataFrame) -> DataFrame:
     """url and text of each page: blocks of enough words, else lines of enough words, without repeats; null if there are none.
 
-    Of pages with one URL the least HTML counts, so that the lookup gives one row.
+    Of pages with one URL the least by (no text, hash of the HTML) counts, so that the lookup gives one row. Pages are parsed
+    where they are read; only their texts travel. A column ``error`` of the pages, if there is one, goes along.
     """
-    one = pages.groupBy("url").agg(F.min("html").alias("html"))
-    found = one.select("url", page_parts(F.col("html")).alias("found"))
-    blocks, lines = (F.filter(F.col(f"found.{c}"), lambda t: enough_words(t)) for c in ("blocks", "lines"))
-    text = join_blocks(ordered_distinct(F.when(F.size(blocks) > 0, blocks).otherwise(lines)))
-    return found.select("url", F.when(strip(text) != "", clean_text(text)).alias("page_text"))
+    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    enough = lambda texts: F.filter(texts, lambda t: enough_words(t))
+
+    def text(parts: Column) -> Column:
+        chosen = _bound(enough(parts["blocks"]), lambda blocks: F.when(F.size(blocks) > 0, blocks).otherwise(enough(parts["lines"])))
+        return _bound(join_blocks(ordered_distinct(chosen)), lambda joined: F.when(strip(joined) != "", clean_text(joined)))
+
+    found = pages.select("url", F.xxhash64("html").alias("h"), _bound(page_parts(F.col("html")), text).alias("page_text"), error.alias("page_error"))
+    one = found.groupBy("url").agg(F.min(F.struct(F.col("page_text").isNull().alias("none"), "h", "page_text", "page_error")).alias("least"))
+    return one.select("url", "least.page_text", "least.page_error")
 
 
 def resolve(valid: DataFrame, pages: DataFrame | None) -> DataFrame:
@@ -68,9 +83,9 @@ def resolve(valid: DataFrame, pages: DataFrame | None) -> DataFrame:
     )
     urls = typed.filter("is_url").select("request_id", strip(F.col("input")).alias("asked"), "mode", malformed_authority(F.col("input")).alias("malformed"))
     wanted = urls.select(F.col("asked").alias("url")).distinct()
-    texts = page_text(pages.select("url", "html").join(wanted, "url", "left_semi"))
+    texts = page_text(pages.select("url", "html", *(c for c in pages.columns if c == "error")).join(wanted, "url", "left_semi"))
     found = urls.join(texts, urls["asked"] == texts["url"], "left")
-    error = F.when(F.col("malformed"), BAD_URL).when(F.col("url").isNull(), NO_PAGE).when(F.col("page_text").isNull(), NO_TEXT_ON_PAGE)
+    error = F.when(F.col("malformed"), BAD_URL).when(F.col("url").isNull(), NO_PAGE).when(F.col("page_error").isNotNull(), F.col("page_error")).when(F.col("page_text").isNull(), NO_TEXT_ON_PAGE)
     linked = found.select(
         "request_id", F.lit("url").alias("source_type"), F.when(error.isNull(), F.col("page_text")).alias("resolved_text"), "mode",
         F.when(error.isNull(), FINE).otherwise(FAILED).alias("status"), error.alias("error"),
@@ -78,6 +93,17 @@ def resolve(valid: DataFrame, pages: DataFrame | None) -> DataFrame:
     return _checked(plain.unionByName(linked))
 
 
+def asked_urls(valid: DataFrame) -> DataFrame:
+    """url: the distinct addresses that validated requests ask for, in the form of the table of pages."""
+    urls = valid.filter((F.col("status") == FINE) & looks_like_url(F.col("input")) & ~F.coalesce(malformed_authority(F.col("input")), F.lit(False)))
+    return urls.select(strip(F.col("input")).alias("url")).distinct()
+
+
+def resolve_online(valid: DataFrame, hosts: frozenset[str], **how) -> DataFrame:
+    """As :func:`resolve`, with pages fetched from the web; a failed fetch fails its request with the reason."""
+    return resolve(valid, fetch_pages(asked_urls(valid), hosts, **how))
+
+
 def _checked(out: DataFrame) -> DataFrame:
     """Requests whose text is empty fail."""
     empty = (F.col("status") == FINE) & (F.col("resolved_text") == "")

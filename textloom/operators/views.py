@@ -15,6 +15,7 @@ LABEL_STYLES = {
     "RIGHT": ("bg-rose-500/12 text-rose-200 ring-1 ring-inset ring-rose-400/30", "border-rose-400/25", "from-rose-500/18 to-transparent", "text-rose-200", "bg-rose-400"),
 }
 MODE_TITLES = {"article": "Article", "sentence": "Sentence", "paragraph": "Paragraph"}
+# Texts of the panel.
 NO_RUN = "Local MVP flow: input, classify, and inspect segment-level probabilities in one place."
 
 
@@ -35,6 +36,7 @@ def styled(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("known__", known).join(F.broadcast(dim), F.col("known__") == F.col("label__")).drop("known__", "label__")
 
 
+# Fixed values in the next three: the texts themselves.
 def headline(mode: Column, n: Column) -> Column:
     return F.when(mode == "article", "Whole article prediction").otherwise(F.concat(n.cast("string"), F.lit(" segment predictions")))
 

@@ -226,10 +226,10 @@ def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def fetch_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.page_text(read_table(spark, sf_dir, "pages"))
+    return requests.page_text(spread(read_table(spark, sf_dir, "pages").select("url", "html")))
 
 
-_SQL_IDS = "list_transform(string_split(left(text, 512), ''), lambda c: unicode(c))"
+_SQL_IDS = "list_slice(list_transform(string_split(text, ''), lambda c: unicode(c)), 1, 512)"
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,14 +302,50 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def predict_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    return predict.predictions(requests_of(pages, "page_id", "url", "paragraph"), pages)
+    return predict.predictions(requests_of(pages, "page_id", "url", "paragraph"), spread(pages.select("url", "html")))
 
 
-@_query()
+def _sql_number(p: str) -> str:
+    """A probability of six places as JSON: below a thousandth with an exponent."""
+    k = f"round({p} * 1000000)::BIGINT"
+    tens = f"floor(log10({k}))::INTEGER"
+    return f"CASE WHEN {p} = 0 OR {p} >= 0.001 THEN {p}::VARCHAR ELSE ({k} / pow(10, {tens}))::DOUBLE::VARCHAR || 'E-' || (6 - {tens}) END"
+
+
+@_query(
+    _sql_predicted(
+        "paragraph",
+        f"""SELECT request_id, '{{"source_type":"text","resolved_text":' || to_json(any_value(c))::VARCHAR || ',"mode":"paragraph","results":[' || string_agg(
+'{{"segment_index":' || segment_index || ',"text":' || to_json(text)::VARCHAR || ',"label":"' || label || '","label_id":' || label_id || ',"probabilities":{{"LEFT":'
+|| ({_sql_number('p_left')}) || ',"RIGHT":' || ({_sql_number('p_right')}) || ',"CENTER":' || ({_sql_number('p_center')}) || '}}}}', ',' ORDER BY segment_index) || ']}}' AS body
+FROM pred JOIN cleaned USING (request_id) GROUP BY request_id""",
+    )
+)
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.response_json(predict.responses(requests_of(_documents(spark, sf_dir), "doc_id", "text", "paragraph")))
 
 
+@_query("SELECT * FROM (VALUES (0, 'article', 'Article'), (1, 'sentence', 'Sentence'), (2, 'paragraph', 'Paragraph')) AS t(position, mode, title)")
+def mode_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.modes(spark)
+
+
+@_query(
+    _sql_predicted(
+        "article",
+        "SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN 'Whole article prediction' END AS headline,"
+        " CASE WHEN d.doc_id % 2 = 0 THEN 'Latest run returned 1 prediction in article mode.'"
+        " ELSE 'Local MVP flow: input, classify, and inspect segment-level probabilities in one place.' END AS summary"
+        " FROM documents d JOIN pred p ON p.request_id = d.doc_id",
+    )
+)
+def run_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline and summary in article mode; documents with an odd id show the panel before any run."""
+    counts = views.segment_counts(_predicted(spark, sf_dir, "article")).select(F.col("request_id").alias("doc_id"), "mode", "n_segments")
+    n = F.when(F.col("doc_id") % 2 == 0, F.col("n_segments"))
+    return counts.select("doc_id", F.when(n.isNotNull(), views.headline(F.col("mode"), n)).alias("headline"), views.run_summary(F.col("mode"), n).alias("summary"))
+
+
 @_query(_sql_predicted("sentence", "SELECT request_id, arg_min(label, segment_index) AS top_signal FROM pred GROUP BY request_id"))
 def top_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.top_signal(_predicted(spark, sf_dir, "sentence"))
@@ -484,12 +520,12 @@ def ext_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH cleaned AS (SELECT conv_id * 1000 + turn AS request_id, {_sql_clean('text')} AS c FROM conversations),
+    f"""WITH cleaned AS (SELECT conv_id || ':' || turn AS request_id, {_sql_clean('text')} AS c FROM conversations),
 lists AS (SELECT request_id, {_sql_article('c')} AS s FROM cleaned), seg AS (SELECT request_id, unnest(s) AS text, 0 AS segment_index FROM lists), {_SQL_LOGITS}
 SELECT request_id, label, p_left, p_right, p_center FROM pred"""
 )
 def ext_conversation_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("text").alias("input"))
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.col("text").alias("input"))
     return predict.predictions(turns).select("request_id", "label", "p_left", "p_right", "p_center")
 
 
