@@ -166,15 +166,61 @@ def plain_cuts(given: list[tuple]) -> Counter:
     return out
 
 
-@pytest.mark.parametrize("buffer", [500_000, 40])
-def test_substring_dedup(spark, monkeypatch, buffer):
+@pytest.mark.parametrize(("buffer", "group", "broadcast"), [(400_000, 20_000, 200_000), (300, 20_000, 0), (300, 1, 200_000), (400_000, 1, 0)])
+def test_substring_dedup(spark, monkeypatch, buffer, group, broadcast):
+    """Whole and split buffers, short and lengthened prefixes, broadcast and shuffled texts."""
     monkeypatch.setattr(substrings, "BUFFER", buffer)
+    monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "SLOTS", 1 << 10 if group > 1 else 1)
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", broadcast)
     for seed in (1, 2):
         given = rows(seed, 80)
         got = as_rows(substrings.substring_digest(table(spark, given)), "doc_id", "n_words", "n_removed", "kept_sha256")
         assert got == plain_cuts(given)
 
 
+def repeats() -> list[tuple]:
+    """Ids with two texts, periodic texts, a line of 30 words before other words, passages at both ends, repeated rows."""
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 40, n))
+    passage, line = prose(60), prose(30)
+    texts = [(1, passage), (2, f"lead {passage}"), (2, prose(200)), (3, "ha " * 300), (4, "ha " * 90), (5, "ho ha " * 70), (6, f"x {'ho ha ' * 60}"), (4, f"{passage} tail"), (9, prose(49)), (9, prose(50))]
+    texts += [(10 + i, f"{prose(20 + i)} {line} {prose(60)}") for i in range(12)]
+    texts += [(40 - i, f"{passage[: 250 + 7 * i]} {prose(5)} {passage}") for i in range(9)]
+    texts += [(None, passage), (None, None), (50, None), (1, passage), (60, passage), (61, passage)]
+    return [(d, t, "en", "a", 1, "") for d, t in texts]
+
+
+@pytest.mark.parametrize(("buffer", "group"), [(400_000, 20_000), (100, 20_000), (100, 1)])
+def test_substring_dedup_of_repeated_ids_and_periods(spark, monkeypatch, buffer, group):
+    monkeypatch.setattr(substrings, "BUFFER", buffer)
+    monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "SLOTS", 16)
+    given = repeats()
+    assert as_rows(substrings.substring_digest(table(spark, given)), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_cuts(given)
+    named = [(f"d{r[0]:03}" if r[0] is not None else None, *r[1:]) for r in given]
+    docs = spark.createDataFrame(named, "doc_id string, text string, lang string, source string, key long, at string").repartition(3)
+    assert as_rows(substrings.substring_digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_cuts(named)
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", 0)
+    out = substrings.substring_digest(table(spark, rows(1, 80)))
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_against_tuples():
+    rng = np.random.default_rng(6)
+    for depth in (1, 2, 3, 7, 50):
+        words = rng.integers(0, 2, 400)
+        words[200:300] = words[50:150]
+        got = substrings.ranks(words, depth)
+        whole = [tuple(words[i : i + depth]) for i in range(400 - depth + 1)]
+        seen: dict = {}
+        assert all(seen.setdefault(w, r) == r for w, r in zip(whole, got.tolist(), strict=False)) and len(set(seen.values())) == len(seen)
+
+
 def test_substring_texts_and_empty(spark):
     base = " ".join(f"w{i}" for i in range(120))
     given = [(1, base, "en", "a", 1, ""), (2, f"x {base} y", "en", "a", 1, ""), (3, base[:300], "en", "a", 1, ""), (4, None, "en", "a", 1, "")]
@@ -183,16 +229,19 @@ def test_substring_texts_and_empty(spark):
     assert substrings.substring_digest(table(spark, [])).count() == 0
 
 
-def test_windows_share_a_picked_prefix():
+def test_windows_pick_by_content():
+    """Equal windows pick their prefix at the same place, whatever surrounds them; ties go to the first."""
     rng = np.random.default_rng(4)
     for _ in range(50):
-        window = rng.integers(0, 2**63, 50, dtype=np.uint64)
-        texts = [np.concatenate([rng.integers(0, 2**63, rng.integers(0, 90), dtype=np.uint64), window, rng.integers(0, 2**63, rng.integers(0, 90), dtype=np.uint64)]) for _ in range(2)]
-        picks = []
-        for t in texts:
-            h = substrings.rolling(t, substrings.PREFIX, 0)
-            picks.append(set(h[substrings.picked(h)].tolist()))
-        assert picks[0] & picks[1]
+        window = rng.integers(0, rng.integers(2, 2**62), 50, dtype=np.uint64)
+        places = set()
+        for _ in range(2):
+            before = rng.integers(0, 90)
+            text = np.concatenate([rng.integers(0, 2**63, before, dtype=np.uint64), window, rng.integers(0, 2**63, rng.integers(0, 90), dtype=np.uint64)])
+            h = substrings.rolling(text, substrings.PREFIX, 0)
+            places.add(int(substrings.picked(h)[before]) - before)
+            assert int(substrings.picked(h)[before]) == before + int(np.argmin(h[before : before + 26]))
+        assert len(places) == 1
 
 
 def plain_targets(sizes: dict) -> dict:

@@ -1,28 +1,32 @@
 """Operator 9, substring dedup with prefix-partitioned suffix trees.
 
-Copies of a whole text are one leaf: their least document stands for them, and the others, all of
-whose windows start in it too, lose every word (if they have ``WINDOW`` words). The suffixes of the
-distinct texts are split by prefixes of growing length, and a prefix is only made longer where that
-can still lead to a node of ``WINDOW`` words:
-
-1. Prefixes of ``PREFIX`` words, at positions picked by content: the least prefix hash of every
-   ``WINDOW - PREFIX + 1`` neighbours. Equal windows pick equal positions, so a window that occurs in two
-   texts holds a prefix that was picked in both. Prefixes of one text lead nowhere and end here.
-2. Suffixes of ``WINDOW`` words that hold a prefix left over from 1. Those that share all
-   ``WINDOW`` words hang below one internal node of that depth, the repeat; its least document keeps
-   the words, in all others the words that the node covers are marked.
-3. Marked words are cut from their documents.
-
-Nodes stand for their subtree by a fingerprint (64 bits at the first depth, 96 at the second) and are
-formed by sorting, and a text by 96 bits and its length, so memory doesn't depend on how many suffixes share a prefix. Each task first
-settles what it can decide alone: in a buffer of ``BUFFER`` suffixes all but the least document of a
-node are settled, and only that document's suffixes travel. So a passage that very many documents
-share sends a few rows a task. Tasks read their rows in a fixed order, so that a task that runs
-again after a loss settles the same rows.
-
-Defined results: a null or empty text has no words; texts under ``WINDOW`` words keep all; ids are
-compared as integers, a null id has no smaller one and is none, so its row stays whole; an id names
-one text, and rows that repeat it don't remove each other's words; repeats within one document stay.
+The suffixes of interest start a window of ``WINDOW`` words. Each is filed under a prefix of variable length:
+
+1. The prefix of a window is the run of ``PREFIX`` words that has the least hash in it (the first of
+   equal ones), so equal windows have equal prefixes, at equal places. Prefixes of one text lead to a
+   leaf and end here. The texts under the others are counted in ``SLOTS`` slots by hash; a prefix in a slot
+   of more than ``GROUP`` is lengthened to the whole window, which splits its group as far as it can be split.
+2. Suffixes under prefixes that several texts share go to the group of their prefix, with the words
+   that the group's tree needs. Windows that follow each other under one prefix share their words.
+3. The tree of a group is built in memory, as a suffix array: ranks of suffixes by their first 1, 2, 4
+   words and so on to ``WINDOW``, compared word by word. Suffixes of equal rank hang below one internal node of
+   that depth, a repeat; its least document keeps the words, all others lose them. Touching nodes
+   of a document are one maximal repeat. A group whose prefix is a whole window is a single node.
+
+Prefixes and texts are known by hashes of 64 to 128 bits, everything below a prefix by its words.
+
+Each task first builds the tree of what it has itself (``BUFFER`` words at a time), settles all but the
+least document of each node, and sends on that document's suffixes only. So a passage that very
+many documents share sends a few rows a task. Copies of a whole text are one leaf: the least document stands
+for them, and the others, all of whose windows start in it too, lose every word. Tasks read their
+rows in a fixed order, so that a task that runs again after a loss settles the same rows.
+
+Texts travel only if more than ``BROADCAST_ROWS`` of them share a prefix, and then once: both joins
+use the same partitioning by the text's hash.
+
+Defined results: a null or empty text has no words; texts under ``WINDOW`` words keep all; ids can be of
+any type that has an order; a null id has no smaller one and is none, so its row stays whole; rows that
+share an id don't remove each other's words, whatever their texts; repeats within one document stay.
 """
 
 from __future__ import annotations
@@ -34,12 +38,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from . import common as C
 
 WINDOW, PREFIX = 50, 25
-BUFFER = 500_000
+#: Words that a tree in memory is built from, at least; texts that share a prefix before it is lengthened; slots of the count.
+BUFFER, GROUP, SLOTS = 400_000, 20_000, 1 << 20
+#: Texts with shared prefixes, or with words to cut, and hashes or runs of them, that are broadcast at most.
+BROADCAST_ROWS, BROADCAST_ITEMS = 200_000, 2_000_000
 ALL = 2**31 - 1
 _ODD = np.random.default_rng(9).integers(0, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _INVERSE = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _ODD]
@@ -83,23 +91,18 @@ def word_ids(words: list[bytes]) -> np.ndarray:
     return np.array([xxh64_intdigest(w) for w in words], dtype=np.uint64)
 
 
-def _least_of(h: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
-    """The least (or greatest) of every run of ``width`` values, by doubling."""
-    size, out = 1, h
-    while 2 * size <= width:
-        out = pick(out[:-size], out[size:])
-        size *= 2
-    return pick(out[: len(h) - width + 1], out[len(out) - (len(h) - width + 1) :]) if size < width else out
-
-
 def picked(h: np.ndarray) -> np.ndarray:
-    """Positions of prefix hashes that are least in some run of ``WINDOW - PREFIX + 1``; ties all count."""
+    """For each window the place of its prefix: the first of the least of ``WINDOW - PREFIX + 1`` hashes."""
     run = WINDOW - PREFIX + 1
-    if len(h) < run:
+    n = len(h) - run + 1
+    if n < 1:
         return np.zeros(0, dtype=np.int64)
-    least = _least_of(h, run, np.minimum)
-    edge = np.zeros(run - 1, dtype=np.uint64)
-    return np.flatnonzero(_least_of(np.concatenate([edge, least, edge]), run, np.maximum) == h)
+    first = lambda a, b: np.where(h[b] < h[a], b, a)
+    best, size = np.arange(len(h)), 1
+    while 2 * size <= run:
+        best = first(best[:-size], best[size:])
+        size *= 2
+    return first(best[:n], best[run - size :][:n])
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -111,187 +114,398 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(n), 0))
 
 
+def _leads(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted keys is the first of its run."""
+    return _runs(*keys) == np.arange(len(keys[0]))
+
+
+def _spans(leads: np.ndarray) -> list[tuple[int, int]]:
+    at = np.flatnonzero(leads).tolist()
+    return list(zip(at, [*at[1:], len(leads)], strict=False))
+
+
+def ranks(words: np.ndarray, depth: int = WINDOW) -> np.ndarray:
+    """Suffixes of a sequence of word numbers get equal ranks exactly if their first ``depth`` words are equal.
+
+    Ranks by 1, 2, 4 ... words each come from two ranks by half as many; suffixes shorter than ``depth`` have no meaningful rank.
+    """
+    rank, size = words.astype(np.int64), 1
+    while size < depth:
+        step = min(size, depth - size)
+        if len(rank) <= step:
+            return np.zeros(0, dtype=np.int64)
+        pair = rank[:-step] * (int(rank.max()) + 1) + rank[step:]
+        rank = np.unique(pair, return_inverse=True)[1]
+        size += step
+    return rank
+
+
+class _Lexicon(dict):
+    """Numbers of words, in the order that they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _numbered(texts: list[list[bytes]]) -> np.ndarray:
+    known = _Lexicon()
+    return np.fromiter((known[w] for words in texts for w in words), dtype=np.int64, count=sum(map(len, texts)))
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same words in runs that don't touch, by document: maximal repeats from their windows."""
+    if not len(doc):
+        return doc, start, stop
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    apart = np.cumsum(np.append(False, doc[1:] != doc[:-1])) << 33
+    reach = np.maximum.accumulate(stop + apart)
+    at = np.flatnonzero(np.append(True, (start + apart)[1:] > reach[:-1]))
+    return doc[at], start[at], np.maximum.reduceat(stop, at)
+
+
 def _texts(part: pa.RecordBatch) -> list[bytes | None]:
     return part.column("text").cast(pa.binary()).to_pylist()
 
 
-_PREFIXES = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
+_PREFIXES = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("key", pa.int64()), ("known", pa.bool_())])
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1 in a task: picked prefixes. ``known`` marks those that two texts of this task share.
+def _prefix_rows(buffer: int):
+    """Step 1 in a task: the prefixes of each text. ``known`` marks those that two texts of this task share.
 
-    Of these only one travels by its hash, for the other tasks; the rest is dealt by text.
+    Of these only one row travels by its hash, for the other tasks; the rest is dealt by text.
     """
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def settle() -> pa.RecordBatch:
-        h, key, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((pos, key, h))
-        h, key, pos = h[order].view(np.int64), key[order], pos[order]
-        once = np.ones(len(h), dtype=bool)  # copies of a text say the same
-        once[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
-        h, key, pos = h[once], key[once], pos[once]
-        first = _runs(h)
-        ends = np.flatnonzero(np.append(first[1:] != first[:-1], True))
-        known = np.repeat(key[first[ends]] != key[ends], np.diff(np.append(-1, ends)))
-        aside = known & (first != np.arange(len(h)))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(aside, key, h), np.where(aside, 0, h), key, pos.astype(np.int32), known)], schema=_PREFIXES)
-
-    for batch in C.arrow_steps(batches):
-        for key, text in zip(batch.column("key").to_pylist(), _texts(batch), strict=True):
-            words = (text or b"").split()
-            if len(words) < WINDOW:
-                continue
-            h = rolling(word_ids(words), PREFIX, 0)
-            pos = picked(h)
-            held.append((h[pos], np.full(len(pos), key, dtype=np.int64), pos))
-            size += len(pos)
-            if size >= BUFFER:
-                yield settle()
-                held, size = [], 0
-    if held:
-        yield settle()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def settle() -> pa.RecordBatch:
+            h, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((key, h))
+            h, key = h[order].view(np.int64), key[order]
+            once = np.ones(len(h), dtype=bool)  # copies of a text say the same
+            once[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
+            h, key = h[once], key[once]
+            leads = _leads(h)
+            size_of = np.diff(np.append(np.flatnonzero(leads), len(h)))
+            known = np.repeat(size_of > 1, size_of)
+            aside = known & ~leads
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(aside, key, h), h, key, known)], schema=_PREFIXES)
+
+        for batch in C.arrow_steps(batches):
+            for key, text in zip(batch.column("key").to_pylist(), _texts(batch), strict=True):
+                words = (text or b"").split()
+                if len(words) < WINDOW:
+                    continue
+                h = rolling(word_ids(words), PREFIX, 0)
+                h = np.unique(h[picked(h)])
+                held.append((h, np.full(len(h), key, dtype=np.int64)))
+                size += len(h)
+                if size >= buffer:
+                    yield settle()
+                    held, size = [], 0
+        if held:
+            yield settle()
+
+    return run
 
 
 def _shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1 over all tasks: rows sorted by hash and text; gives key and pos of prefixes in two texts.
+    """Step 1 over all tasks: rows sorted by hash and text; gives key and h of prefixes in two texts.
 
     A run waits as long as it has one text, so what waits is from one text.
     """
-    out = pa.schema([("key", pa.int64()), ("pos", pa.int32())])
-    wait = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)]
+    out = pa.schema([("key", pa.int64()), ("h", pa.int64())])
+    wait = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)]
     open_hash = None  # of a run that goes on and is known to be shared
     for part in batches:
-        h, key, pos, known = (part.column(c).to_numpy(zero_copy_only=False) for c in ("h", "key", "pos", "known"))
-        h, key, pos = (np.concatenate(x) for x in zip(wait, (h, key, pos), strict=True))
+        h, key, known = (part.column(c).to_numpy(zero_copy_only=False) for c in ("h", "key", "known"))
+        h, key = (np.concatenate(x) for x in zip(wait, (h, key), strict=True))
         known = np.concatenate([np.zeros(len(h) - len(known), dtype=bool), known])
         if not len(h):
             continue
-        first = _runs(h)
-        ends = np.flatnonzero(np.append(first[1:] != first[:-1], True))
-        starts = first[ends]
+        starts = np.flatnonzero(_leads(h))
+        ends = np.append(starts[1:], len(h)) - 1
         shared = (key[starts] != key[ends]) | np.logical_or.reduceat(known, starts)
         if open_hash is not None and h[0] == open_hash:
             shared[0] = True
         keep = np.repeat(shared, ends - starts + 1)
         open_hash = h[-1] if shared[-1] else None
         rest = slice(len(h) if shared[-1] else starts[-1], len(h))
-        wait = [h[rest], key[rest], pos[rest]]
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(pos[keep])], schema=out)
+        wait = [h[rest], key[rest]]
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(h[keep])], schema=out)
 
 
-#: place is the start and, from bit 32 on, the stop of a run of words; negative if the run is settled.
-#: An open run stands for all windows of one node in one document that touch, so a line repeated many times is one row.
-_WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64())])
+TREE, NODE, SETTLED = 0, 1, 2
+#: k deals the row out; doc is the number of the document; words are those of n windows from start on. places are
+#: runs of words, as pairs of int32, for all windows of a document below one node; none if it is the window itself.
+_SUFFIXES = pa.schema(
+    [("k", pa.int64()), ("k2", pa.int64()), ("kind", pa.int8()), ("doc", pa.int64()), ("key", pa.int64()), ("more", pa.int64())]
+    + [("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary()), ("places", pa.binary())]
+)
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same words in runs that don't touch, by document."""
-    if not len(doc):
-        return doc, start, stop
-    order = np.lexsort((start, doc))
-    doc, start, stop = doc[order], start[order], stop[order]
-    apart = np.cumsum(np.append(False, doc[1:] != doc[:-1])) << 33
-    reach = np.maximum.accumulate(stop + apart)
-    at = np.flatnonzero(np.append(True, (start + apart)[1:] > reach[:-1]))
-    return doc[at], start[at], np.maximum.reduceat(stop, at)
+def _packed(starts: np.ndarray, stops: np.ndarray) -> bytes:
+    return np.stack([starts, stops], 1).astype(np.int32).tobytes()
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2 in a task: windows that hold a shared prefix. Settled rows are runs of words to cut."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def settle() -> pa.RecordBatch:
-        h1, h2, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, doc, h2, h1))
-        h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
-        later = doc > doc[_runs(h1, h2)]
-        cut_doc, cut_start, cut_stop = _merged(doc[later], start[later], start[later] + WINDOW)
-        h1, h2, doc, start = h1[~later], h2[~later], doc[~later], start[~later]
-        new = np.ones(len(h1), dtype=bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + WINDOW)
-        at, n = np.flatnonzero(new), len(cut_doc)
-        stop = start[np.append(at[1:], len(h1)) - 1] + WINDOW
-        columns = (
-            np.concatenate([h1[at], cut_doc]), np.concatenate([h2[at], np.zeros(n, dtype=np.int32)]),
-            np.concatenate([doc[at], cut_doc]), np.concatenate([start[at] | stop << 32, cut_start | cut_stop << 32 | np.int64(-(2**63))]),
-        )
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_WINDOWS)
-
-    for batch in C.arrow_steps(batches):
-        for doc, text, at in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("at").to_pylist(), strict=True):
-            words = (text or b"").split()
-            n = len(words) - WINDOW + 1
-            if n < 1:
-                continue
-            ids = word_ids(words)
-            mark = np.zeros(n + 1, dtype=np.int64)
-            at = np.array(at, dtype=np.int64)
-            np.add.at(mark, np.clip(at - (WINDOW - PREFIX), 0, n), 1)
-            np.add.at(mark, np.clip(at + 1, 0, n), -1)
-            start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-            if not len(start):
+def _settled(rank: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes by node, document, text and place, and in that order whether a node has a lesser document."""
+    order = np.lexsort((start, text, doc, rank))
+    by_doc = doc[order]
+    return order, by_doc > by_doc[_runs(rank[order])]
+
+
+class _Buffer:
+    """Texts of a task, about ``BUFFER`` words of theirs that lie in windows under shared prefixes."""
+
+    def __init__(self, hot: np.ndarray):
+        self.hot = hot
+        self.clear()
+
+    def clear(self) -> None:
+        self.names: list[tuple[int, int, int]] = []  # doc, key, more
+        self.seen: set[tuple[int, int]] = set()
+        self.words: list[list[bytes]] = []
+        self.ids: list[np.ndarray] = []
+        self.windows: list[tuple[np.ndarray, ...]] = []  # text, start, place among the held words, prefix hash, place of the prefix
+        self.size = 0
+
+    def add(self, name: tuple[int, int, int], text: bytes, shared: list[int]) -> None:
+        words = text.split()
+        if len(words) < WINDOW or name[1:] in self.seen:
+            return
+        ids = word_ids(words)
+        h = rolling(ids, PREFIX, 0)
+        at = picked(h)
+        start = np.flatnonzero(np.isin(h[at].view(np.int64), np.array(shared, dtype=np.int64)))
+        if not len(start):
+            return
+        cover = np.zeros(len(words) + 1, dtype=np.int64)
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + WINDOW, -1)
+        cover = np.cumsum(cover[:-1]) > 0
+        place = (np.cumsum(cover) - 1)[start]
+        held = np.flatnonzero(cover).tolist()
+        self.seen.add(name[1:])
+        self.windows.append((np.full(len(start), len(self.names)), start, place + self.size, h[at[start]].view(np.int64), at[start]))
+        self.names.append(name)
+        self.words.append([words[i] for i in held])
+        self.ids.append(ids[cover])
+        self.size += len(held)
+
+    def rows(self) -> pa.RecordBatch:
+        """The suffixes that go on, and runs of words that are settled."""
+        text, start, place, prefix, at = (np.concatenate(x) for x in zip(*self.windows, strict=True))
+        names = np.array(self.names, dtype=np.int64)
+        rank = ranks(_numbered(self.words))[place]
+        order, later = _settled(rank, names[text, 0], text, start)
+        out: dict[str, list] = {f.name: [] for f in _SUFFIXES}
+
+        def put(k, k2, kind, t, start, n, words, places) -> None:
+            for name, value in zip(out, (k, k2, kind, *self.names[t], start, n, words, places), strict=True):
+                out[name].append(value)
+
+        cut = order[later]
+        cut_text, cut_start, cut_stop = _merged(text[cut], start[cut], start[cut] + WINDOW)
+        for a, b in _spans(_leads(cut_text)):
+            t = int(cut_text[a])
+            put(self.names[t][1], 0, SETTLED, t, 0, 0, None, _packed(cut_start[a:b], cut_stop[a:b]))
+
+        # Of the windows of a text below one node the first stands for all.
+        kept = order[~later]
+        first = np.flatnonzero(_leads(rank[kept], text[kept]))
+        count = np.diff(np.append(first, len(kept)))
+        rep = kept[first]
+        places: dict[int, bytes] = {}
+        for i in np.flatnonzero(count > 1).tolist():
+            all_of = kept[first[i] : first[i] + count[i]]
+            _, a, b = _merged(np.zeros(len(all_of), dtype=np.int64), start[all_of], start[all_of] + WINDOW)
+            places[int(rep[i])] = _packed(a, b)
+
+        hot = self.hot[prefix[rep] % len(self.hot)] if len(rep) else np.zeros(0, dtype=bool)
+        offsets = np.cumsum([0, *map(len, self.words)])
+        whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in rep[hot].tolist():
+            t = int(text[w])
+            if t not in whole:
+                whole[t] = (rolling(self.ids[t], WINDOW, 1).view(np.int64), rolling(self.ids[t], WINDOW, 2).view(np.int64))
+            i = int(place[w] - offsets[t])
+            put(whole[t][0][i], whole[t][1][i], NODE, t, start[w], 1, None, places.get(w))
+
+        cold = np.sort(rep[~hot])  # by text and start
+        single = np.isin(cold, list(places)) if places else np.zeros(len(cold), dtype=bool)
+        new = np.ones(len(cold), dtype=bool)
+        new[1:] = (text[cold][1:] != text[cold][:-1]) | (start[cold][1:] != start[cold][:-1] + 1) | (at[cold][1:] != at[cold][:-1]) | single[1:] | single[:-1]
+        for a, b in _spans(new):
+            w, t = int(cold[a]), int(text[cold[a]])
+            i = int(place[w] - offsets[t])
+            put(prefix[w], 0, TREE, t, start[w], b - a, b" ".join(self.words[t][i : i + b - a + WINDOW - 1]), places.get(w))
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in _SUFFIXES], schema=_SUFFIXES)
+
+
+def _suffix_rows(hot: np.ndarray, buffer: int):
+    """Step 2 in a task; ``hot`` tells by slot whether prefixes are lengthened."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Buffer(hot)
+        for batch in C.arrow_steps(batches):
+            columns = [batch.column(c).to_pylist() for c in ("doc", "key", "more", "shared")]
+            for doc, key, more, shared, text in zip(*columns, _texts(batch), strict=True):
+                held.add((doc, key, more), text or b"", shared)
+                if held.size >= buffer:
+                    yield held.rows()
+                    held.clear()
+        if held.names:
+            yield held.rows()
+
+    return run
+
+
+_CUTS = pa.schema([("key", pa.int64()), ("more", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+
+
+def _cut_rows(key: np.ndarray, more: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """``text`` indexes key and more."""
+    text, start, stop = _merged(text, start.astype(np.int64), stop.astype(np.int64))
+    columns = (key[text], more[text], start.astype(np.int32), stop.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_CUTS)
+
+
+def _unpacked(places: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the entry, start and stop of every run."""
+    runs = [np.frombuffer(p, dtype=np.int32).reshape(-1, 2) for p in places]
+    flat = np.concatenate([*runs, np.zeros((0, 2), dtype=np.int32)])
+    return np.repeat(np.arange(len(runs)), [len(r) for r in runs]), flat[:, 0], flat[:, 1]
+
+
+def _tree_cuts(rows: dict[str, list]) -> pa.RecordBatch:
+    """Step 3: cuts of whole groups, from rows of kind ``TREE``."""
+    n = np.array(rows["n"], dtype=np.int64)
+    words = [w.split() for w in rows["words"]]
+    offset = np.cumsum([0, *map(len, words)])[:-1]
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    rank = ranks(_numbered(words))[offset[row] + step]
+    doc, start = np.array(rows["doc"], dtype=np.int64), np.array(rows["start"], dtype=np.int64)
+    order, later = _settled(rank, doc[row], row, step)
+    cut = order[later]
+    has = np.array([p is not None for p in rows["places"]], dtype=bool)
+    plain, listed = cut[~has[row[cut]]], row[cut[has[row[cut]]]]
+    index, a, b = _unpacked([rows["places"][i] for i in listed.tolist()])
+    begin = start[row[plain]] + step[plain]
+    text = np.concatenate([row[plain], listed[index]])
+    return _cut_rows(np.array(rows["key"], dtype=np.int64), np.array(rows["more"], dtype=np.int64), text, np.concatenate([begin, a]), np.concatenate([begin + WINDOW, b]))
+
+
+def _cuts(buffer: int):
+    """Step 3 over all tasks: rows sorted by group, node and document; gives runs of words to cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("k", "doc", "key", "more", "start", "n", "words", "places")
+        held: dict[str, list] = {c: [] for c in names}
+        size = 0
+        node, least = None, 0
+        for part in batches:
+            kind = part.column("kind").to_numpy(zero_copy_only=False)
+            done = part.filter(pa.array(kind == SETTLED))
+            if done.num_rows:
+                index, a, b = _unpacked(done.column("places").to_pylist())
+                key, more = (done.column(c).to_numpy(zero_copy_only=False) for c in ("key", "more"))
+                yield _cut_rows(key, more, index, a, b)
+            single = part.filter(pa.array(kind == NODE))
+            if single.num_rows:
+                k, k2, doc, key, more, start = (single.column(c).to_numpy(zero_copy_only=False) for c in ("k", "k2", "doc", "key", "more", "start"))
+                first = _runs(k, k2)
+                lead = doc[first]
+                if node == (k[0], k2[0]):
+                    lead[first == 0] = least
+                node, least = (k[-1], k2[-1]), lead[-1]
+                cut = np.flatnonzero(doc > lead)
+                places = [p if p is not None else _packed(start[i : i + 1], start[i : i + 1] + WINDOW) for i, p in zip(cut.tolist(), single.column("places").take(pa.array(cut)).to_pylist(), strict=True)]
+                index, a, b = _unpacked(places)
+                yield _cut_rows(key, more, cut[index], a, b)
+            tree = part.filter(pa.array(kind == TREE))
+            if not tree.num_rows:
                 continue
-            h1, h2 = rolling(ids, WINDOW, 1)[start].view(np.int64), (rolling(ids, WINDOW, 2)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            held.append((h1, h2, np.full(len(start), doc, dtype=np.int64), start))
-            size += len(start)
-            if size >= BUFFER:
-                yield settle()
-                held, size = [], 0
-    if held:
-        yield settle()
-
-
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2 over all tasks: rows sorted by node and document; gives runs of words to cut."""
-    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-    node, least = None, 0
-    for part in batches:
-        h1, h2, doc, place = (part.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "doc_id", "place"))
-        if not len(h1):
-            continue
-        start, stop = place & 0xFFFFFFFF, (place >> 32) & ALL
-        done, go = place < 0, place >= 0
-        a, b, d = h1[go], h2[go], doc[go]
-        first = _runs(a, b)
-        lead = d[first]
-        if len(a):
-            if node == (a[0], b[0]):
-                lead[first == 0] = least
-            node, least = (a[-1], b[-1]), lead[-1]
-        later = d > lead
-        cut = done.copy()
-        cut[go] = later
-        cut_doc, cut_start, cut_stop = _merged(doc[cut], start[cut], stop[cut])
-        columns = (cut_doc, cut_start.astype(np.int32), cut_stop.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
-
-
-def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and at, an array of struct(start, stop): the words to remove of each document that has some.
-
-    Runs may overlap; the run to ``ALL`` stands for the whole of a copy.
-    """
-    texts = C.id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("key", F.xxhash64("text"))
-    ids = texts.select("doc_id", "key", F.hash("text").alias("more"), F.length("text").alias("n"))
-    least = ids.groupBy("key", "more", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    copied = least.filter("most > least").select(*(F.col(c).alias(f"of_{c}") for c in ("key", "more", "n")), "least")
-    same = F.col("key").eqNullSafe(F.col("of_key")) & (F.col("more") == F.col("of_more")) & (F.col("n") == F.col("of_n"))
-    copies = ids.join(copied, same).filter("doc_id > least").select("doc_id", F.lit(0).alias("start"), F.lit(ALL).alias("stop")).distinct()
-
-    prefixes = texts.select("text", "key").mapInArrow(_prefix_rows, C.spark_schema(_PREFIXES))
-    prefixes = prefixes.repartition("k").sortWithinPartitions("h", "key", "pos").select("h", "key", "pos", "known")
-    shared = prefixes.mapInArrow(_shared_prefixes, "key long, pos int").groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    wanted = shared.join(least.select("key", "least"), "key").select(F.col("least").alias("of"), F.col("key").alias("of_key"), "at")
-    found = texts.join(wanted.hint("merge"), (F.col("doc_id") == F.col("of")) & (F.col("key") == F.col("of_key"))).select("doc_id", "text", "at")
-    windows = found.sortWithinPartitions("doc_id").mapInArrow(_window_rows, C.spark_schema(_WINDOWS))
-    windows = windows.repartition("h1").sortWithinPartitions("h1", "h2", "doc_id", "place")
-    runs = windows.mapInArrow(_cuts, "doc_id long, start int, stop int")
-    return runs.unionAll(copies).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("at"))
+            more_rows = {c: tree.column(c).to_pylist() for c in names}
+            if size >= buffer and more_rows["k"][0] != held["k"][-1]:
+                yield _tree_cuts(held)
+                held, size = {c: [] for c in names}, 0
+            # Groups are whole up to the last change of k; what is after it waits for the next rows.
+            for c in names:
+                held[c] += more_rows[c]
+            size += sum(more_rows["n"]) + (WINDOW - 1) * tree.num_rows
+            if size >= buffer and held["k"][0] != (last := held["k"][-1]):
+                at = next(i for i in range(len(held["k"]) - 1, -1, -1) if held["k"][i] != last) + 1
+                yield _tree_cuts({c: v[:at] for c, v in held.items()})
+                held = {c: v[at:] for c, v in held.items()}
+                size = sum(held["n"]) + (WINDOW - 1) * len(held["n"])
+        if held["k"]:
+            yield _tree_cuts(held)
+
+    return run
+
+
+def _numbers(least: DataFrame) -> DataFrame:
+    """Adds doc, a whole number in the order of the ids: the id itself, or its place among all ids by a range sort."""
+    if isinstance(least.schema["least"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return least.withColumn("doc", F.col("least").cast("long"))
+    order = least.select(F.col("least").alias("of_id")).distinct().orderBy("of_id").withColumn("doc", F.monotonically_increasing_id())
+    return least.join(order, F.col("least") == F.col("of_id")).drop("of_id")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and key and more, which stand for the text."""
+    text = F.col("text")
+    return C.id_and_text(docs, id_col, text_col).select("doc_id", "text", F.xxhash64(text).alias("key"), F.xxhash64(F.lit(9), text).alias("more"))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and at, the runs of words to cut (null: none; they may overlap, the run to ``ALL`` stands for a whole copy)."""
+    scratch = C.Scratch(docs.sparkSession)
+    texts = _keyed(docs, id_col, text_col)
+    known = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    prefixes = known.select("text", "key").mapInArrow(_prefix_rows(BUFFER), C.spark_schema(_PREFIXES))
+    prefixes = prefixes.repartition("k").sortWithinPartitions("h", "key").select("h", "key", "known")
+    shared = scratch.keep(prefixes.mapInArrow(_shared_prefixes, "key long, h long"), "prefixes")
+    counts = shared.groupBy(F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
+    hot = np.zeros(SLOTS, dtype=bool)
+    hot[[r.slot for r in counts.select("slot").collect()]] = True
+
+    least = known.groupBy("key", "more").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    by_text = shared.groupBy("key").agg(F.collect_set("h").alias("shared"))
+    wanted = _numbers(least.drop("most").join(by_text, "key")).select(F.col("key").alias("of_key"), F.col("more").alias("of_more"), "least", "doc", "shared")
+    wanted = scratch.keep(wanted, "wanted")
+    few = _is_small(wanted, "shared")
+
+    def on_text(left: DataFrame, right: DataFrame, near: bool, how: str, *also) -> DataFrame:
+        same = (F.col("key") == F.col("of_key")) & (F.col("more") == F.col("of_more"))
+        for c in also:
+            same = same & c
+        return left.join(F.broadcast(right) if near else right.hint("merge"), same, how)
+
+    found = on_text(texts, wanted, few, "inner", F.col("doc_id").eqNullSafe(F.col("least"))).select("doc", "key", "more", "text", "shared")
+    found = found if few else found.sortWithinPartitions("key", "more")
+    rows = found.mapInArrow(_suffix_rows(hot, BUFFER), C.spark_schema(_SUFFIXES))
+    rows = rows.repartition("k").sortWithinPartitions("k", "kind", "k2", "doc", "key", "start")
+    cuts = rows.mapInArrow(_cuts(BUFFER), C.spark_schema(_CUTS)).groupBy("key", "more").agg(F.collect_list(F.struct("start", "stop")).alias("at"))
+    info = least.join(cuts, ["key", "more"], "left").filter(F.col("at").isNotNull() | (F.col("most") > F.col("least")))
+    info = info.select(F.col("key").alias("of_key"), F.col("more").alias("of_more"), "least", "at")
+    if few:
+        info = scratch.keep(info, "cuts")
+        few = _is_small(info, "at")
+    out = on_text(texts, info, few, "left")
+    copy = F.array(F.struct(F.lit(0).alias("start"), F.lit(ALL).alias("stop")))
+    return out.select("doc_id", "text", F.when(F.col("doc_id") > F.col("least"), copy).when(F.col("doc_id") == F.col("least"), F.col("at")).alias("at"))
+
+
+def _is_small(table: DataFrame, items: str) -> bool:
+    n, of = table.agg(F.count(F.lit(1)), F.sum(F.size(F.coalesce(items, F.array())))).first()
+    return n <= BROADCAST_ROWS and (of or 0) <= BROADCAST_ITEMS
 
 
 def kept_words(words: list[bytes], at: list[dict] | None) -> list[bytes]:
@@ -307,12 +521,6 @@ def kept_words(words: list[bytes], at: list[dict] | None) -> list[bytes]:
     return [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    found = cuts(docs, id_col, text_col).select(F.col("doc_id").alias("of"), "at")
-    return own.join(found.hint("shuffle_hash"), own["doc_id"].cast("long") == F.col("of"), "left").select("doc_id", "text", "at")
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text of every row, with the repeated words gone and the others joined by one space."""
     schema = C.arrow_schema(C.id_type(docs, id_col), text=pa.string())
