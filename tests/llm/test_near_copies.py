@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from textloom.llm import near_copies
@@ -15,7 +17,7 @@ def plain_set(text: str | None) -> frozenset:
 
 
 def plain_kept(given: list[tuple]) -> list[int]:
-    """Indexes of the rows that stay, with the number of pairs that aren't copies."""
+    """Indexes of the rows that stay."""
     sets = [plain_set(t) for _, t in given]
     parent = list(range(len(sets)))
 
@@ -24,17 +26,14 @@ def plain_kept(given: list[tuple]) -> list[int]:
             x = parent[x]
         return x
 
-    near = 0
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
             if a == b or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)):
-                near += a != b
                 parent[find(i)] = find(j)
     groups: dict = {}
     for i in range(len(sets)):
         groups.setdefault(find(i), []).append(i)
-    assert near
     return [min(g, key=lambda i: (given[i][0] is None, given[i][0] or 0)) for g in groups.values()]
 
 
@@ -43,21 +42,38 @@ def test_against_all_pairs(spark, monkeypatch, frequent):
     monkeypatch.setattr(near_copies, "FREQUENT", frequent)
     given = [r for r in rows(5, 120) if r[0] is not None]
     want = {given[i][0] for i in plain_kept([(r[0], r[1]) for r in given])}
-    got = near_copies.least_copies(table(spark, given))
+    assert len(want) < len({r[1] for r in given})  # near copies go, not only copies
+    got = near_copies.one_of_each(table(spark, given))
     assert sorted(r.doc_id for r in got.collect()) == sorted(want) and got.columns == table(spark, given).columns
-    assert near_copies.least_copies(table(spark, [])).count() == 0
+    assert near_copies.one_of_each(table(spark, [])).count() == 0
 
 
 def test_against_all_pairs_of_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     given = [(r.doc_id, r.text) for r in docs.collect()]
     want = {given[i][0] for i in plain_kept(given)}
-    assert sorted(r[0] for r in as_rows(near_copies.least_copies(docs), "doc_id").elements()) == sorted(want)
+    assert sorted(r[0] for r in as_rows(near_copies.one_of_each(docs), "doc_id").elements()) == sorted(want)
 
 
 def test_repeated_and_null_ids(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
     given = [(7, one), (7, two), (7, two), (None, one), (None, None), (None, "only here"), (9, two)]
     docs = table(spark, [(d, t, "en", "a", 1, "") for d, t in given])
-    got = as_rows(near_copies.least_copies(docs), "doc_id", "text")
+    got = as_rows(near_copies.one_of_each(docs), "doc_id", "text")
     assert got == {(7, one): 1, (7, two): 1, (None, None): 1, (None, "only here"): 1}
+
+
+def test_crowded_groups_and_clashing_columns(spark):
+    """One large group whose members are near a base, not all near each other; names of the operator's own columns."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(60)}" for _ in range(220)]
+    given = []
+    for i in range(90):
+        text = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            text[rng.randrange(len(text))] = f"v{rng.randrange(400)}"
+        given.append((i, " ".join(text)))
+    given += [(200 + i, " ".join(f"u{rng.randrange(300)}" for _ in range(90))) for i in range(20)]
+    docs = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in given], "doc_id long, text string, row int, textloom_row string, kept int").repartition(3)
+    got = near_copies.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(given[i][0] for i in plain_kept(given))

@@ -16,6 +16,7 @@ from textloom.llm.common import Scratch
 
 from ..oracle import compare, connect
 from .data import as_rows, rows, table, words
+from .test_near_copies import plain_kept
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -101,7 +102,7 @@ def plain_components(prints: list[int], ids: list) -> list:
     return [least.get(find(i)) for i in range(len(ids))]
 
 
-@pytest.mark.parametrize("bucket", [512, 2])
+@pytest.mark.parametrize("bucket", [1024, 2])
 def test_near_duplicates(spark, monkeypatch, bucket):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     given = rows()
@@ -110,7 +111,7 @@ def test_near_duplicates(spark, monkeypatch, bucket):
     assert as_rows(simhash.near_duplicates(table(spark)), "doc_id", "fingerprint", "component_id") == want
 
 
-@pytest.mark.parametrize("bucket", [512, 8])
+@pytest.mark.parametrize("bucket", [1024, 8])
 def test_links_of_crowded_fingerprints(spark, monkeypatch, bucket):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     rng = np.random.default_rng(2)
@@ -138,15 +139,8 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
-def test_near_duplicates_empty_and_kept(spark):
+def test_near_duplicates_empty(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
-    docs = table(spark)
-    kept = simhash.one_of_each(docs)
-    found = simhash.near_duplicates(docs)
-    want = {r.doc_id for r in found.collect() if r.doc_id is not None and r.doc_id == r.component_id}
-    got = as_rows(kept, "doc_id")
-    assert kept.columns == docs.columns
-    assert got == Counter({(d,): 1 for d in want} | {(None,): 2})
 
 
 def plain_cuts(given: list[tuple]) -> Counter:
@@ -306,8 +300,7 @@ def test_pipeline_against_plain_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in quality_rules.quality_rules(docs).filter("kept").collect()}
     left = [r for r in docs.collect() if r.doc_id in kept]
-    comp = plain_components([plain_print(r.text) for r in left], [r.doc_id for r in left])
-    left = [r for r, c in zip(left, comp, strict=True) if r.doc_id == c]
+    left = [left[i] for i in plain_kept([(r.doc_id, r.text) for r in left])]
     items = [shingles(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     left = [r for r in left if not any(s and 5 * len(s & g) >= 4 * len(s) for g in [shingles(r.text)] for s in items)]
     texts = {r.doc_id: secret_scan.redact(r.text) for r in left}

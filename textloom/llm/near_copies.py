@@ -1,15 +1,23 @@
-"""Near copies by exact Jaccard similarity, for stages: all pairs of at least 4/5 over shingles of five words.
+"""Operator 8 as a stage: SimHash near-dedup that keeps one row of each group of near copies.
 
-Rows with the same set of shingles are one node. A set of n shingles has a prefix: its first
-n - ceil(0.8 n) + 1 shingles in one order that all sets share. Two sets at 0.8 or more share a
-shingle of both prefixes, so pairs meet at prefix shingles and none is lost; sizes and positions
-discard pairs that can't reach 0.8, and all others are verified on their whole sets. The order is
-by hash, with the shingles that a sample shows in many sets last: any sample gives the same pairs,
-it only keeps license lines and the like out of the prefixes.
+Near copies are rows whose sets of five-word shingles have a Jaccard similarity of 4/5 or more; a
+group is all rows joined by a chain of such pairs. Rows with the same set are one node. Three sources
+propose pairs of nodes, and every pair is verified on whole sets:
+
+1. SimHash fingerprints of the shingles, linked by pivot distance tables (:func:`textloom.llm.simhash.links`).
+2. Stars at shared prefix shingles. A set of n shingles has a prefix: its first n - ceil(0.8 n) + 1 shingles
+   in one order that all sets share. Two sets at 0.8 or more share a shingle of both prefixes. At each such
+   shingle all nodes are compared with the one of the least hash; sizes and positions discard pairs that can't reach 0.8.
+3. After links of 1 and 2 have become components, all pairs at shared prefix shingles whose nodes are still in
+   different components. So no link between components is lost, and a large group of near
+   copies, which 1 and 2 join, isn't compared pair by pair.
+
+Fingerprints two bits apart alone would miss most pairs at 0.8 (they are 3 to 18 bits apart), hence 2 and 3.
+The order of shingles is by hash, with those that a sample shows in many sets last: any sample gives the same
+groups, it only keeps license lines and the like out of the prefixes.
 
 Defined results: A-Z count as lower case; a text under five words is one shingle, a null or empty
-one or one of blanks is the empty set, equal only to its like; a component is all rows joined by a
-chain of pairs.
+one or one of blanks is the empty set, equal only to its like; null ids are ordinary rows that come last.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import fingerprint_of, links as fingerprint_links, shingle_hashes
 
 SHINGLE = 5
 #: Documents of the sample, and the sets of it that make a shingle a frequent one; at most so many are kept.
@@ -68,23 +76,52 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array(got, dtype=np.int64).view(np.uint64))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes in runs of equal keys, rows sorted by key; the last run of a batch waits for the next."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held = None
-    for part in batches:
-        now = [part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "at", "node")]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
-        if cut:
-            yield from _pairs([x[:cut] for x in held], schema)
-            held = [x[cut:] for x in held]
-    if held is not None:
-        yield from _pairs(held, schema)
+def _candidates(stars: bool):
+    """Pairs of nodes in runs of equal keys, rows sorted by key, size and node; the last run of a batch waits for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        find = _stars if stars else _pairs
+        for part in batches:
+            now = [part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "at", "node", "root")]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+            if cut:
+                yield from find(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield from find(*held)
+
+    return run
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _reachable(n, m, pos_n, pos_m):
+    """Whether sets of n and m shingles that share one at these places of their prefixes can have 4/5."""
+    most = np.minimum(n - pos_n, m - pos_m)
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * most >= 4 * (n + m))
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
 
-def _pairs(held: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    keys, n, pos, node = held
+def _stars(keys, n, pos, node, root) -> Iterator[pa.RecordBatch]:
+    """Each node with the least node of its run."""
+    if not len(keys):
+        return
+    new = np.append(True, keys[1:] != keys[:-1])
+    run = np.cumsum(new) - 1
+    order = np.lexsort((node, run))
+    lead = order[np.flatnonzero(np.append(True, run[order][1:] != run[order][:-1]))][run]
+    ok = (node != node[lead]) & _reachable(n, n[lead], pos, pos[lead])
+    yield _pair_rows(node[ok], node[lead][ok])
+
+
+def _pairs(keys, n, pos, node, root) -> Iterator[pa.RecordBatch]:
+    """All pairs of nodes in different components."""
     start = np.arange(len(keys))
     lag = 0
     while True:
@@ -95,10 +132,8 @@ def _pairs(held: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch
         if not len(start):
             return
         end = start + lag
-        most = np.minimum(n[start] - pos[start], n[end] - pos[end])
-        ok = 9 * most >= 4 * (n[start] + n[end])
-        a, b = node[start[ok]], node[end[ok]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+        ok = (root[start] != root[end]) & _reachable(n[start], n[end], pos[start], pos[end])
+        yield _pair_rows(node[start[ok]], node[end[ok]])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +146,25 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
 
-def links(texts: DataFrame, nodes: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """a, b: all pairs of different nodes at 4/5 or more. ``nodes`` has node, n, prefix and one row with that set."""
-    posted = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key")).repartition("key").sortWithinPartitions("key", "n", "node")
-    pairs = scratch.save(posted.select("key", "n", F.col("at").cast("long").alias("at"), "node").mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
+def _proposed(nodes: DataFrame, stars: bool) -> DataFrame:
+    """a, b from prefix shingles; ``nodes`` has node, n, prefix and root."""
+    posted = nodes.select("node", "root", "n", F.posexplode("prefix").alias("at", "key")).repartition("key").sortWithinPartitions("key", "n", "node")
+    return posted.select("key", "n", F.col("at").cast("long").alias("at"), "node", "root").mapInArrow(_candidates(stars), "a long, b long")
+
+
+def _print_links(nodes: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """a, b: the least node of each fingerprint with its other nodes, and with those of linked fingerprints."""
+    least = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")), "prints")
+    met = fingerprint_links(least.select("fp"), scratch)
+    of = [least.select(F.col("fp").alias(f"{c}_fp"), F.col("lead").alias(f"{c}_node")) for c in ("x", "y")]
+    linked = met.join(of[0], F.col("a") == F.col("x_fp")).join(of[1], F.col("b") == F.col("y_fp")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    same = nodes.join(least.filter("n > 1").select(F.col("fp").alias("of_fp"), "lead"), F.col("fp") == F.col("of_fp")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    return linked.unionAll(same.filter("a <> b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _verify(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """The pairs at 4/5 or more; the sets are made again from the texts of the nodes that occur."""
+    pairs = scratch.save(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("of")).unionAll(pairs.select(F.col("b").alias("of"))).distinct()
     wanted = scratch.save(nodes.join(wanted, F.col("node") == F.col("of"), "left_semi").select("row"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
@@ -125,6 +175,7 @@ def links(texts: DataFrame, nodes: DataFrame, scratch: C.Scratch) -> DataFrame:
         return node_of(found), found.view(np.int64).tolist()
 
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    # Copies of a row make its set more than once, which changes nothing but the count of a verified pair.
     sets = _mapped(texts.join(wanted, F.col("doc_id") == F.col("row"), "left_semi"), row, schema).dropDuplicates(["node"])
     sets = scratch.save(sets.select("node", "hashes"), "sets")
     first, second = (sets.select(F.col("node").alias(f"of_{c}"), F.col("hashes").alias(c)) for c in ("x", "y"))
@@ -132,36 +183,56 @@ def links(texts: DataFrame, nodes: DataFrame, scratch: C.Scratch) -> DataFrame:
     return scratch.save(full.mapInArrow(_verified, "a long, b long"), "links")
 
 
-def least_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of one row of each component: that with the least id, then the least hash of its text.
+def _with_roots(nodes: DataFrame, links: DataFrame, scratch: C.Scratch) -> DataFrame:
+    roots = components(links, scratch).select(F.col("node").alias("of"), "root")
+    return nodes.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
 
-    Null ids come last; of rows that agree in id and text, one stays.
-    """
+
+def groups(docs: DataFrame, id_col: str, text_col: str, scratch: C.Scratch) -> DataFrame:
+    """doc_id, row (a hash of id and text), node and root: rows of one group share the root."""
     # The hash of id and text stands for the row: ids may repeat or be null.
-    texts = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    row_hash = F.xxhash64(docs[id_col], docs[text_col])
+    texts = docs.select(row_hash.alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    last = _frequent(texts)
+    schema = C.arrow_schema(C.id_type(docs, id_col), row=pa.int64(), node=pa.int64(), n=pa.int64(), prefix=pa.list_(pa.int64()), fp=pa.int64())
+    narrow = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), row_hash.alias("row"))
+
+    def of(row: int, text: bytes) -> tuple:
+        hashes = shingle_hashes(text, SHINGLE)
+        found = np.unique(hashes)
+        return row, node_of(found), len(found), prefix(found, last).view(np.int64).tolist(), fingerprint_of(hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in C.arrow_steps(batches):
+            made = [of(r, t or b"") for r, t in zip(part.column("row").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True)]
+            columns = [pa.array([m[i] for m in made], type=schema.field(i + 1).type) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(schema.field(0).type), *columns], schema=schema)
+
+    rows = scratch.save(narrow.mapInArrow(run, C.spark_schema(schema)), "rows")
+    nodes = scratch.save(rows.select("node", "n", "prefix", "row", "fp").dropDuplicates(["node"]), "nodes")
+    alone = nodes.withColumn("root", F.col("node"))
+    near = _verify(texts, nodes, _print_links(nodes, scratch).unionAll(_proposed(alone, True)), scratch)
+    rest = _verify(texts, nodes, _proposed(scratch.save(_with_roots(nodes, near, scratch), "rooted"), False), scratch)
+    return _with_roots(rows.select("doc_id", "row", "node"), near.unionAll(rest), scratch)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of one row of each group: that with the least id, then the least hash of id and text.
+
+    Null ids come last; of rows that agree in id and text, that with the least hash of all its columns stays.
+    """
     with C.Scratch(docs.sparkSession) as scratch:
-        last = _frequent(texts)
-
-        def row(text: bytes) -> tuple:
-            found = shingle_set(text)
-            return node_of(found), len(found), prefix(found, last).view(np.int64).tolist()
-
-        schema = C.arrow_schema(C.id_type(docs, id_col), row=pa.int64(), node=pa.int64(), n=pa.int64(), prefix=pa.list_(pa.int64()))
-        narrow = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("row"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in C.arrow_steps(batches):
-                made = [row(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
-                columns = [pa.array([m[i] for m in made], type=schema.field(i + 2).type) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(schema.field(0).type), part.column("row"), *columns], schema=schema)
-
-        rows = scratch.save(narrow.mapInArrow(run, C.spark_schema(schema)), "rows")
-        nodes = scratch.save(rows.select("node", "n", "prefix", "row").dropDuplicates(["node"]), "nodes")
-        roots = components(links(texts, nodes, scratch), scratch).select(F.col("node").alias("of"), "root")
-        placed = rows.select("doc_id", "row", "node").join(roots, F.col("node") == F.col("of"), "left")
-        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-        named = placed.groupBy(F.coalesce("root", "node")).agg(least).select(F.col("least.row").alias("__textloom_row"))
-        kept = scratch.keep(named, "kept_rows")
-    marked = docs.withColumn("__textloom_of", F.xxhash64(docs[id_col], docs[text_col]))
-    one = marked.join(kept, F.col("__textloom_of") == F.col("__textloom_row"), "left_semi").dropDuplicates(["__textloom_of"])
-    return one.drop("__textloom_of")
+        placed = scratch.save(groups(docs, id_col, text_col, scratch), "placed")
+        least = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
+        kept = least.select(F.col("least.row").alias("kept")).distinct()
+        # Few rows go and fewer are repeated whole, so these travel, not the others.
+        each = placed.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+        fate = each.join(kept, F.col("row") == F.col("kept"), "left").filter("kept IS NULL OR n > 1")
+        fate = scratch.keep(fate.select(F.struct(F.col("row"), F.col("kept").isNotNull().alias("once")).alias("textloom_fate")), "fates")
+    near = F.broadcast if fate.count() <= BROADCAST_ROWS else lambda df: df
+    # Columns are held in structs, so that none of the table's own names can clash.
+    held = docs.select(F.struct("*").alias("textloom_row"), F.xxhash64(docs[id_col], docs[text_col]).alias("textloom_of"))
+    told = held.join(near(fate), F.col("textloom_of") == F.col("textloom_fate.row"), "left")
+    plain = told.filter(F.col("textloom_fate").isNull()).select("textloom_row.*")
+    once = told.filter(F.col("textloom_fate.once")).groupBy("textloom_of").agg(F.min_by("textloom_row", F.xxhash64("textloom_row")).alias("textloom_row")).select("textloom_row.*")
+    return plain.unionAll(once)

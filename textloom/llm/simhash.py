@@ -1,16 +1,19 @@
 """Operator 8, SimHash near-dedup with pivot distance tables.
 
-Distinct fingerprints (copies are folded first) meet in buckets: of four 16-bit blocks, two or
-more agree if at most two bits differ, so each of the six pairs of blocks is a bucket key and no
-link is lost. In a bucket, a table of Hamming distances to ``PIVOTS`` reference fingerprints
-discards every pair whose distances to some pivot differ by more than ``MAX_BITS``; survivors are
+The table of a fingerprint has its Hamming distances to ``len(PIVOTS)`` reference fingerprints: zero, and
+``PER_BLOCK`` for each of four 16-bit blocks that are zero outside it. A distance to one of these less that to
+zero depends on its block alone. At most two differing bits leave two or more blocks equal, and with them
+their coordinates, so each of six pairs of blocks gives a bucket: the fingerprints whose table agrees in
+the coordinates of both. No link is lost. In a bucket, sorted by one distance, only pairs whose distances
+are within ``MAX_BITS`` meet; those that differ by more in any coordinate are discarded, and survivors are
 verified bit by bit. Buckets give a spanning forest of their links.
 
-Buckets of more than ``BUCKET`` fingerprints go another exact way: two fingerprints are at most two
-bits apart exactly if some value is at most one bit from both, so each fingerprint is sent to the
-65 values of its own ball. A value is shared by 65 fingerprints at most, so no group grows with the data.
+Buckets of more than ``BUCKET`` fingerprints, where tables are all alike, go another exact way: two
+fingerprints are at most two bits apart exactly if some value is at most one bit from both, so each
+fingerprint is sent to the 65 values of its own ball. A value is shared by 65 fingerprints at most, so no
+group grows with the data.
 
-Links between distinct fingerprints become components by star contraction in tables.
+Copies are folded first. Links between distinct fingerprints become components by star contraction in tables.
 
 Defined results: a null or empty text, or one of blanks, has fingerprint zero and links like any
 other; a null id belongs to its component but names none, so a component of null ids only has
@@ -32,8 +35,13 @@ from . import common as C
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-BLOCK, BUCKET = 16, 512
-PIVOTS = np.random.default_rng(64).integers(0, 2**64, 16, dtype=np.uint64, endpoint=False)
+BLOCK, BUCKET, PER_BLOCK = 16, 1024, 12
+#: More names of components than this are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+_REFERENCES = np.random.default_rng(64).integers(1, 1 << BLOCK, (4, PER_BLOCK), dtype=np.uint64)
+PIVOTS = np.concatenate([np.zeros(1, dtype=np.uint64), *(r << np.uint64(BLOCK * i) for i, r in enumerate(_REFERENCES))])
+_PAIRS = [(i, j) for i in range(4) for j in range(i)]
+_ODD = np.random.default_rng(65).integers(0, 2**62, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 1 << 16
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -52,8 +60,11 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint(text: bytes) -> int:
+    return fingerprint_of(shingle_hashes(text))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     """Signed 64-bit value: a bit is set if it is set in over half of the hashes."""
-    h = shingle_hashes(text)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), _STEP):
         bits = np.unpackbits(h[at : at + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -87,14 +98,46 @@ def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def distance_table(fps: np.ndarray) -> np.ndarray:
+    """Hamming distances of each fingerprint to all pivots."""
+    return np.bitwise_count(fps.view(np.uint64)[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
+def bucket_keys(table: np.ndarray) -> np.ndarray:
+    """Six keys of each row of the table, equal for rows that agree in the coordinates of a pair of blocks.
+
+    The coordinates of a block, each from -16 to 16, make one whole number; a key mixes two of them.
+    """
+    own = (table[:, 1:].astype(np.int64) - table[:, :1] + BLOCK).reshape(-1, 4, PER_BLOCK)
+    codes = (own * (2 * BLOCK + 1) ** np.arange(PER_BLOCK)).sum(2).astype(np.uint64)
+    out = np.empty((len(table), len(_PAIRS)), dtype=np.uint64)
+    for n, (i, j) in enumerate(_PAIRS):
+        h = codes[:, i] * _ODD[0] + codes[:, j] * _ODD[1] + np.uint64(n) * _ODD[2]
+        h = (h ^ (h >> np.uint64(32))) * _ODD[0]
+        out[:, n] = h ^ (h >> np.uint64(29))
+    return out.view(np.int64)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+    for part in batches:
+        fps = part.column("fp").to_numpy(zero_copy_only=False)
+        keys = bucket_keys(distance_table(np.ascontiguousarray(fps)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fps, keys.shape[1]))], schema=schema)
+
+
 def links_of(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-    """Verified links inside runs of equal keys; ``keys`` is sorted."""
-    table = np.bitwise_count(fps.view(np.uint64)[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    """Verified links between fingerprints of equal keys."""
+    table = distance_table(fps)
+    order = np.lexsort((fps, table[:, 0], keys))
+    keys, fps, table = keys[order], fps[order], table[order]
     found_a, found_b = [], []
-    at = np.arange(len(keys))
-    for lag in range(1, BUCKET):
+    at, lag = np.arange(len(keys)), 0
+    while True:
+        lag += 1
         at = at[: np.searchsorted(at, len(keys) - lag)]
-        at = at[keys[at] == keys[at + lag]]
+        # The first distance ascends in a bucket: once it is out of range, all after it are.
+        at = at[(keys[at] == keys[at + lag]) & (table[at + lag, 0] - table[at, 0] <= MAX_BITS)]
         if not len(at):
             break
         near = at[np.abs(table[at] - table[at + lag]).max(1) <= MAX_BITS]
@@ -128,10 +171,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def links(distinct: DataFrame, scratch: C.Scratch) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all pairs at most ``MAX_BITS`` apart."""
-    blocks = [F.shiftrightunsigned("fp", BLOCK * i).bitwiseAND(F.lit((1 << BLOCK) - 1)) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i)]
-    keys = F.array(*(F.lit(n << 2 * BLOCK) + F.shiftleft(blocks[i], BLOCK) + blocks[j] for n, (i, j) in enumerate(pairs)))
-    keyed = distinct.select("fp", F.explode(keys).alias("key"))
+    keyed = distinct.select("fp").mapInArrow(_keyed, "key long, fp long")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("of"), "n")
     met = scratch.save(keyed.join(sizes, F.col("key") == F.col("of")).select("key", "fp", "n"), "buckets")
     cold = met.filter(F.col("n") <= BUCKET).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
@@ -147,23 +187,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, one row per input row."""
     with C.Scratch(docs.sparkSession) as scratch:
         prints = scratch.keep(fingerprints(docs, id_col, text_col), "fingerprints")
-        distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
         roots = components(links(distinct.select("fp"), scratch), scratch)
         # A fingerprint without links is its own component; the others take the least id of their component.
-        placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-        placed = scratch.save(placed, "placed")
-        named = placed.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("of"), "component_id")
-        names = scratch.keep(placed.join(named, F.col("root") == F.col("of")).select(F.col("fp").alias("print"), "component_id"), "components")
-    out = prints.join(names, F.col("fp") == F.col("print"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the one document of each component that stays: that with the least id.
-
-    Rows with a null id can't be named and stay; of rows that share an id, one stays.
-    """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__textloom_kept")).distinct()
-    named = docs.join(kept, docs[id_col] == F.col("__textloom_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(docs[id_col].isNull()))
+        placed = scratch.save(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", "root"), "placed")
+        named = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("of"), "component_id")
+        linked = placed.filter("root IS NOT NULL").join(named, F.col("root") == F.col("of")).select(F.col("fp").alias("print"), "component_id")
+        # Rows that nothing is like need no name: they are most, so names are few and copies of one text don't meet in a task.
+        alone = placed.filter("root IS NULL AND n > 1").select(F.col("fp").alias("print"), F.col("least").alias("component_id"))
+        names = scratch.keep(linked.unionAll(alone).withColumn("named", F.lit(True)), "components")
+    near = F.broadcast if names.count() <= BROADCAST_ROWS else lambda df: df
+    out = prints.join(near(names), F.col("fp") == F.col("print"), "left")
+    component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
