@@ -8,7 +8,7 @@ from textloom.llm.common import Scratch
 from textloom.llm.decontamination import clean_documents
 from textloom.llm.mixing import mixed_documents
 from textloom.llm.quality_rules import good_documents
-from textloom.llm.near_copies import least_copies
+from textloom.llm.near_copies import one_of_each
 from textloom.llm.secret_scan import redact_documents
 
 
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more) the document with the least id stays."""
-    return least_copies(docs)
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
