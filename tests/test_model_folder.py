@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import predict
 from textloom.operators.classify import ModelFolder, scored, warm
+from textloom.operators.roberta import read_weights
 from textloom.sources import tables
 
 FACTORS = (-1.0, 0.5, 0.25)
@@ -106,3 +110,94 @@ def test_logits_of_a_transformer_sized_batch(spark, folder):
     df = spark.range(70).select("id", F.expr("repeat('two ', cast(1 + id % 9 as int))").alias("text"))
     got = {r.id: r.z0 for r in ModelFolder(folder).logits(df, "text").collect()}
     assert got == {i: -4.0 * (1 + i % 9) for i in range(70)}
+
+
+# A tiny RoBERTa: weights saved in the training library's layout, logits worked out value by value.
+
+CONFIG = {"model_type": "roberta", "hidden_act": "gelu", "hidden_size": 8, "intermediate_size": 12, "num_attention_heads": 2, "num_hidden_layers": 2, "layer_norm_eps": 1e-5, "pad_token_id": 1, "vocab_size": 9}
+
+
+def tiny_weights(form: str = "F32") -> tuple[dict, bytes]:
+    rng = np.random.default_rng(11)
+    shapes = {"roberta.embeddings.word_embeddings.weight": (9, 8), "roberta.embeddings.position_embeddings.weight": (600, 8), "roberta.embeddings.token_type_embeddings.weight": (1, 8)}
+    both = lambda name, *shape: {f"{name}.weight": shape, f"{name}.bias": shape[:1]}
+    shapes |= both("roberta.embeddings.LayerNorm", 8) | both("classifier.dense", 8, 8) | both("classifier.out_proj", 3, 8)
+    for i in range(2):
+        at = f"roberta.encoder.layer.{i}"
+        for part in ("query", "key", "value"):
+            shapes |= both(f"{at}.attention.self.{part}", 8, 8)
+        shapes |= both(f"{at}.attention.output.dense", 8, 8) | both(f"{at}.attention.output.LayerNorm", 8) | both(f"{at}.output.LayerNorm", 8)
+        shapes |= both(f"{at}.intermediate.dense", 12, 8) | both(f"{at}.output.dense", 8, 12)
+    arrays = {name: rng.normal(size=shape).astype({"F32": np.float32, "F16": np.float16}[form]) for name, shape in shapes.items()}
+    header, body = {"__metadata__": {"format": "pt"}}, b""
+    for name, a in arrays.items():
+        header[name] = {"dtype": form, "shape": list(a.shape), "data_offsets": [len(body), len(body) + a.nbytes]}
+        body += a.tobytes()
+    text = json.dumps(header).encode()
+    text += b" " * (-len(text) % 8)
+    return arrays, struct.pack("<Q", len(text)) + text + body
+
+
+def plain_logits(w: dict, ids: list[int]) -> list[float]:
+    """One text, without padding, by loops over plain numbers."""
+    w = {k: v.astype(float).tolist() for k, v in w.items()}
+    linear = lambda x, n: [sum(a * b for a, b in zip(row, x, strict=True)) + bias for row, bias in zip(w[f"{n}.weight"], w[f"{n}.bias"], strict=True)]
+
+    def norm(x, n):
+        mean = sum(x) / len(x)
+        spread = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x) + 1e-5)
+        return [(v - mean) / spread * g + b for v, g, b in zip(x, w[f"{n}.weight"], w[f"{n}.bias"], strict=True)]
+
+    add = lambda *xs: [sum(v) for v in zip(*xs, strict=True)]
+    e = "roberta.embeddings"
+    xs = [norm(add(w[f"{e}.word_embeddings.weight"][t], w[f"{e}.position_embeddings.weight"][2 + i], w[f"{e}.token_type_embeddings.weight"][0]), f"{e}.LayerNorm") for i, t in enumerate(ids)]
+    for layer in range(2):
+        at = f"roberta.encoder.layer.{layer}"
+        q, k, v = ([linear(x, f"{at}.attention.self.{p}") for x in xs] for p in ("query", "key", "value"))
+        out = []
+        for i, x in enumerate(xs):
+            mixed = []
+            for h in (slice(0, 4), slice(4, 8)):
+                s = [math.exp(sum(a * b for a, b in zip(q[i][h], kj[h], strict=True)) / 2) for kj in k]
+                mixed += [sum(sj * vj[h][d] for sj, vj in zip(s, v, strict=True)) / sum(s) for d in range(4)]
+            x = norm(add(x, linear(mixed, f"{at}.attention.output.dense")), f"{at}.attention.output.LayerNorm")
+            inner = [u * 0.5 * (1 + math.erf(u / math.sqrt(2))) for u in linear(x, f"{at}.intermediate.dense")]
+            out.append(norm(add(x, linear(inner, f"{at}.output.dense")), f"{at}.output.LayerNorm"))
+        xs = out
+    return linear([math.tanh(v) for v in linear(xs[0], "classifier.dense")], "classifier.out_proj")
+
+
+@pytest.fixture(params=["F32", "F16"])
+def roberta(tmp_path, request):
+    from tokenizers import Tokenizer, models, pre_tokenizers, processors
+
+    words = {"<s>": 0, "<pad>": 1, "</s>": 2, "<unk>": 3, "a": 4, "b": 5, "c": 6, "d": 7, "e": 8}
+    tokenizer = Tokenizer(models.WordLevel(words, unk_token="<unk>"))
+    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    tokenizer.post_processor = processors.TemplateProcessing(single="<s> $A </s>", special_tokens=[("<s>", 0), ("</s>", 2)])
+    tokenizer.enable_padding(length=512, pad_id=1, pad_token="<pad>")
+    tokenizer.save(str(tmp_path / "tokenizer.json"))
+    (tmp_path / "config.json").write_text(json.dumps(CONFIG))
+    arrays, saved = tiny_weights(request.param)
+    (tmp_path / "model.safetensors").write_bytes(saved)
+    return str(tmp_path), arrays
+
+
+def test_roberta_from_saved_weights(spark, roberta):
+    folder, arrays = roberta
+    texts = ["a b c", "", "d", "e e e a b zz " * 3, "c " * 40]
+    ids = lambda t: [0, *({"a": 4, "b": 5, "c": 6, "d": 7, "e": 8}.get(x, 3) for x in t.split()), 2]
+    df = spark.createDataFrame(list(enumerate([*texts, "b " * 700])), "request_id long, text string").repartition(2)
+    got = {r.request_id: (r.z0, r.z1, r.z2) for r in ModelFolder(folder).logits(df, "text").collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_logits(arrays, ids(t)), abs=2e-4)
+    assert got[5] == pytest.approx(plain_logits(arrays, [0, *[5] * 510, 2]), abs=2e-3)  # cut to 512 with both ends
+    labels = {r.request_id: r for r in scored(df, ModelFolder(folder)).collect()}
+    best = np.argmax(plain_logits(arrays, ids(texts[0])))
+    assert labels[0].label == ("LEFT", "RIGHT", "CENTER")[best] and labels[0].p_left + labels[0].p_right + labels[0].p_center == pytest.approx(1, abs=3e-6)
+
+
+def test_pointer_files_are_refused(tmp_path):
+    (tmp_path / "model.safetensors").write_text("version https://git-lfs.github.com/spec/v1\noid sha256:0\nsize 9\n")
+    with pytest.raises(ValueError, match="pointer"):
+        read_weights(tmp_path / "model.safetensors")

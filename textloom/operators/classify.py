@@ -23,8 +23,9 @@ from textloom.functions.tokens import MAX_LENGTH, PAD_ID
 log = logging.getLogger("textloom")
 
 LOGITS = ("z0", "z1", "z2")
-#: Files that a model folder must have.
-MODEL_FILES = ("config.json", "model.onnx", "tokenizer.json")
+#: Files that a model folder must have; in place of the weights it may have an export, which then counts.
+MODEL_FILES = ("config.json", "model.safetensors", "tokenizer.json")
+EXPORT = "model.onnx"
 # Fixed value: the message for missing files.
 NOT_READY = "Model directory not ready at '{folder}'. Missing: {missing}."
 
@@ -66,12 +67,12 @@ class StandIn:
 
 
 class ModelFolder:
-    """A sequence classifier exported to ONNX, with its tokenizer file, in a folder that every executor can read.
+    """A sequence classifier with its tokenizer, in a folder that every executor can read under the same path.
 
-    The folder holds ``config.json``, ``tokenizer.json`` (the fast tokenizer's own file) and
-    ``model.onnx`` with two inputs, ``input_ids`` and ``attention_mask``, int64 of shape (batch, length),
-    and logits as first output, float of shape (batch, 3) in the order of ``scores.LABELS``. Weights in
-    another format are exported to ONNX with these names first.
+    The folder holds ``config.json``, ``tokenizer.json`` (the fast tokenizer's own file) and the weights of a
+    RoBERTa classifier as ``model.safetensors``, as its training saves them. Instead of the weights it may hold
+    any classifier as ``model.onnx`` with two inputs, ``input_ids`` and ``attention_mask``, int64 of shape (batch,
+    length), and logits as first output, float of shape (batch, 3) in the order of ``scores.LABELS``.
 
     Tokenizer and session are loaded once in each Python worker; batches are padded to their longest
     member, which the attention mask makes equal to a fixed length. A text that tokenizer or model
@@ -80,7 +81,8 @@ class ModelFolder:
 
     def __init__(self, folder: str):
         self.folder = str(Path(folder).expanduser().resolve())
-        missing = [f for f in MODEL_FILES if not (Path(self.folder) / f).exists()]
+        there = lambda f: (Path(self.folder) / f).exists()
+        missing = [f for f in MODEL_FILES if not there(f) and not (f == "model.safetensors" and there(EXPORT))]
         if missing:
             raise FileNotFoundError(NOT_READY.format(folder=self.folder, missing=", ".join(missing)))
 
@@ -111,23 +113,32 @@ _workers: dict[str, tuple] = {}
 
 
 def _loaded(folder: str) -> tuple:
+    """encode: texts to ids and masks; run: those to logits."""
     if folder not in _workers:
         import numpy as np
-        import onnxruntime
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(f"{folder}/tokenizer.json")
+        tokenizer.no_padding()
         tokenizer.enable_truncation(max_length=MAX_LENGTH)
-        tokenizer.enable_padding(pad_id=PAD_ID, pad_token="<pad>")
-        session = onnxruntime.InferenceSession(f"{folder}/model.onnx", providers=["CPUExecutionProvider"])
 
         def encode(texts: list[str]) -> tuple:
-            found = tokenizer.encode_batch(texts)
-            return np.array([e.ids for e in found], dtype=np.int64), np.array([e.attention_mask for e in found], dtype=np.int64)
+            return ([(e.ids, e.attention_mask) for e in tokenizer.encode_batch(texts)],)
 
-        def run(ids, mask):
-            return session.run(None, {"input_ids": ids, "attention_mask": mask})[0] if len(ids) else np.zeros((0, 3))
+        if (Path(folder) / EXPORT).exists():
+            import onnxruntime
 
+            session = onnxruntime.InferenceSession(f"{folder}/{EXPORT}", providers=["CPUExecutionProvider"])
+
+            def run(encoded: list[tuple]):
+                longest = max((len(ids) for ids, _ in encoded), default=0)
+                padded = lambda values, fill: np.array([[*v, *[fill] * (longest - len(v))] for v in values], dtype=np.int64)
+                inputs = {"input_ids": padded([e[0] for e in encoded], PAD_ID), "attention_mask": padded([e[1] for e in encoded], 0)}
+                return session.run(None, inputs)[0] if encoded else np.zeros((0, 3))
+        else:
+            from .roberta import Roberta
+
+            run = Roberta(folder).in_parts
         _workers[folder] = (encode, run)
     return _workers[folder]
 
