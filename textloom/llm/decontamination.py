@@ -1,13 +1,18 @@
 """Operator 5, benchmark decontamination: size-partitioned MinHash containment search.
 
-Items and documents are sets of five-word shingles in lower case. Items fall into partitions by
-size, a power of two each. The signature of an item is the set of its least shingle hashes
-(bottom-k MinHash); k is set for its partition's upper size so that an item of which at least
-``THRESHOLD`` lies in a document shares a signature hash with it for certain: of n shingles at most
-n - ceil(0.8 n) are missing. A document is a candidate for an item if it holds a signature hash and
-has enough shingles; no candidate is lost, whatever the length of the document. Candidates are
-verified by exact containment: distinct shingles of the item found in the document, over all its
-distinct shingles.
+Items and documents are sets of five-word shingles in lower case (of any script). Items fall into partitions by
+size, a power of two each, and every partition has an index of its own:
+
+* Its signatures are the least shingle hashes of its items (bottom-k MinHash). k follows from the
+  partition's upper size and ``THRESHOLD``: of n shingles at most n - ceil(0.8 n) are missing, so an item that lies in a
+  document has a signature hash there for certain.
+* Its bound is the greatest hash of its signatures. The sketch of a document for this partition is the set of
+  its shingle hashes up to the bound (MinHash with a fixed bound in place of a fixed size), so it grows with the
+  document, and a short item isn't lost in a long one.
+
+A document is a candidate of a partition if its sketch holds a signature hash, and is then compared with the
+items of that partition by exact containment: distinct shingles of the item found in the document, word by
+word, over all its distinct shingles.
 
 Only DataFrame operations run here. The signatures are broadcast if there are at most
 ``BROADCAST_ROWS`` of them, else joined by a shuffle; likewise the candidates' ids.
@@ -28,17 +33,40 @@ SHINGLE, THRESHOLD = 5, 0.8
 BROADCAST_ROWS = 1_000_000
 
 
-def _shingles(text: Column) -> Column:
-    """array<long>: hashes of the distinct shingles, from the hashes of the words."""
-    words = F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: an array of one element, transformed."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
+
+
+def _places(words: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(words) - SHINGLE)
+
+
+def _hashes(text: Column) -> Column:
+    """array<long>: hashes of the distinct shingles, from the hashes of the words; null under five words."""
 
     def of(h: Column) -> Column:
         one = lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(SHINGLE)))
-        return F.when(F.size(h) >= SHINGLE, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), one)))
+        return F.when(F.size(h) >= SHINGLE, F.array_distinct(F.transform(_places(h), one)))
+
+    return _bound(F.transform(_words(text), lambda w: F.xxhash64(w)), of)
+
+
+def _shingles(text: Column) -> Column:
+    """array<struct<g, h>>: the distinct shingles with their hashes; null under five words."""
+
+    def of(words: Column) -> Column:
+        def one(i: Column) -> Column:
+            own = F.xxhash64(*(F.xxhash64(F.get(words, i + j)) for j in range(SHINGLE)))
+            return F.struct(F.array_join(F.slice(words, i + 1, F.lit(SHINGLE)), " ").alias("g"), own.alias("h"))
+
+        return F.when(F.size(words) >= SHINGLE, F.array_distinct(F.transform(_places(words), one)))
 
-    # One binding of the word hashes for all shingles: an array of one element, transformed.
-    return F.get(F.transform(F.array(hashed), of), 0)
+    return _bound(_words(text), of)
 
 
 def _least_shared(n: Column) -> Column:
@@ -46,38 +74,45 @@ def _least_shared(n: Column) -> Column:
     return F.floor((4 * n + 4) / 5)
 
 
-def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, h, n (shingles of the item) and signature (true for those searched)."""
-    sets = items.select(items[id_col].alias("item_id"), _shingles(items[text_col].cast("string")).alias("s"))
-    rows = sets.filter(F.col("item_id").isNotNull()).select("item_id", F.explode("s").alias("h")).distinct()
+def item_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id, g, h, n (shingles of the item), upper (of its size partition) and signature (true for those searched)."""
+    sets = items.select(items[id_col].alias("item_id"), F.explode(_shingles(items[text_col].cast("string"))).alias("s"))
+    rows = sets.filter(F.col("item_id").isNotNull()).select("item_id", "s.g", "s.h").distinct()
     by_item = Window.partitionBy("item_id")
-    sized = rows.withColumn("n", F.count(F.lit(1)).over(by_item)).withColumn("rank", F.row_number().over(by_item.orderBy("h")))
-    upper = F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("long")  # of the size partition
-    return sized.select("item_id", "h", "n", (F.col("rank") <= upper - _least_shared(upper) + 1).alias("signature"))
+    sized = rows.withColumn("n", F.count(F.lit(1)).over(by_item)).withColumn("rank", F.row_number().over(by_item.orderBy("h", "g")))
+    sized = sized.withColumn("upper", F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("long"))
+    return sized.select("item_id", "g", "h", "n", "upper", (F.col("rank") <= F.col("upper") - _least_shared(F.col("upper")) + 1).alias("signature"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_item, n_shared and containment of every pair at the threshold or above."""
     with C.Scratch(docs.sparkSession) as scratch:
-        wanted = scratch.keep(item_shingles(items), "items")
-        near = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
+        index = scratch.keep(item_index(items), "items")
+        near = F.broadcast if index.count() <= BROADCAST_ROWS else lambda df: df
+        probes = index.filter("signature").select(F.col("h").alias("probe"), "upper").distinct()
+        # One bound for each partition, so at most as many as a long has bits.
+        bounds = index.filter("signature").groupBy("upper").agg(F.max("h").alias("bound")).collect()
+        most = max((r.bound for r in bounds), default=-(2**63))
         texts = C.id_and_text(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
-        probes = wanted.filter("signature").select(F.col("h").alias("probe"), _least_shared(F.col("n")).alias("least")).groupBy("probe").agg(F.min("least").alias("least"))
-        sets = texts.select("doc_id", _shingles(F.col("text")).alias("s"))
+        # Sketches up to the greatest bound hold those up to each: a partition's signatures are all within its own.
+        sketch = F.filter(_hashes(F.col("text")), lambda h: h <= F.lit(most))
         # explode() would add a filter that computes the shingles once more; nulls of the outer form don't join.
-        hits = sets.select("doc_id", F.size("s").alias("of"), F.explode_outer("s").alias("h")).join(near(probes), F.col("h") == F.col("probe"))
-        found = scratch.keep(hits.filter(F.col("of") >= F.col("least")).select(F.col("doc_id").alias("candidate")).distinct(), "candidates")
+        hits = texts.select("doc_id", F.explode_outer(sketch).alias("h")).join(near(probes), F.col("h") == F.col("probe"))
+        found = scratch.keep(hits.select(F.col("doc_id").alias("candidate"), "upper").distinct(), "candidates")
         few = F.broadcast if found.count() <= BROADCAST_ROWS else lambda df: df
-        held = texts.join(few(found), F.col("doc_id") == F.col("candidate"), "left_semi")
-        rows = held.select("doc_id", F.explode_outer(_shingles(F.col("text"))).alias("g")).join(near(wanted.drop("signature")), F.col("g") == F.col("h"))
-        pairs = rows.groupBy("doc_id", "item_id").agg(F.first("n").alias("n_item"), F.countDistinct("g").alias("n_shared"))
+        held = texts.join(few(found), F.col("doc_id") == F.col("candidate")).select("doc_id", F.col("upper").alias("probed"), F.explode_outer(_shingles(F.col("text"))).alias("s"))
+        wanted = near(index.select("item_id", "g", "n", "upper"))
+        rows = held.select("doc_id", "probed", F.col("s.g").alias("own")).join(wanted, (F.col("own") == F.col("g")) & (F.col("probed") == F.col("upper")))
+        pairs = rows.groupBy("doc_id", "item_id").agg(F.first("n").alias("n_item"), F.countDistinct("own").alias("n_shared"))
         out = pairs.filter(F.col("n_shared") >= _least_shared(F.col("n_item")))
         return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the documents that hold no item; rows with a null id stay."""
-    held = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("__textloom_held")).distinct()
+    held = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("held")).distinct()
     held = C.Scratch(docs.sparkSession).keep(held, "held")
     few = F.broadcast if held.count() <= BROADCAST_ROWS else lambda df: df
-    return docs.join(few(held), docs[id_col] == F.col("__textloom_held"), "left_anti")
+    # The row is held in a struct, so that none of the table's own names can clash.
+    rows = docs.select(F.struct("*").alias("textloom_row"), docs[id_col].alias("textloom_of"))
+    return rows.join(few(held.select(F.struct("held").alias("textloom_held"))), F.col("textloom_of") == F.col("textloom_held.held"), "left_anti").select("textloom_row.*")
