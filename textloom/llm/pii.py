@@ -8,7 +8,11 @@ how reliable each labeler is; a logistic span classifier, one weight for each vo
 each kind, is then trained on the posteriors. The patterns are few (kinds times 3 to the number of
 labelers), so both run on the driver over counts, and the classifier is applied as a column.
 
-Base kinds stay whatever the classifier says; spans of the other kinds stay at ``KEEP`` or more.
+Base kinds stay whatever the classifier says; spans of the other kinds stay at ``KEEP`` or more. Of these,
+bank accounts and social security numbers must pass their own check first; runs of digits that are no
+cards, national phone numbers and hardware addresses are the classifier's alone.
+
+The table of candidates between the two passes holds places and votes, no values: no personal data is written.
 
 Positions come from splitting the text at the matches: a match starts after all pieces and matches
 before it. Prefix sums work in blocks, so texts with very many matches stay near linear.
@@ -33,13 +37,15 @@ KEEP, EM_STEPS, FIT_STEPS, RATE, BLOCK, CONTEXT = 0.5, 40, 400, 0.5, 256, 30
 
 # Kinds in report order with pattern and a cheap test that a text can hold one.
 # A leading (?:\G|(?<!...)) starts a match only where an earlier start isn't possible.
+_DIGIT_RUN = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 BASE = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", None),
-    "card": (r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", None),
+    "card": (_DIGIT_RUN, None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 MORE = {
+    "account": (_DIGIT_RUN, None),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None),
     "ssn": (r"(?<![A-Za-z0-9+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", None),
     "mac": (r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![A-Za-z0-9:])", ":"),
@@ -48,6 +54,8 @@ MORE = {
 KINDS = BASE | MORE
 #: Kinds whose form is sure: a match that fails it is none.
 DECIDED = (*BASE, "iban", "ssn")
+#: Digits of a run that may be the number of an account or document; a run that is a card is none.
+ACCOUNT_DIGITS = (11, 19)
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 LABELERS = ("form", "gazetteer", "context", "doubt", "edges")
 
@@ -58,7 +66,7 @@ BANK_COUNTRIES = "AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS
 CUES = {
     "email": "mail contact write courriel correo kontakt", "ip": "ip address host server login adresse", "card": "card visa mastercard amex payment karte carte tarjeta",
     "phone": "phone tel call mobile fax telefon appel llama", "iban": "iban account bank konto compte cuenta", "ssn": "ssn social security taxpayer",
-    "mac": "mac address ethernet device", "local_phone": "phone tel call mobile fax",
+    "mac": "mac address ethernet device", "local_phone": "phone tel call mobile fax", "account": "account card customer id konto karte compte cuenta",
 }
 DOUBTS = "version isbn order section figure part serial invoice revision release".split()
 
@@ -132,6 +140,8 @@ def _form(kind: str, value: Column) -> Column:
         return _bank_check(value)
     if kind == "ssn":
         return ~value.rlike("^(?:000|666|9)") & ~value.rlike("-00-|-0000$")
+    if kind == "account":
+        return F.length(_digits(value)).isin(15, 16)  # the usual lengths of issued numbers
     if kind == "mac":
         return ~value.rlike("^(?:00:){5}00$|^(?:[fF]{2}:){5}[fF]{2}$")
     return _digits(value).rlike("^[2-9]")
@@ -144,7 +154,7 @@ def _listed(kind: str, value: Column) -> Column:
         return vote(F.lower(F.element_at(F.split(value, r"\."), -1)).isin(DOMAINS))
     if kind == "ip":
         return vote(~value.rlike(r"^(?:0|127|255)\."))
-    if kind == "card":
+    if kind in ("card", "account"):
         return vote(value.rlike("^[3-6]"))
     if kind == "phone":
         return vote(_bound(_digits(value), lambda d: F.array_contains(F.array(*map(F.lit, CALLING_CODES)), F.substring(d, 1, 1)) | F.substring(d, 1, 2).isin(CALLING_CODES) | F.substring(d, 1, 3).isin(CALLING_CODES)))
@@ -155,9 +165,17 @@ def _listed(kind: str, value: Column) -> Column:
     return F.lit(0)
 
 
-def _candidates(kind: str, text: Column) -> Column:
-    """array<struct<start, rank, end, kind, value, form, votes...>> of a kind."""
-    pattern, needs = KINDS[kind]
+def _possible(kind: str, s: Column) -> Column:
+    """Whether a match is a candidate at all."""
+    if kind in DECIDED:
+        return s["form"] > 0
+    if kind == "account":
+        return _bound(_digits(s["value"]), lambda d: F.length(d).between(*ACCOUNT_DIGITS) & ~(F.length(d).between(14, 19) & F.call_function("luhn_check", d)))
+    return F.lit(True)
+
+
+def _told(kind: str, located: Column) -> Column:
+    """array<struct<start, rank, end, kind, votes...>> of a kind from located matches."""
 
     def told(s: Column) -> Column:
         before = F.lower(s["before"])
@@ -171,22 +189,31 @@ def _candidates(kind: str, text: Column) -> Column:
             F.when(edges, 1).otherwise(-1).alias("edges"),
         )
 
-    found = F.transform(_located(text, pattern), told)
-    if kind in DECIDED:
-        found = F.filter(found, lambda s: s["form"] > 0)
-    return F.when(F.contains(text, F.lit(needs)), found) if needs else found
+    found = F.filter(F.transform(located, told), lambda s: _possible(kind, s))
+    # The value is personal data and isn't kept: start and end tell where it is.
+    return F.transform(found, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "rank", "end", "kind", *LABELERS)))).cast(_SPAN)
+
+
+_SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string," + ",".join(f"{x}:int" for x in LABELERS) + ">>"
 
 
-_SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string," + ",".join(f"{x}:int" for x in LABELERS) + ">>"
+def _candidates(text: Column) -> list[Column]:
+    """One array of candidates for each pattern; kinds with the same pattern share its matches."""
+    none = F.array().cast(_SPAN)
+    out = []
+    for pattern in dict.fromkeys(p for p, _ in KINDS.values()):
+        kinds = [k for k, (p, _) in KINDS.items() if p == pattern]
+        needs = KINDS[kinds[0]][1]
+        found = _bound(_located(text, pattern), lambda at: F.concat(*(F.coalesce(_told(k, at), none) for k in kinds)))  # noqa: B023 - used at once
+        out.append(F.coalesce(F.when(F.contains(text, F.lit(needs)), found) if needs else found, none))
+    return out
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and found, the candidates of all kinds in order, one row per input row."""
     text = F.coalesce("text", F.lit(""))
-    none = F.lit(None).cast(_SPAN)
-    parts = [F.coalesce(_candidates(kind, F.col("text")).cast(_SPAN), F.array().cast(_SPAN)) for kind in KINDS]
     # Every kind needs a digit, an at sign or a colon (mac addresses can be letters only).
-    found = F.when(text.rlike("[0-9@:]"), F.array_sort(F.flatten(F.array(*parts)))).otherwise(none)
+    found = F.when(text.rlike("[0-9@:]"), F.array_sort(F.flatten(F.array(*_candidates(F.col("text"))))))
     return C.id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce(found, F.array().cast(_SPAN)).alias("found"))
 
 
@@ -233,7 +260,7 @@ def span_classifier(counts: list[tuple[str, tuple[int, ...], int]]) -> tuple[dic
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans, array<struct<start, end, kind, value, score>> by start, then kind in report order."""
+    """doc_id and spans, array<struct<start, end, kind, score>> by start, then kind in report order."""
     found = C.Scratch(docs.sparkSession).keep(candidates(docs, id_col, text_col), "candidates")
     each = found.select(F.explode("found").alias("s")).groupBy("s.kind", *(f"s.{x}" for x in LABELERS)).agg(F.count(F.lit(1)).alias("n"))
     counts = sorted((r.kind, tuple(r[x] for x in LABELERS), r.n) for r in each.collect())
@@ -243,7 +270,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         z = F.element_at(F.create_map(*(F.lit(x) for kv in bias.items() for x in kv)), s["kind"])
         for w, x in zip(weight, LABELERS, strict=True):
             z = z + w * s[x]
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), (1 / (1 + F.exp(-z))).alias("score"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), (1 / (1 + F.exp(-z))).alias("score"))
 
     spans = F.filter(F.transform("found", scored), lambda s: s["kind"].isin(*BASE) | (s["score"] >= KEEP))
     return found.select("doc_id", spans.alias("spans"))
