@@ -8,7 +8,8 @@ either histogram; the slope allows for the noise of short texts, and texts under
 words are left to the base rules alone.
 
 Defined results: a null or empty text has zero counts and fails the base rules (under 20 words);
-a null or unknown language takes part in no reference and is judged by the nearest; without any
+a null language takes part in no reference and is judged by the nearest; one without a list of
+common words is judged by the nearest reference's characters alone; without any
 reference (no known language) only the base rules decide; repeated rows each get a row.
 """
 
@@ -29,7 +30,7 @@ MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_WORDS = 20
 CHAR_LIMIT, WORD_LIMIT = (0.06, 1.2), (0.06, 2.5)
 #: Documents of at least so many words take part in a reference; in the second estimate, this share of each language's, nearest to its first.
-TRIM_WORDS, TRIM_SHARE = 50, 0.7
+TRIM_WORDS, TRIM_SHARE, BINS = 50, 0.7, 10_000
 PARTS = 10**9
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -115,9 +116,16 @@ def _nearer_share(feats: DataFrame, references: dict[str, tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lang", "chars", "common")), pa.array(own)], schema=schema)
 
     near = feats.select("lang", "chars", "common").mapInArrow(run, C.spark_schema(schema))
-    limits = {r.lang: r.at for r in near.groupBy("lang").agg(F.percentile_approx("own", TRIM_SHARE, 1000).alias("at")).collect()}
-    limit = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(at)) for lang, at in limits.items()), F.lit(1.0))
-    return near.filter(F.col("own") <= limit)
+    # An exact quantile of distances in steps of 1 / BINS: at most BINS + 1 counts for each language, whatever the partitions.
+    step = F.floor(F.col("own") * BINS).cast("int")
+    counts = sorted((r.lang, r.step, r.n) for r in near.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())
+    limits: dict[str, int] = {}
+    for lang in {c[0] for c in counts}:
+        own = [(s, n) for name, s, n in counts if name == lang]
+        upto = np.cumsum([n for _, n in own])
+        limits[lang] = own[int(np.searchsorted(upto, TRIM_SHARE * upto[-1]))][0]
+    limit = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(at)) for lang, at in sorted(limits.items())), F.lit(BINS))
+    return near.filter(step <= limit)
 
 
 def _distances(feats: DataFrame, references: list[tuple[np.ndarray, np.ndarray]], keep: tuple[str, ...]) -> DataFrame:
@@ -155,11 +163,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _judged(feats: DataFrame, references: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     nothing = (F.lit(None).cast("double").alias(c) for c in ("char_distance", "word_distance"))
-    out = _distances(feats, references, ("doc_id", *_COUNTS)) if references else feats.select("doc_id", *_COUNTS, *nothing)
+    out = _distances(feats, references, ("doc_id", "lang", *_COUNTS)) if references else feats.select("doc_id", "lang", *_COUNTS, *nothing)
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    far = F.lit(False)
-    for name, (at, slope) in (("char_distance", CHAR_LIMIT), ("word_distance", WORD_LIMIT)):
-        far = far | (F.col(name) > F.lit(at) + F.lit(slope) / root)
+    beyond = lambda name, limit: F.col(name) > F.lit(limit[0]) + F.lit(limit[1]) / root
+    listed = F.col("lang").isNull() | F.col("lang").isin(_LANGS)
+    far = beyond("char_distance", CHAR_LIMIT) | (listed & beyond("word_distance", WORD_LIMIT))
     judged = (F.col("n_words") >= MIN_WORDS) & F.coalesce(far, F.lit(False))
     return out.select("doc_id", *_COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~judged).alias("kept"), "char_distance", "word_distance")
 
@@ -174,11 +182,13 @@ def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in C.arrow_steps(batches):
-            found = [profile(t or b"") for t in part.column(text_col).cast(pa.binary()).to_pylist()]
+            found = [profile(t or b"") for t in part.column(text_col).cast(pa.string()).cast(pa.binary()).to_pylist()]
+            langs = part.column(lang_col).to_pylist() if lang_col in part.schema.names else [None] * part.num_rows
+            listed = np.array([x is None or str(x) in COMMON_WORDS for x in langs], dtype=bool)
             n, repeats = (np.array([p[c] for p in found], dtype=np.int64) for c in ("n_words", "n_repeat_words"))
             best = _nearest([p["chars"] for p in found], [_with_rest(p) for p in found], references)
             limits = [at + slope / np.sqrt(np.maximum(n, 1)) for at, slope in (CHAR_LIMIT, WORD_LIMIT)]
-            far = ((best[:, 0] > limits[0]) | (best[:, 1] > limits[1])) & (n >= MIN_WORDS) & bool(references)
+            far = ((best[:, 0] > limits[0]) | (listed & (best[:, 1] > limits[1]))) & (n >= MIN_WORDS) & bool(references)
             failed = (n < MIN_BASE_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
             yield part.filter(pa.array(~failed & ~far))
 
