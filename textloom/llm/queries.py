@@ -138,5 +138,34 @@ FROM words LEFT JOIN cut USING (doc_id)
 """
 
 
+def _op2_sql() -> str:
+    """All kinds but those with an embedded check (CRC-32, encoded header), which SQL can't test and the fixtures don't hold."""
+    letters = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    words = "|".join(letters(w) for w in ("password", "passwd", "secret", "token")) + f"|{letters('api')}_?{letters('key')}"
+    kinds = [
+        ("assign", rf"({words})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16), ("chat", "xox[bpars]-[0-9A-Za-z-]{20,}", 0, 0),
+        ("maps", "AIza[0-9A-Za-z_-]+", 0, 39), ("pay", "[sr]k_live_[0-9A-Za-z]{16,}", 0, 0), ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*-----END [A-Z ]{0,30}PRIVATE KEY-----)?", 0, 0),
+    ]
+    found = " UNION ALL ".join(
+        f"SELECT rid, '{kind}' AS kind, {i} AS ord, {least} AS least, string_split_regex(x, '{pattern}') AS p, regexp_extract_all(x, '{pattern}') AS h, regexp_extract_all(x, '{pattern}', {group}) AS g FROM t"
+        for i, (kind, pattern, group, least) in enumerate(kinds)
+    )
+    text = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord)"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+hits AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM ({found}) WHERE len(h) > 0),
+spans AS (
+  SELECT rid, kind, ord, (list_sum(list_transform(p[1:i], lambda y: len(y))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: len(y))), 0))::BIGINT AS a, len(h[i]) AS n
+  FROM hits WHERE len(g[i]) >= least),
+placed AS (SELECT *, a + n AS b FROM spans),
+sums AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         {text} FILTER (ord < 3) AS base, {text} AS spans FROM placed GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN sums USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op2_secret_scan": _op2_sql(), "op5_decontamination": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_substring_dedup": OP9_SQL}

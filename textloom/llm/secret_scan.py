@@ -70,6 +70,8 @@ KINDS = {
 BASE = ("assign", "access", "hex")
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: Where a kind's pattern fails at a hit, it fails at every later hit in the same run of these.
+_FAILS_IN = {"jwt": re.compile(r"[A-Za-z0-9_-]+")}
 
 
 @cache
@@ -95,10 +97,14 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
         _, pattern, holds = KINDS[kind]
         last = 0
         for at in sorted(starts):
-            if at >= last and (m := pattern.match(text, at)):
+            if at < last:
+                continue
+            if m := pattern.match(text, at):
                 last = m.end()
                 if holds(m):
                     found.append((*m.span(), kind))
+            elif kind in _FAILS_IN:
+                last = _FAILS_IN[kind].match(text, at).end()
     return sorted(found, key=lambda s: (s[0], _ORDER[s[2]]))
 
 
