@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import quality_model, token_counts, toxicity
@@ -32,6 +33,30 @@ def test_quality_on_held_out_rows(spark):
     assert auc(y, s) > 0.95 and (p == y).mean() > 0.9
 
 
+def test_ranking_against_pairwise_loss(monkeypatch):
+    """The weights are where the loss over the same pairs, summed pair by pair, has no slope."""
+    monkeypatch.setattr(quality_model, "PAIRS", 60)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 3))
+    y = (x[:, 0] + 0.5 * rng.normal(size=40) > 0).astype(int)
+    model = quality_model.fit(x, y)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    again = np.random.default_rng(quality_model.SEED)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    pairs = list(zip(again.choice(good, 60).tolist(), again.choice(bad, 60).tolist(), strict=True))
+
+    def loss(w) -> float:
+        return sum(np.log1p(np.exp(-(z[a] - z[b]) @ w)) for a, b in pairs) / len(pairs) + quality_model.RIDGE / 2 * (w @ w)
+
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-3
+        assert loss(model["w"] + step) > loss(model["w"]) < loss(model["w"] - step)
+    strength = sorted(float(sum(a * b for a, b in zip(row, model["w"], strict=True))) for row in z)
+    assert model["threshold"] == pytest.approx(np.quantile(strength, 1 - y.mean()))
+    got = quality_model.score(model, x)
+    assert ((got >= 0.3) == (z @ model["w"] >= model["threshold"])).all()
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)

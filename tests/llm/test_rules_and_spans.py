@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+import time
 from collections import Counter
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from textloom.llm import pii, quality_rules, secret_scan
@@ -44,6 +49,61 @@ def test_quality_verdicts(spark):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == kept
 
 
+def distance(a: list[float], b: list[float]) -> float:
+    """Jensen-Shannon distance of two histograms, term by term."""
+    if not sum(a):
+        return 1.0
+    p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+    half = lambda x, y: sum(u * math.log2(2 * u / (u + v)) for u, v in zip(x, y, strict=True) if u > 0)
+    return math.sqrt(max((half(p, q) + half(q, p)) / 2, 0))
+
+
+def test_quality_against_plain_distances(spark, sf):
+    """Distances and verdicts of a whole table from plain references, whatever its partitions."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = []
+    for r in docs.collect():
+        p = quality_rules.profile((r.text or "").encode())
+        found.append((r.doc_id, r.lang, p, p["chars"].tolist(), quality_rules._with_rest(p), base_counts(r.text)[-1]))
+
+    def reference(rows: list) -> tuple[list, list]:
+        shares = lambda h: [round(x * 1e9 / sum(h)) for x in h] if sum(h) else [0] * len(h)
+        return tuple([sum(c) for c in zip(*(shares(r[i]) for r in rows), strict=True)] for i in (3, 4))
+
+    references = []
+    for lang in ("en", "fr", "de", "es"):
+        own = [r for r in found if r[1] == lang and not r[5] and r[2]["n_words"] >= 50]
+        first = reference(own)
+        steps = [int(distance(r[3], first[0]) * 10_000) for r in own]
+        limit = sorted(steps)[math.ceil(0.7 * len(steps)) - 1]
+        references.append(reference([r for r, s in zip(own, steps, strict=True) if s <= limit]))
+    want = {}
+    for doc_id, _, p, chars, common, failed in found:
+        a, b = min(((distance(chars, x), distance(common, y)) for x, y in references), key=sum)
+        root = math.sqrt(max(p["n_words"], 1))
+        far = a > 0.06 + 1.2 / root or b > 0.06 + 2.5 / root
+        want[doc_id] = (a, b, not failed and not (p["n_words"] >= 20 and far))
+    for parts in (1, 7):
+        got = quality_rules.quality_rules(docs.repartition(parts)).collect()
+        assert len(got) == len(want)
+        for r in got:
+            a, b, kept = want[r.doc_id]
+            assert r.char_distance == pytest.approx(a, abs=1e-9) and r.word_distance == pytest.approx(b, abs=1e-9) and r.kept == kept
+
+
+def test_quality_of_a_language_without_a_list(spark):
+    """Common words don't judge a language that has no list, characters do."""
+    rng = random.Random(3)
+    prose = lambda ws, n: " ".join(rng.choice(ws) for _ in range(n)) + "."
+    english = [(i, prose("the of and to in is that water house tree light".split(), 80), "en", "a", 1, "") for i in range(30)]
+    other = [(100 + i, prose("hij loopt naar het huis van zijn oom wie daar woont".split(), 80), "nl", "a", 1, "") for i in range(5)]
+    junk = [(200, " ".join("#%&*" for _ in range(80)) + " ".join(str(i) for i in range(90)), "nl", "a", 1, "")]
+    docs = table(spark, english + other + junk)
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs).filter("not base_failed and kept").collect()}
+    assert {100 + i for i in range(5)} <= kept | {r.doc_id for r in quality_rules.quality_rules(docs).filter("base_failed").collect()} and 200 not in kept
+    assert as_rows(quality_rules.good_documents(docs), "doc_id") == Counter((d,) for d in kept)
+
+
 def test_quality_forms_agree(spark):
     docs = table(spark)
     kept = as_rows(quality_rules.quality_rules(docs).filter("kept"), "doc_id")
@@ -110,6 +170,30 @@ def test_secret_checks():
     assert secret_scan.redact('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x') == '[SECRET]" x'
 
 
+def test_secret_kinds_against_plain_search():
+    """Keyword hits and anchored patterns find what each pattern finds alone, over the whole text."""
+    rng = random.Random(4)
+    body = "Ab3" * 10
+    parts = [
+        "ghp_", f"ghp_{body}{secret_scan.crc_base62(body)}", "npm_", f"npm_{body}{secret_scan.crc_base62(body)}", "eyJ", "eyJhbGciOiJIUzI1NiJ9", ".", "eyJhIjoxfQ", "xoxb-", "0123456789abcdefghijkl", "AIza",
+        "Z" * 35, "sk_live_", "-----BEGIN RSA PRIVATE KEY-----", "MIIE", "-----END RSA PRIVATE KEY-----", "token=", "AKIA", "ABCDEFGHIJKLMNOP", " ", "\n", "-", "é", "İ", "x",
+    ]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        want = []
+        for kind, (_, pattern, holds) in secret_scan.KINDS.items():
+            want += [(*m.span(), kind) for m in pattern.finditer(text) if holds(m)]
+        order = list(secret_scan.KINDS)
+        assert secret_scan.find_spans(text) == sorted(want, key=lambda s: (s[0], order.index(s[2]))), text
+
+
+def test_secret_scan_of_long_texts_is_linear():
+    for unit in ("eyJ", "eyJ-", "password", "ghp_", "xoxb-", "AIza", "AKIA", "-----BEGIN PRIVATE KEY-----", "token = "):
+        began = time.time()
+        secret_scan.find_spans(unit * (2_000_000 // len(unit)))
+        assert time.time() - began < 10, unit
+
+
 def test_redaction_keeps_rows(spark):
     docs = table(spark, [(1, "token=abcdefghijklmnop.", "en", "a", 23, "z"), (2, None, None, None, None, None), (3, "plain", "en", "a", 5, "z")])
     out = {r.doc_id: r for r in secret_scan.redact_documents(docs).collect()}
@@ -147,13 +231,35 @@ def test_personal_base_spans(spark):
 def test_personal_other_kinds(spark):
     text = "My account is DE89 3704 0044 0532 0130 00, ssn 123-45-6789 ok; not DE00 3704 0044 0532 0130 00 version 000-12-3456."
     docs = table(spark, [(i, text, "en", "a", 1, "") for i in range(5)])
-    spans = pii.personal_data(docs).filter("doc_id = 0").select(F.explode("spans").alias("s")).select("s.kind", "s.value", "s.score").collect()
-    kept = {(r.kind, r.value) for r in spans}
+    spans = pii.personal_data(docs).filter("doc_id = 0").select(F.explode("spans").alias("s")).select("s.kind", "s.start", "s.end", "s.score").collect()
+    kept = {(r.kind, text[r.start : r.end]) for r in spans}
     assert ("iban", "DE89 3704 0044 0532 0130 00") in kept and ("ssn", "123-45-6789") in kept
     assert ("iban", "DE00 3704 0044 0532 0130 00") not in kept and ("ssn", "000-12-3456") not in kept
     assert all(0 <= r.score <= 1 for r in spans)
 
 
+def test_personal_classifier_decides_on_table_data(spark):
+    """Runs of digits that are no cards: some stay and some go, by their posterior."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = pii.candidates(docs).select(F.explode("found").alias("s")).filter("s.kind = 'account'").count()
+    spans = pii.personal_data(docs).select("doc_id", F.explode("spans").alias("s")).filter("s.kind = 'account'").select("doc_id", "s.*").collect()
+    assert 0 < len(spans) < found
+    texts = {r.doc_id: r.text for r in docs.filter(F.col("doc_id").isin([r.doc_id for r in spans])).collect()}
+    for r in spans:
+        digits = re.sub("[^0-9]", "", texts[r.doc_id][r.start : r.end])
+        assert 11 <= len(digits) <= 19 and not (14 <= len(digits) and luhn(digits)) and r.score >= pii.KEEP
+
+
+def test_reliabilities_against_single_votes():
+    """Counts of vote patterns give what the votes give one by one."""
+    rng = random.Random(6)
+    counts = Counter((rng.choice(["card", "account", "mac"]), tuple(rng.choice([-1, 0, 1]) for _ in pii.LABELERS)) for _ in range(300))
+    whole = pii.reliabilities([(k, v, n) for (k, v), n in counts.items()])
+    single = [(k, v, 1) for (k, v), n in counts.items() for _ in range(n)]
+    one_by_one = dict(zip([(k, v) for k, v, _ in single], pii.reliabilities(single), strict=True))
+    assert all(p == pytest.approx(one_by_one[kv], abs=1e-9) for kv, p in zip(counts, whole, strict=True))
+
+
 def test_personal_mac_of_letters_only(spark):
     docs = table(spark, [(1, "the mac is aa:bb:cc:dd:ee:ff here", "en", "a", 1, ""), (2, "no address: none", "en", "a", 1, "")])
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in pii.candidates(docs).collect()}

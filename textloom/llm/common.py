@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,58 +33,73 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _local_scratch[0]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+#: Folders with tables that returned frames read, and how to delete each.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def drop_kept() -> None:
+    """Deletes the tables that frames returned so far read. For long-lived drivers, once results are written; else it happens at exit."""
+    for path in list(_kept):
+        _kept.pop(path)()
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone; it deletes the folders itself when it ends
+        drop_kept()
+
+
+atexit.register(_at_exit)
 
 
 class Scratch:
     """Parquet tables in the shared folder that cut lineage: a lost executor is recomputed from them.
 
-    Tables from :meth:`keep` live until the process ends, as a returned frame reads them;
-    those from :meth:`save` go when the ``with`` block ends.
+    Tables from :meth:`keep` live until :func:`drop_kept` or the end of the process, as a returned frame reads
+    them, also if the session was stopped before; those from :meth:`save` go when the ``with`` block ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{checkpoint_dir(spark)}/textloom/{uuid.uuid4().hex}"
         self.made: list[str] = []
+        self.n = 0
+        # These outlive the session, which the process may stop before it ends.
+        self._path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.base).getFileSystem(conf)
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *exc) -> None:
-        for path in self.made:
-            _delete(self.spark, path)
+        self.drop()
+
+    def _delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
 
     def _write(self, df: DataFrame, label: str) -> tuple[str, DataFrame]:
-        path = f"{self.base}/{label}"
+        path = f"{self.base}/{self.n}-{label}"
+        self.n += 1
         df.write.parquet(path)
+        self._fs.deleteOnExit(self._path(self.base))
         return path, self.spark.read.schema(df.schema).parquet(path)
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
-        path, out = self._write(df, f"{label}-{len(self.made)}")
+        path, out = self._write(df, label)
         self.made.append(path)
         return out
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
-        path, out = self._write(df, f"kept-{label}")
-        atexit.register(_quiet_delete, self.spark, path)
+        _, out = self._write(df, label)
+        _kept[self.base] = lambda: self._delete(self.base)
         return out
 
     def drop(self) -> None:
-        """Deletes what :meth:`save` has made so far."""
-        for path in self.made:
-            _delete(self.spark, path)
+        """Deletes what :meth:`save` has made so far, and the folder if nothing else is in it."""
+        for path in self.made if self.base in _kept else [self.base]:
+            self._delete(path)
         self.made = []
 
 
-def _quiet_delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        _delete(spark, path)
-
-
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads, under fixed names; others never travel."""
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
