@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import scores, segments, text, tokens, urls
+from textloom.functions import html, scores, segments, text, tokens, urls
 from textloom.functions.html import page_parts
 from textloom.operators import predict, requests, views
 from textloom.operators.classify import hashed_logits
@@ -72,12 +72,19 @@ _SQL_DIRTY = r"concat(' ', chr(9), ' ', replace(replace(text, '. ', '.  ' || chr
 _SQL_LINES = f"list_transform(string_split(text, chr(10)), lambda x: {_sql_strip('x')})"
 
 
+#: CTEs from cleaned(request_id, c) to seg(request_id, segment_index, text), by mode.
+_SQL_FROM_CLEANED = {
+    mode: f"""lists AS (SELECT request_id, {parts('c')} AS s FROM cleaned),
+seg AS (SELECT request_id, unnest(s) AS text, unnest(range(len(s)))::INTEGER AS segment_index FROM lists)"""
+    for mode, parts in _SQL_SEGMENTS.items()
+}
+
+
 def _sql_segmented(mode: str) -> str:
     """CTEs up to seg(request_id, segment_index, text)."""
     return f"""
 cleaned AS (SELECT doc_id AS request_id, {_sql_clean('text')} AS c FROM documents),
-lists AS (SELECT request_id, {_SQL_SEGMENTS[mode]('c')} AS s FROM cleaned),
-seg AS (SELECT request_id, unnest(s) AS text, unnest(range(len(s)))::INTEGER AS segment_index FROM lists)"""
+{_SQL_FROM_CLEANED[mode]}"""
 
 
 _SQL_LOGITS = r"""
@@ -212,21 +219,57 @@ def join_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", text.join_blocks(text.lines(F.col("text"))).alias("joined"))
 
 
-@_query()
+def _sql_pages() -> str:
+    """Recursive CTEs up to pieces(page_id, j, stack, piece), blocks(page_id, block_index, text) and lines(page_id, line_index, text).
+
+    ``walk`` keeps the open elements before each token; text belongs to every block that is open there.
+    """
+    names, ends = "list_transform(stack, lambda x: split_part(x, '#', 1))", "'^</?([a-zA-Z][a-zA-Z0-9]*)'"
+    listed = lambda tags: ", ".join(f"'{t}'" for t in sorted(tags))
+    gone = f"list_has_any({names}, [{listed(html.DROPPED | html.SILENT)}])"
+    plain = "tok"
+    for entity, character in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        plain = f"replace({plain}, '{entity}', '{character}')"
+    return rf"""
+toks AS (
+  SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>', '<!---->', 'g'), '(?s)<!--.*?-->|<[^>]*>|[^<]+') AS t FROM pages),
+walk AS (
+  SELECT page_id, 0 AS i, []::VARCHAR[] AS stack FROM toks
+  UNION ALL
+  SELECT page_id, i + 1, CASE
+      WHEN tok LIKE '</%' THEN CASE WHEN list_contains({names}, name) THEN stack[1:len(stack) - list_position(list_reverse({names}), name)] ELSE stack END
+      WHEN name <> '' AND NOT tok LIKE '%/>' AND name NOT IN ({listed(html.VOID)}) THEN list_append(stack, name || '#' || i) ELSE stack END
+  FROM (SELECT w.page_id, i, stack, t[i + 1] AS tok, lower(regexp_extract(t[i + 1], {ends}, 1)) AS name FROM walk w JOIN toks USING (page_id) WHERE i < len(t))),
+seen AS (SELECT w.page_id, w.i, w.stack, t[w.i + 1] AS tok, lower(regexp_extract(t[w.i + 1], {ends}, 1)) AS name, {gone} AS gone FROM walk w JOIN toks USING (page_id) WHERE w.i < len(t)),
+pieces AS (SELECT page_id, i AS j, stack, {_sql_strip(plain)} AS piece FROM seen WHERE tok NOT LIKE '<%' AND NOT gone AND {_sql_strip(plain)} <> ''),
+opened AS (SELECT page_id, i, name || '#' || i AS block FROM seen WHERE name IN ({listed(html.BLOCKS)}) AND tok NOT LIKE '</%' AND NOT gone),
+blocks AS (
+  SELECT o.page_id, (row_number() OVER (PARTITION BY o.page_id ORDER BY o.i) - 1)::INTEGER AS block_index, coalesce(string_agg(piece, ' ' ORDER BY j), '') AS text
+  FROM opened o LEFT JOIN pieces p ON p.page_id = o.page_id AND list_contains(p.stack, o.block) GROUP BY o.page_id, o.i),
+whole AS (SELECT page_id, string_split(string_agg(piece, chr(10) ORDER BY j), chr(10)) AS ls FROM pieces GROUP BY page_id),
+lines AS (SELECT page_id, unnest(range(len(ls)))::INTEGER AS line_index, {_sql_strip("unnest(ls)")} AS text FROM whole),
+enough AS (
+  SELECT page_id, block_index AS nr, text, 0 AS kind FROM blocks WHERE len(regexp_extract_all(text, '\S+')) >= 8
+  UNION ALL SELECT page_id, line_index, text, 1 FROM lines WHERE len(regexp_extract_all(text, '\S+')) >= 8),
+chosen AS (SELECT page_id, text, min(nr) AS nr FROM enough e WHERE kind = (SELECT min(kind) FROM enough k WHERE k.page_id = e.page_id) GROUP BY page_id, text),
+texts AS (SELECT page_id, {_sql_clean("string_agg(text, chr(10) || chr(10) ORDER BY nr)")} AS page_text FROM chosen GROUP BY page_id)"""
+
+
+@_query(f"WITH RECURSIVE {_sql_pages()} SELECT page_id, block_index, text FROM blocks")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spread(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", page_parts(F.col("html")).alias("p"))
     return parts.select("page_id", F.posexplode("p.blocks").alias("block_index", "text"))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_sql_pages()} SELECT page_id, line_index, text FROM lines")
 def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spread(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", page_parts(F.col("html")).alias("p"))
     return parts.select("page_id", F.posexplode("p.lines").alias("line_index", "text"))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_sql_pages()} SELECT url, page_text FROM pages LEFT JOIN texts USING (page_id)")
 def fetch_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.page_text(spread(read_table(spark, sf_dir, "pages").select("url", "html")))
+    return requests.page_text(spread(read_table(spark, sf_dir, "pages").select("url", "html"))).select("url", "page_text")
 
 
 _SQL_IDS = "list_slice(list_transform(string_split(text, ''), lambda c: unicode(c)), 1, 512)"
@@ -299,7 +342,10 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(5).select(F.col("id").cast("int").alias("label_id"), scores.label_of(F.col("id").cast("int")).alias("label"))
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_sql_pages()}, cleaned AS (SELECT page_id AS request_id, page_text AS c FROM texts),
+{_SQL_FROM_CLEANED["paragraph"]}, {_SQL_LOGITS} SELECT request_id, 'paragraph' AS mode, segment_index, text, label, label_id, p_left, p_right, p_center FROM pred"""
+)
 def predict_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return predict.predictions(requests_of(pages, "page_id", "url", "paragraph"), spread(pages.select("url", "html")))
