@@ -57,18 +57,20 @@ def _hashes(text: Column) -> Column:
 
 
 def _shingles(text: Column) -> Column:
-    """array<struct<g, h>>: the distinct shingles with their hashes; null under five words."""
+    """array<string>: the distinct shingles, words joined by a blank; null under five words."""
 
     def of(words: Column) -> Column:
-        def one(i: Column) -> Column:
-            own = F.xxhash64(*(F.xxhash64(F.get(words, i + j)) for j in range(SHINGLE)))
-            return F.struct(F.array_join(F.slice(words, i + 1, F.lit(SHINGLE)), " ").alias("g"), own.alias("h"))
-
+        one = lambda i: F.array_join(F.slice(words, i + 1, F.lit(SHINGLE)), " ")
         return F.when(F.size(words) >= SHINGLE, F.array_distinct(F.transform(_places(words), one)))
 
     return _bound(_words(text), of)
 
 
+def _hash_of(shingle: Column) -> Column:
+    """The hash that :func:`_hashes` gives a shingle."""
+    return _bound(F.split(shingle, " "), lambda w: F.xxhash64(*(F.xxhash64(F.get(w, j)) for j in range(SHINGLE))))
+
+
 def _least_shared(n: Column) -> Column:
     """Shingles that an item of n must share, in whole numbers: ceil(0.8 n)."""
     return F.floor((4 * n + 4) / 5)
@@ -76,8 +78,8 @@ def _least_shared(n: Column) -> Column:
 
 def item_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, g, h, n (shingles of the item), upper (of its size partition) and signature (true for those searched)."""
-    sets = items.select(items[id_col].alias("item_id"), F.explode(_shingles(items[text_col].cast("string"))).alias("s"))
-    rows = sets.filter(F.col("item_id").isNotNull()).select("item_id", "s.g", "s.h").distinct()
+    sets = items.select(items[id_col].alias("item_id"), F.explode(_shingles(items[text_col].cast("string"))).alias("g"))
+    rows = sets.filter(F.col("item_id").isNotNull()).distinct().select("item_id", "g", _hash_of(F.col("g")).alias("h"))
     by_item = Window.partitionBy("item_id")
     sized = rows.withColumn("n", F.count(F.lit(1)).over(by_item)).withColumn("rank", F.row_number().over(by_item.orderBy("h", "g")))
     sized = sized.withColumn("upper", F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("long"))
@@ -100,9 +102,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         hits = texts.select("doc_id", F.explode_outer(sketch).alias("h")).join(near(probes), F.col("h") == F.col("probe"))
         found = scratch.keep(hits.select(F.col("doc_id").alias("candidate"), "upper").distinct(), "candidates")
         few = F.broadcast if found.count() <= BROADCAST_ROWS else lambda df: df
-        held = texts.join(few(found), F.col("doc_id") == F.col("candidate")).select("doc_id", F.col("upper").alias("probed"), F.explode_outer(_shingles(F.col("text"))).alias("s"))
+        held = texts.join(few(found), F.col("doc_id") == F.col("candidate")).select("doc_id", F.col("upper").alias("probed"), F.explode_outer(_shingles(F.col("text"))).alias("own"))
         wanted = near(index.select("item_id", "g", "n", "upper"))
-        rows = held.select("doc_id", "probed", F.col("s.g").alias("own")).join(wanted, (F.col("own") == F.col("g")) & (F.col("probed") == F.col("upper")))
+        rows = held.join(wanted, (F.col("own") == F.col("g")) & (F.col("probed") == F.col("upper")))
         pairs = rows.groupBy("doc_id", "item_id").agg(F.first("n").alias("n_item"), F.countDistinct("own").alias("n_shared"))
         out = pairs.filter(F.col("n_shared") >= _least_shared(F.col("n_item")))
         return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
