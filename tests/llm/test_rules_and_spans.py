@@ -67,7 +67,7 @@ def test_quality_against_plain_distances(spark, sf):
         found.append((r.doc_id, r.lang, p, p["chars"].tolist(), quality_rules._with_rest(p), base_counts(r.text)[-1]))
 
     def reference(rows: list) -> tuple[list, list]:
-        shares = lambda h: [round(x * 1e9 / sum(h)) for x in h] if sum(h) else [0] * len(h)
+        shares = lambda h: [math.floor(x * 1e9 / sum(h) + 0.5) for x in h] if sum(h) else [0] * len(h)
         return tuple([sum(c) for c in zip(*(shares(r[i]) for r in rows), strict=True)] for i in (3, 4))
 
     references = []

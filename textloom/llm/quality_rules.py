@@ -90,8 +90,8 @@ def _references(feats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     parts = []
     for name in ("chars", "common"):
         total = F.aggregate(name, F.lit(0).cast("long"), lambda a, n: a + n)
-        share = F.round(F.col("n") * F.lit(float(PARTS)) / F.col("total")).cast("long")
-        long = feats.select("lang", total.alias("total"), F.posexplode(name).alias("pos", "n")).filter("total > 0")
+        share = F.floor(F.col("n") * F.lit(float(PARTS)) / F.col("total") + F.lit(0.5))
+        long = feats.select("lang", total.alias("total"), F.posexplode(name).alias("pos", "n")).filter("n > 0")
         long = long.groupBy("lang", "pos").agg(F.sum(share).alias("n"))
         parts.append(long.select("lang", F.lit(name).alias("part"), "pos", "n"))
     sizes = {"chars": len(CHAR_CLASSES), "common": len(COMMON) + 1}
