@@ -81,7 +81,7 @@ def test_quality_against_plain_distances(spark, sf):
     for doc_id, _, p, chars, common, failed in found:
         a, b = min(((distance(chars, x), distance(common, y)) for x, y in references), key=sum)
         root = math.sqrt(max(p["n_words"], 1))
-        far = a > 0.06 + 1.2 / root or b > 0.06 + 2.5 / root
+        far = a > 0.05 + 1.2 / root or b > 0.2 + 2.5 / root
         want[doc_id] = (a, b, not failed and not (p["n_words"] >= 20 and far))
     for parts in (1, 7):
         got = quality_rules.quality_rules(docs.repartition(parts)).collect()
