@@ -45,7 +45,7 @@ from . import common as C
 
 WINDOW, PREFIX = 50, 25
 #: Words that a tree in memory is built from, at least; texts that share a prefix before it is lengthened; slots of the count.
-BUFFER, GROUP, SLOTS = 400_000, 20_000, 1 << 20
+BUFFER, GROUP, SLOTS = 400_000, 2_000, 1 << 20
 #: Texts with shared prefixes, or with words to cut, and hashes or runs of them, that are broadcast at most.
 BROADCAST_ROWS, BROADCAST_ITEMS = 200_000, 2_000_000
 ALL = 2**31 - 1
