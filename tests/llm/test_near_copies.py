@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from textloom.llm import near_copies
@@ -77,3 +78,20 @@ def test_crowded_groups_and_clashing_columns(spark):
     docs = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in given], "doc_id long, text string, row int, textloom_row string, kept int").repartition(3)
     got = near_copies.one_of_each(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(given[i][0] for i in plain_kept(given))
+
+
+def test_maps_discard_no_near_pair():
+    """Pairs at 4/5 pass maps of any size; maps of sets that share little don't."""
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        n = int(rng.integers(5, 900))
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[rng.random(n) < rng.uniform(0.3, 1)], rng.integers(0, 2**63, int(rng.integers(0, n // 3 + 1)), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        for bits in (64, near_copies.FOLDED, near_copies.BITS):
+            x, y = (np.frombuffer(near_copies.bit_map(s, bits), dtype=np.uint64)[None] for s in (a, b))
+            allowed = bool(near_copies.can_be_near(x, y, np.array([len(a)]), np.array([len(b)]))[0])
+            assert allowed or 5 * both < 4 * (len(a) + len(b) - both)
+            if bits == near_copies.BITS and 100 < n < 500 and 2 * both < len(a):
+                assert not allowed
