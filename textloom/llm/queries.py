@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .branch_merge import digest as merge_digest
+from .branch_merge import merge_branches
 from .decontamination import contaminated
 from .mixing import mix
 from .periodic_runs import digest as run_digest
@@ -17,7 +19,7 @@ from .quality_rules import quality_rules
 from .secret_scan import digest as secret_digest
 from .secret_scan import secret_scan
 from .simhash import near_duplicates
-from .sql import OP13_SQL
+from .sql import OP11_SQL, OP13_SQL
 from .substrings import substring_digest
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -67,6 +69,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_digest(merge_branches(_table(spark, sf_dir, "documents")))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(repeat_tails(_table(spark, sf_dir, "documents"))))
 
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": _op8,
         "op9_substring_dedup": _op9,
         "op10_token_counts": _op10,
+        "op11_branch_merge": _op11,
         "op13_periodic_runs": _op13,
     }
 
@@ -176,4 +183,4 @@ FROM t LEFT JOIN sums USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": _op2_sql(), "op5_decontamination": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op13_periodic_runs": OP13_SQL}
+    return {"op2_secret_scan": _op2_sql(), "op5_decontamination": OP5_SQL, "op7_mix_sources": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op11_branch_merge": OP11_SQL, "op13_periodic_runs": OP13_SQL}
