@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .branch_merge import digest as merge_digest
 from .branch_merge import merge_branches
 from .decontamination import contaminated
+from .fingerprints import near_texts
 from .mixing import mix
 from .periodic_runs import digest as run_digest
 from .periodic_runs import periodic_runs, repeat_tails
@@ -73,6 +74,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_digest(merge_branches(_table(spark, sf_dir, "documents")))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts(_table(spark, sf_dir, "documents"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(repeat_tails(_table(spark, sf_dir, "documents"))))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": _op9,
         "op10_token_counts": _op10,
         "op11_branch_merge": _op11,
+        "op12_fingerprints": _op12,
         "op13_periodic_runs": _op13,
     }
 
