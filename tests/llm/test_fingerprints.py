@@ -124,3 +124,18 @@ def test_search_against_all_pairs(spark, radius):
 def test_no_python_in_the_plan(spark):
     plan = P.votes(table(spark).select("doc_id", "text"), "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "HashAggregate" in plan
+
+
+def test_texts_travel_once(spark):
+    from textloom.llm.common import Scratch
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Scratch(spark) as scratch:
+            texts, _ = P.with_edits(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), scratch)
+            texts.collect()
+            plan = texts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.split("Initial Plan")[0].count("ReusedExchange") == 1

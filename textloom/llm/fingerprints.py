@@ -52,11 +52,12 @@ def _words(text: Column) -> Column:
 def votes(texts: DataFrame, *keys: str) -> DataFrame:
     """keys, v0 ... v31 and total: packed sums of votes of each chunk of the column text; keys must identify a text."""
     words = texts.select(*keys, _words(F.col("text")).alias("w"))
-    terms = words.select(*keys, "w", F.posexplode("w").alias("i", "a")).withColumn("b", F.coalesce(F.get("w", F.col("i") + 1), F.lit("")))
+    # The list is never empty; the plain generator would filter by its size, which splits all texts twice.
+    terms = words.select(*keys, "w", F.posexplode_outer("w").alias("i", "a")).withColumn("b", F.coalesce(F.get("w", F.col("i") + 1), F.lit("")))
     # The last word starts no pair, unless it is the only one; the empty text has one empty word, which counts nothing.
     counts = (F.col("a") != "") & ((F.col("i") < F.size("w") - 1) | (F.col("i") == 0))
     weight = F.when(counts, F.greatest(F.lit(1), F.least(F.lit(MOST_WEIGHT), F.shiftright(F.length("a") + F.length("b"), 1)))).otherwise(0).cast("long")
-    hashed = terms.select(*keys, F.floor(F.col("i") / CHUNK).alias("chunk"), weight.alias("weight"), F.xxhash64("a", "b").alias("h0"), F.xxhash64("a", "b", F.lit(1)).alias("h1"))
+    hashed = terms.select(*keys, F.expr(f"i div {CHUNK}").alias("chunk"), weight.alias("weight"), F.xxhash64("a", "b").alias("h0"), F.xxhash64("a", "b", F.lit(1)).alias("h1"))
     lanes = [
         F.sum(F.shiftrightunsigned(f"h{h}", k).bitwiseAND(F.lit(_MASK)) * F.col("weight")).alias(_SUMS[h * _LANES + k]) for h in range(_HASHES) for k in range(_LANES)
     ]
@@ -151,19 +152,26 @@ def with_edits(docs: DataFrame, scratch: C.Scratch, id_col: str = "doc_id", text
     hot = [r.doc_id for r in ids.filter(F.col("times") > max(HOT_LEAST, HOT_SHARE * total)).select("doc_id").collect()]
     order = scratch.save(next_ids(ids.drop("times"), scratch), "order")
 
-    salted = F.col("doc_id").isNull() | F.col("doc_id").isin(hot) if hot else F.col("doc_id").isNull()
-    salt = F.when(salted, F.pmod("rid", F.lit(SALTS))).otherwise(0).cast("int")
-    # Both joins read this one shuffle of the texts.
-    placed = named.withColumn("salt", salt).repartition("doc_id", "salt")
+    def place(doc_id: str, rid: str) -> Column:
+        """Where the texts of an id lie; those of a hot id, and of none, lie in ``SALTS`` places."""
+        c = F.col(doc_id)
+        spread = c.isNull() | c.isin(hot) if hot else c.isNull()
+        return F.xxhash64(c, F.when(spread, F.pmod(rid, F.lit(SALTS))).otherwise(0).cast("long"))
+
+    # Both joins read one shuffle of the texts: they are partitioned by all that they are joined by, and ask for the same columns.
+    # What else must be equal is compared as a range of structs: an equality would count as a key, and plain columns would be filtered for nulls.
+    placed = named.withColumn("place", place("doc_id", "rid")).repartition("place")
     owner = order.select(F.col("rid").alias("owner_rid"), F.col("doc_id").alias("owner"))
     asked = order.select(F.col("doc_id").alias("asker"), F.floor(F.col("longest") / 4).cast("int").alias("most"), "next_rid")
-    wanted = asked.join(owner, F.col("next_rid") == F.col("owner_rid")).withColumn("owner_salt", F.when(F.col("owner").isin(hot), F.pmod("owner_rid", F.lit(SALTS))).otherwise(0).cast("int") if hot else F.lit(0))
-    wanted = scratch.save(wanted.select("asker", "most", "owner", "owner_salt", "owner_rid"), "wanted")
-    met = placed.join(wanted, (F.col("doc_id") == F.col("owner")) & (F.col("salt") == F.col("owner_salt")) & (F.col("rid") == F.col("owner_rid")))
+    wanted = asked.join(owner, F.col("next_rid") == F.col("owner_rid")).withColumn("owner_place", place("owner", "owner_rid"))
+    wanted = scratch.save(wanted.select("asker", "most", "owner", "owner_place", "owner_rid"), "wanted")
+    same = lambda a, b: F.struct(*a).between(F.struct(*b), F.struct(*b))
+    met = placed.join(wanted, (F.col("place") == F.col("owner_place")) & same(("rid", "doc_id"), ("owner_rid", "owner")))
     starts = met.select("asker", F.substring("text", F.lit(1), F.col("most")).alias("start"))
-    salts = F.when(F.col("asker").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
-    starts = starts.select("asker", "start", F.explode(salts).alias("start_salt"))
-    both = placed.join(starts, (F.col("doc_id") == F.col("asker")) & (F.col("salt") == F.col("start_salt")), "left")
+    places = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.xxhash64("asker", i.cast("long")))
+    alone = F.array(F.xxhash64("asker", F.lit(0).cast("long")))
+    starts = starts.select("asker", "start", F.explode_outer(F.when(F.col("asker").isin(hot), places).otherwise(alone) if hot else alone).alias("start_place"))
+    both = placed.join(starts, (F.col("place") == F.col("start_place")) & same(("doc_id",), ("asker",)), "left")
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - tail), F.substring(F.coalesce("start", F.lit("")), F.lit(1), tail))
