@@ -48,20 +48,25 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    """url and text of each page: blocks of enough words, else lines of enough words, without repeats; null if there are none.
-
-    Of pages with one URL the least by (no text, hash of the HTML) counts, so that the lookup gives one row. Pages are parsed
-    where they are read; only their texts travel. A column ``error`` of the pages, if there is one, goes along.
-    """
-    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+def text_of_page(html: Column) -> Column:
+    """Text of a page: blocks of enough words, else lines of enough words, without repeats; null if there are none."""
     enough = lambda texts: F.filter(texts, lambda t: enough_words(t))
 
     def text(parts: Column) -> Column:
         chosen = _bound(enough(parts["blocks"]), lambda blocks: F.when(F.size(blocks) > 0, blocks).otherwise(enough(parts["lines"])))
         return _bound(join_blocks(ordered_distinct(chosen)), lambda joined: F.when(strip(joined) != "", clean_text(joined)))
 
-    found = pages.select("url", F.xxhash64("html").alias("h"), _bound(page_parts(F.col("html")), text).alias("page_text"), error.alias("page_error"))
+    return _bound(page_parts(html), text)
+
+
+def page_text(pages: DataFrame) -> DataFrame:
+    """url and text of each page.
+
+    Of pages with one URL the least by (no text, hash of the HTML) counts, so that the lookup gives one row. Pages are parsed
+    where they are read; only their texts travel. A column ``error`` of the pages, if there is one, goes along.
+    """
+    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    found = pages.select("url", F.xxhash64("html").alias("h"), text_of_page(F.col("html")).alias("page_text"), error.alias("page_error"))
     one = found.groupBy("url").agg(F.min(F.struct(F.col("page_text").isNull().alias("none"), "h", "page_text", "page_error")).alias("least"))
     return one.select("url", "least.page_text", "least.page_error")
 

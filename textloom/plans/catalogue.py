@@ -13,7 +13,9 @@ from textloom.operators import predict, requests, views
 from textloom.operators.classify import hashed_logits
 from textloom.sources.tables import read_table, requests_of, spread
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import encoding, oracles, streams, tables, time_joins
+from .registry import Query
+
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
@@ -28,84 +30,6 @@ def _query(oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-# SQL of the building blocks. The tables hold no white space beyond what \s means in that dialect.
-
-
-def _sql_strip(x: str) -> str:
-    return rf"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
-
-
-def _sql_newlines(x: str) -> str:
-    return rf"regexp_replace({x}, '\r\n?', chr(10), 'g')"
-
-
-def _sql_spaces(x: str) -> str:
-    return rf"regexp_replace({x}, '[ \t]+', ' ', 'g')"
-
-
-def _sql_blank_lines(x: str) -> str:
-    return rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')"
-
-
-def _sql_clean(x: str) -> str:
-    return _sql_strip(_sql_blank_lines(_sql_spaces(_sql_newlines(x))))
-
-
-def _sql_parts(split: str) -> str:
-    return f"list_filter(list_transform(string_split({split}, chr(1)), lambda x: {_sql_strip('x')}), lambda x: x <> '')"
-
-
-def _sql_sentences(clean: str) -> str:
-    return _sql_parts(rf"""regexp_replace({clean}, '([.!?])\s+(["''“”‘’]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g')""")
-
-
-def _sql_paragraphs(clean: str) -> str:
-    return _sql_parts(rf"""regexp_replace({clean}, '\n\s*\n|\n([A-Z0-9"''])', chr(1) || '\1', 'g')""")
-
-
-def _sql_article(clean: str) -> str:
-    return f"CASE WHEN {clean} <> '' THEN [{clean}] ELSE [] END"
-
-
-_SQL_SEGMENTS = {"article": _sql_article, "sentence": _sql_sentences, "paragraph": _sql_paragraphs}
-_SQL_DIRTY = r"concat(' ', chr(9), ' ', replace(replace(text, '. ', '.  ' || chr(9)), chr(10), chr(13) || chr(10) || chr(13) || chr(13) || ' ' || chr(10) || chr(13) || chr(10)), ' ', chr(10), ' ')"
-_SQL_LINES = f"list_transform(string_split(text, chr(10)), lambda x: {_sql_strip('x')})"
-
-
-#: CTEs from cleaned(request_id, c) to seg(request_id, segment_index, text), by mode.
-_SQL_FROM_CLEANED = {
-    mode: f"""lists AS (SELECT request_id, {parts('c')} AS s FROM cleaned),
-seg AS (SELECT request_id, unnest(s) AS text, unnest(range(len(s)))::INTEGER AS segment_index FROM lists)"""
-    for mode, parts in _SQL_SEGMENTS.items()
-}
-
-
-def _sql_segmented(mode: str) -> str:
-    """CTEs up to seg(request_id, segment_index, text)."""
-    return f"""
-cleaned AS (SELECT doc_id AS request_id, {_sql_clean('text')} AS c FROM documents),
-{_SQL_FROM_CLEANED[mode]}"""
-
-
-_SQL_LOGITS = r"""
-z AS (
-  SELECT *, list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 2))::INTEGER - 128))::DOUBLE / (16.0::DOUBLE * greatest(len(w), 1)) AS z0,
-         list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 3, 2))::INTEGER - 128))::DOUBLE / (16.0::DOUBLE * greatest(len(w), 1)) AS z1,
-         list_sum(list_transform(w, lambda x: ('0x' || substr(md5(x), 5, 2))::INTEGER - 128))::DOUBLE / (16.0::DOUBLE * greatest(len(w), 1)) AS z2
-  FROM (SELECT *, regexp_extract_all(text, '\S+') AS w FROM seg)),
-e AS (SELECT *, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1, exp(z2 - greatest(z0, z1, z2)) AS e2 FROM z),
-pred AS (
-  SELECT request_id, segment_index, text,
-         CASE WHEN z0 >= z1 AND z0 >= z2 THEN 'LEFT' WHEN z1 >= z2 THEN 'RIGHT' ELSE 'CENTER' END AS label,
-         CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS label_id,
-         round(e0 / (e0 + e1 + e2), 6) AS p_left, round(e1 / (e0 + e1 + e2), 6) AS p_right, round(e2 / (e0 + e1 + e2), 6) AS p_center
-  FROM e)"""
-
-
-def _sql_predicted(mode: str, rest: str) -> str:
-    return f"WITH {_sql_segmented(mode)}, {_SQL_LOGITS} {rest}"
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, "documents"))
 
@@ -122,13 +46,13 @@ def _text_query(name: str, apply: Callable[[Column], Column], sql: Callable[[str
         return _documents(spark, sf_dir).select("doc_id", apply(dirty(F.col("text"))).alias("text"))
 
     _queries[name] = run
-    _oracles[name] = f"SELECT doc_id, {sql(_SQL_DIRTY)} AS text FROM documents"
+    _oracles[name] = f"SELECT doc_id, {sql(oracles.DIRTY)} AS text FROM documents"
 
 
 for _name, _apply, _sql in (
-    ("strip_text", text.strip, _sql_strip), ("normalize_newlines", text.normalize_newlines, _sql_newlines),
-    ("collapse_spaces", text.collapse_spaces, _sql_spaces), ("collapse_blank_lines", lambda c: text.collapse_blank_lines(text.normalize_newlines(c)), lambda x: _sql_blank_lines(_sql_newlines(x))),
-    ("clean_text", text.clean_text, _sql_clean),
+    ("strip_text", text.strip, oracles.strip), ("normalize_newlines", text.normalize_newlines, oracles.newlines),
+    ("collapse_spaces", text.collapse_spaces, oracles.spaces), ("collapse_blank_lines", lambda c: text.collapse_blank_lines(text.normalize_newlines(c)), lambda x: oracles.blank_lines(oracles.newlines(x))),
+    ("clean_text", text.clean_text, oracles.clean),
 ):
     _text_query(_name, _apply, _sql)
 
@@ -146,8 +70,8 @@ def _mode_queries(mode: str) -> None:
         return _predicted(spark, sf_dir, mode).select("request_id", "segment_index", "text", "label", "label_id", "p_left", "p_right", "p_center")
 
     _queries[f"segment_{mode}"], _queries[f"predict_{mode}"] = segment, whole
-    _oracles[f"segment_{mode}"] = f"WITH {_sql_segmented(mode)} SELECT request_id, segment_index, text FROM seg"
-    _oracles[f"predict_{mode}"] = _sql_predicted(mode, "SELECT * FROM pred")
+    _oracles[f"segment_{mode}"] = f"WITH {oracles.segmented(mode)} SELECT request_id, segment_index, text FROM seg"
+    _oracles[f"predict_{mode}"] = oracles.predicted(mode, "SELECT * FROM pred")
 
 
 for _mode in segments.MODES:
@@ -155,10 +79,10 @@ for _mode in segments.MODES:
 
 
 @_query(f"""
-WITH cleaned AS (SELECT doc_id, {_sql_clean('text')} AS c FROM documents),
+WITH cleaned AS (SELECT doc_id, {oracles.clean('text')} AS c FROM documents),
 lists AS (
   SELECT doc_id, ['article', 'sentence', 'paragraph'][(doc_id % 3 + 1)::INTEGER] AS mode,
-         CASE doc_id % 3 WHEN 0 THEN {_sql_article('c')} WHEN 1 THEN {_sql_sentences('c')} ELSE {_sql_paragraphs('c')} END AS s FROM cleaned)
+         CASE doc_id % 3 WHEN 0 THEN {oracles.article('c')} WHEN 1 THEN {oracles.sentences('c')} ELSE {oracles.paragraphs('c')} END AS s FROM cleaned)
 SELECT doc_id AS request_id, mode, unnest(range(len(s)))::INTEGER AS segment_index, unnest(s) AS text FROM lists""")
 def segment_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.element_at(F.array(*map(F.lit, segments.MODES)), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -173,9 +97,9 @@ _URL_CASES = ("https://e.com", "HTTPS://E.com", " https://e.com ", "https://e.co
 WITH given AS (
   SELECT url AS input FROM pages UNION ALL SELECT text FROM documents
   UNION ALL SELECT unnest([{', '.join(f"'{u}'" for u in _URL_CASES)}]))
-SELECT input, regexp_matches({_sql_strip('input')}, '^(?i)https?://[^/?#]+') AS is_url,
-       regexp_matches({_sql_strip('input')}, '^(?i)https?://[^/?#]+') AND
-       contains(regexp_extract({_sql_strip('input')}, '^(?i)https?://([^/?#]+)', 1), '[') <> contains(regexp_extract({_sql_strip('input')}, '^(?i)https?://([^/?#]+)', 1), ']') AS malformed
+SELECT input, regexp_matches({oracles.strip('input')}, '^(?i)https?://[^/?#]+') AS is_url,
+       regexp_matches({oracles.strip('input')}, '^(?i)https?://[^/?#]+') AND
+       contains(regexp_extract({oracles.strip('input')}, '^(?i)https?://([^/?#]+)', 1), '[') <> contains(regexp_extract({oracles.strip('input')}, '^(?i)https?://([^/?#]+)', 1), ']') AS malformed
 FROM given""")
 def looks_like_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = spark.createDataFrame([(u,) for u in _URL_CASES], "input string")
@@ -183,7 +107,7 @@ def looks_like_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.select("input", urls.looks_like_url(F.col("input")).alias("is_url"), urls.malformed_authority(F.col("input")).alias("malformed"))
 
 
-@_query(rf"SELECT doc_id AS request_id, 'text' AS source_type, {_sql_clean(_SQL_DIRTY)} AS resolved_text FROM documents")
+@_query(rf"SELECT doc_id AS request_id, 'text' AS source_type, {oracles.clean(oracles.DIRTY)} AS resolved_text FROM documents")
 def resolve_text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _documents(spark, sf_dir).select(F.col("doc_id").alias("request_id"), dirty(F.col("text")).alias("input"))
     return requests.resolve(requests.validate(given), None).select("request_id", "source_type", "resolved_text")
@@ -201,73 +125,37 @@ def url_page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(rf"""
-SELECT doc_id, unnest(list_filter({_SQL_LINES}, lambda x: len(regexp_extract_all(x, '\S+')) >= 8)) AS line FROM documents""")
+SELECT doc_id, unnest(list_filter({oracles.LINES}, lambda x: len(regexp_extract_all(x, '\S+')) >= 8)) AS line FROM documents""")
 def min_words_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.explode(F.filter(text.lines(F.col("text")), lambda x: text.enough_words(x))).alias("line"))
 
 
 @_query(rf"""
-WITH numbered AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, {_SQL_LINES} AS ls FROM documents)),
+WITH numbered AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, {oracles.LINES} AS ls FROM documents)),
 firsts AS (SELECT doc_id, line, min(i) AS i FROM numbered GROUP BY ALL)
 SELECT doc_id, line, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS position FROM firsts""")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(text.ordered_distinct(text.lines(F.col("text")))).alias("position", "line"))
 
 
-@_query(rf"SELECT doc_id, array_to_string({_SQL_LINES}, chr(10) || chr(10)) AS joined FROM documents")
+@_query(rf"SELECT doc_id, array_to_string({oracles.LINES}, chr(10) || chr(10)) AS joined FROM documents")
 def join_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", text.join_blocks(text.lines(F.col("text"))).alias("joined"))
 
 
-def _sql_pages() -> str:
-    """Recursive CTEs up to pieces(page_id, j, stack, piece), blocks(page_id, block_index, text) and lines(page_id, line_index, text).
-
-    ``walk`` keeps the open elements before each token; text belongs to every block that is open there.
-    """
-    names, ends = "list_transform(stack, lambda x: split_part(x, '#', 1))", "'^</?([a-zA-Z][a-zA-Z0-9]*)'"
-    listed = lambda tags: ", ".join(f"'{t}'" for t in sorted(tags))
-    gone = f"list_has_any({names}, [{listed(html.DROPPED | html.SILENT)}])"
-    plain = "tok"
-    for entity, character in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        plain = f"replace({plain}, '{entity}', '{character}')"
-    return rf"""
-toks AS (
-  SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>', '<!---->', 'g'), '(?s)<!--.*?-->|<[^>]*>|[^<]+') AS t FROM pages),
-walk AS (
-  SELECT page_id, 0 AS i, []::VARCHAR[] AS stack FROM toks
-  UNION ALL
-  SELECT page_id, i + 1, CASE
-      WHEN tok LIKE '</%' THEN CASE WHEN list_contains({names}, name) THEN stack[1:len(stack) - list_position(list_reverse({names}), name)] ELSE stack END
-      WHEN name <> '' AND NOT tok LIKE '%/>' AND name NOT IN ({listed(html.VOID)}) THEN list_append(stack, name || '#' || i) ELSE stack END
-  FROM (SELECT w.page_id, i, stack, t[i + 1] AS tok, lower(regexp_extract(t[i + 1], {ends}, 1)) AS name FROM walk w JOIN toks USING (page_id) WHERE i < len(t))),
-seen AS (SELECT w.page_id, w.i, w.stack, t[w.i + 1] AS tok, lower(regexp_extract(t[w.i + 1], {ends}, 1)) AS name, {gone} AS gone FROM walk w JOIN toks USING (page_id) WHERE w.i < len(t)),
-pieces AS (SELECT page_id, i AS j, stack, {_sql_strip(plain)} AS piece FROM seen WHERE tok NOT LIKE '<%' AND NOT gone AND {_sql_strip(plain)} <> ''),
-opened AS (SELECT page_id, i, name || '#' || i AS block FROM seen WHERE name IN ({listed(html.BLOCKS)}) AND tok NOT LIKE '</%' AND NOT gone),
-blocks AS (
-  SELECT o.page_id, (row_number() OVER (PARTITION BY o.page_id ORDER BY o.i) - 1)::INTEGER AS block_index, coalesce(string_agg(piece, ' ' ORDER BY j), '') AS text
-  FROM opened o LEFT JOIN pieces p ON p.page_id = o.page_id AND list_contains(p.stack, o.block) GROUP BY o.page_id, o.i),
-whole AS (SELECT page_id, string_split(string_agg(piece, chr(10) ORDER BY j), chr(10)) AS ls FROM pieces GROUP BY page_id),
-lines AS (SELECT page_id, unnest(range(len(ls)))::INTEGER AS line_index, {_sql_strip("unnest(ls)")} AS text FROM whole),
-enough AS (
-  SELECT page_id, block_index AS nr, text, 0 AS kind FROM blocks WHERE len(regexp_extract_all(text, '\S+')) >= 8
-  UNION ALL SELECT page_id, line_index, text, 1 FROM lines WHERE len(regexp_extract_all(text, '\S+')) >= 8),
-chosen AS (SELECT page_id, text, min(nr) AS nr FROM enough e WHERE kind = (SELECT min(kind) FROM enough k WHERE k.page_id = e.page_id) GROUP BY page_id, text),
-texts AS (SELECT page_id, {_sql_clean("string_agg(text, chr(10) || chr(10) ORDER BY nr)")} AS page_text FROM chosen GROUP BY page_id)"""
-
-
-@_query(f"WITH RECURSIVE {_sql_pages()} SELECT page_id, block_index, text FROM blocks")
+@_query(f"WITH RECURSIVE {oracles.pages()} SELECT page_id, block_index, text FROM blocks")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spread(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", page_parts(F.col("html")).alias("p"))
     return parts.select("page_id", F.posexplode("p.blocks").alias("block_index", "text"))
 
 
-@_query(f"WITH RECURSIVE {_sql_pages()} SELECT page_id, line_index, text FROM lines")
+@_query(f"WITH RECURSIVE {oracles.pages()} SELECT page_id, line_index, text FROM lines")
 def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spread(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", page_parts(F.col("html")).alias("p"))
     return parts.select("page_id", F.posexplode("p.lines").alias("line_index", "text"))
 
 
-@_query(f"WITH RECURSIVE {_sql_pages()} SELECT url, page_text FROM pages LEFT JOIN texts USING (page_id)")
+@_query(f"WITH RECURSIVE {oracles.pages()} SELECT url, page_text FROM pages LEFT JOIN texts USING (page_id)")
 def fetch_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.page_text(spread(read_table(spark, sf_dir, "pages").select("url", "html"))).select("url", "page_text")
 
@@ -316,23 +204,23 @@ def _z() -> list[Column]:
     return [F.col("z0"), F.col("z1"), F.col("z2")]
 
 
-@_query(_sql_predicted("sentence", "SELECT request_id, segment_index, z0, z1, z2 FROM z"))
+@_query(oracles.predicted("sentence", "SELECT request_id, segment_index, z0, z1, z2 FROM z"))
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir)
 
 
-@_query(_sql_predicted("sentence", "SELECT request_id, segment_index, round(e0 / (e0 + e1 + e2), 9) AS s0, round(e1 / (e0 + e1 + e2), 9) AS s1, round(e2 / (e0 + e1 + e2), 9) AS s2 FROM e"))
+@_query(oracles.predicted("sentence", "SELECT request_id, segment_index, round(e0 / (e0 + e1 + e2), 9) AS s0, round(e1 / (e0 + e1 + e2), 9) AS s1, round(e2 / (e0 + e1 + e2), 9) AS s2 FROM e"))
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir).select("request_id", "segment_index", *(F.round(p, 9).alias(f"s{i}") for i, p in enumerate(scores.softmax(_z()))))
 
 
-@_query(_sql_predicted("sentence", "SELECT request_id, segment_index, p_left, p_right, p_center FROM pred"))
+@_query(oracles.predicted("sentence", "SELECT request_id, segment_index, p_left, p_right, p_center FROM pred"))
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = zip(scores.LABELS, scores.softmax(_z()), strict=True)
     return _sentences(spark, sf_dir).select("request_id", "segment_index", *(scores.rounded(p).alias(f"p_{n.lower()}") for n, p in named))
 
 
-@_query(_sql_predicted("sentence", "SELECT request_id, segment_index, label_id FROM pred"))
+@_query(oracles.predicted("sentence", "SELECT request_id, segment_index, label_id FROM pred"))
 def argmax_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir).select("request_id", "segment_index", scores.argmax(_z()).alias("label_id"))
 
@@ -343,8 +231,8 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH RECURSIVE {_sql_pages()}, cleaned AS (SELECT page_id AS request_id, page_text AS c FROM texts),
-{_SQL_FROM_CLEANED["paragraph"]}, {_SQL_LOGITS} SELECT request_id, 'paragraph' AS mode, segment_index, text, label, label_id, p_left, p_right, p_center FROM pred"""
+    f"""WITH RECURSIVE {oracles.pages()}, cleaned AS (SELECT page_id AS request_id, page_text AS c FROM texts),
+{oracles.FROM_CLEANED["paragraph"]}, {oracles.LOGITS} SELECT request_id, 'paragraph' AS mode, segment_index, text, label, label_id, p_left, p_right, p_center FROM pred"""
 )
 def predict_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
@@ -359,7 +247,7 @@ def _sql_number(p: str) -> str:
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "paragraph",
         f"""SELECT request_id, '{{"source_type":"text","resolved_text":' || to_json(any_value(c))::VARCHAR || ',"mode":"paragraph","results":[' || string_agg(
 '{{"segment_index":' || segment_index || ',"text":' || to_json(text)::VARCHAR || ',"label":"' || label || '","label_id":' || label_id || ',"probabilities":{{"LEFT":'
@@ -377,7 +265,7 @@ def mode_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "article",
         "SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN 'Whole article prediction' END AS headline,"
         " CASE WHEN d.doc_id % 2 = 0 THEN 'Latest run returned 1 prediction in article mode.'"
@@ -392,13 +280,13 @@ def run_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", F.when(n.isNotNull(), views.headline(F.col("mode"), n)).alias("headline"), views.run_summary(F.col("mode"), n).alias("summary"))
 
 
-@_query(_sql_predicted("sentence", "SELECT request_id, arg_min(label, segment_index) AS top_signal FROM pred GROUP BY request_id"))
+@_query(oracles.predicted("sentence", "SELECT request_id, arg_min(label, segment_index) AS top_signal FROM pred GROUP BY request_id"))
 def top_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.top_signal(_predicted(spark, sf_dir, "sentence"))
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "paragraph",
         "SELECT request_id, 'paragraph' AS mode, count(*) AS n_segments, count(*) || ' segment predictions' AS headline, "
         "'Latest run returned ' || count(*) || ' segments in paragraph mode.' AS summary, 'Paragraph analysis' AS title FROM pred GROUP BY request_id",
@@ -409,7 +297,7 @@ def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "sentence",
         "SELECT request_id, segment_index + 1 AS segment_number, r AS display_rank, ['LEFT', 'CENTER', 'RIGHT'][r + 1] AS label, "
         "floor([p_left, p_center, p_right][r + 1] * 100 + 0.5)::INTEGER AS percent FROM pred, (SELECT unnest([0, 1, 2]) AS r)",
@@ -423,7 +311,7 @@ _SQL_STYLES = ", ".join("(" + ", ".join(f"'{x}'" for x in (k, *v)) + ")" for k,
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "sentence",
         f"SELECT request_id, segment_index, text, pred.label, {', '.join(f'style_{f}' for f in views.STYLE_FIELDS)} FROM pred "
         f"JOIN (VALUES {_SQL_STYLES}) AS s(label, {', '.join(f'style_{f}' for f in views.STYLE_FIELDS)}) ON s.label = pred.label",
@@ -434,7 +322,7 @@ def highlight_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "sentence",
         "SELECT request_id, segment_index + 1 AS segment_number, text, label, floor(p_left * 100 + 0.5)::INTEGER AS left_percent, "
         "floor(p_center * 100 + 0.5)::INTEGER AS center_percent, floor(p_right * 100 + 0.5)::INTEGER AS right_percent FROM pred",
@@ -476,7 +364,7 @@ def base_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(rf"""
 SELECT doc_id, unnest(items) AS item, unnest(range(len(items)))::INTEGER AS position
-FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), ' , '), ','), lambda x: {_sql_strip('x')}), lambda x: x <> '') AS items FROM documents)""")
+FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), ' , '), ','), lambda x: {oracles.strip('x')}), lambda x: x <> '') AS items FROM documents)""")
 def csv_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = _documents(spark, sf_dir).select("doc_id", text.csv_items(F.replace("text", F.lit("\n"), F.lit(" , "))).alias("items"))
     return lists.select("doc_id", F.posexplode("items").alias("position", "item"))
@@ -498,7 +386,7 @@ def panel_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "sentence",
         "SELECT d.lang, d.source, count(*) FILTER (label = 'LEFT') AS n_left, count(*) FILTER (label = 'CENTER') AS n_center, count(*) FILTER (label = 'RIGHT') AS n_right, count(*) AS n "
         "FROM pred JOIN documents d ON d.doc_id = request_id GROUP BY ROLLUP (d.lang, d.source)",
@@ -510,7 +398,7 @@ def ext_label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "sentence",
         "SELECT request_id, label AS majority_label, n FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n DESC, label_id) AS k "
         "FROM (SELECT request_id, label, label_id, count(*) AS n FROM pred GROUP BY ALL)) WHERE k = 1",
@@ -521,7 +409,7 @@ def ext_majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "sentence",
         "SELECT request_id, sum(p_left::DECIMAL(9, 6))::DOUBLE / count(*) AS mean_p_left, sum(p_center::DECIMAL(9, 6))::DOUBLE / count(*) AS mean_p_center, "
         "sum(p_right::DECIMAL(9, 6))::DOUBLE / count(*) AS mean_p_right FROM pred GROUP BY request_id",
@@ -532,7 +420,7 @@ def ext_mean_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "sentence",
         "SELECT from_label, label AS to_label, count(*) AS n FROM (SELECT label, lag(label) OVER (PARTITION BY request_id ORDER BY segment_index) AS from_label FROM pred) "
         "WHERE from_label IS NOT NULL GROUP BY ALL",
@@ -543,7 +431,7 @@ def ext_label_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    _sql_predicted(
+    oracles.predicted(
         "sentence",
         "SELECT label, request_id, segment_index, p FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p DESC, request_id, segment_index) AS k "
         "FROM (SELECT *, CASE label_id WHEN 0 THEN p_left WHEN 1 THEN p_right ELSE p_center END AS p FROM pred)) WHERE k <= 10",
@@ -566,8 +454,8 @@ def ext_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH cleaned AS (SELECT conv_id || ':' || turn AS request_id, {_sql_clean('text')} AS c FROM conversations),
-lists AS (SELECT request_id, {_sql_article('c')} AS s FROM cleaned), seg AS (SELECT request_id, unnest(s) AS text, 0 AS segment_index FROM lists), {_SQL_LOGITS}
+    f"""WITH cleaned AS (SELECT conv_id || ':' || turn AS request_id, {oracles.clean('text')} AS c FROM conversations),
+lists AS (SELECT request_id, {oracles.article('c')} AS s FROM cleaned), seg AS (SELECT request_id, unnest(s) AS text, 0 AS segment_index FROM lists), {oracles.LOGITS}
 SELECT request_id, label, p_left, p_right, p_center FROM pred"""
 )
 def ext_conversation_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -582,9 +470,13 @@ def ext_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_counts(read_table(spark, sf_dir, "events")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
+#: Queries of other modules.
+MORE = [encoding.plans, time_joins.plans, tables.plans, streams.plans]
+
+
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | {name: q for more in MORE for name, q in more.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracles)
+    return _oracles | {name: sql for more in MORE for name, sql in more.oracles.items()}
