@@ -4,14 +4,16 @@ The suffixes of interest start a window of ``WINDOW`` words. Each is filed under
 
 1. The prefix of a window is the run of ``PREFIX`` words that has the least hash in it (the first of
    equal ones), so equal windows have equal prefixes, at equal places. Prefixes of one text lead to a
-   leaf and end here. The texts under the others are counted in ``SLOTS`` slots by hash; a prefix in a slot
-   of more than ``GROUP`` is lengthened to the whole window, which splits its group as far as it can be split.
+   leaf and end here. The texts under each of the others are counted; a prefix of more than ``GROUP`` texts is
+   lengthened to the whole window, which splits its group as far as it can be split. Which prefixes are long travels with
+   the texts that have them, so nothing is broadcast and no bound depends on how many there are.
 2. Suffixes under prefixes that several texts share go to the group of their prefix, with the words
    that the group's tree needs. Windows that follow each other under one prefix share their words.
 3. The tree of a group is built in memory, as a suffix array: ranks of suffixes by their first 1, 2, 4
    words and so on to ``WINDOW``, compared word by word. Suffixes of equal rank hang below one internal node of
    that depth, a repeat; its least document keeps the words, all others lose them. Touching nodes
-   of a document are one maximal repeat. A group whose prefix is a whole window is a single node.
+   of a document are one maximal repeat. A group whose prefix is a whole window is a single node; its windows come with
+   their words and are compared by them too.
 
 Prefixes and texts are known by hashes of 64 to 128 bits, everything below a prefix by its words.
 
@@ -44,8 +46,8 @@ from xxhash import xxh64_intdigest
 from . import common as C
 
 WINDOW, PREFIX = 50, 25
-#: Words that a tree in memory is built from, at least; texts that share a prefix before it is lengthened; slots of the count.
-BUFFER, GROUP, SLOTS = 400_000, 2_000, 1 << 20
+#: Words that a tree in memory is built from, at least; texts that share a prefix before it is lengthened.
+BUFFER, GROUP = 400_000, 2_000
 #: Texts with shared prefixes, or with words to cut, and hashes or runs of them, that are broadcast at most.
 BROADCAST_ROWS, BROADCAST_ITEMS = 200_000, 2_000_000
 ALL = 2**31 - 1
@@ -262,8 +264,7 @@ def _settled(rank: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndar
 class _Buffer:
     """Texts of a task, about ``BUFFER`` words of theirs that lie in windows under shared prefixes."""
 
-    def __init__(self, hot: np.ndarray):
-        self.hot = hot
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
@@ -271,10 +272,10 @@ class _Buffer:
         self.seen: set[tuple[int, int]] = set()
         self.words: list[list[bytes]] = []
         self.ids: list[np.ndarray] = []
-        self.windows: list[tuple[np.ndarray, ...]] = []  # text, start, place among the held words, prefix hash, place of the prefix
+        self.windows: list[tuple[np.ndarray, ...]] = []  # text, start, place among the held words, prefix hash, place of the prefix, whether it is long
         self.size = 0
 
-    def add(self, name: tuple[int, int, int], text: bytes, shared: list[int]) -> None:
+    def add(self, name: tuple[int, int, int], text: bytes, shared: list[int], long: list[int]) -> None:
         words = text.split()
         if len(words) < WINDOW or name[1:] in self.seen:
             return
@@ -290,8 +291,9 @@ class _Buffer:
         cover = np.cumsum(cover[:-1]) > 0
         place = (np.cumsum(cover) - 1)[start]
         held = np.flatnonzero(cover).tolist()
+        prefix = h[at[start]].view(np.int64)
         self.seen.add(name[1:])
-        self.windows.append((np.full(len(start), len(self.names)), start, place + self.size, h[at[start]].view(np.int64), at[start]))
+        self.windows.append((np.full(len(start), len(self.names)), start, place + self.size, prefix, at[start], np.isin(prefix, np.array(long, dtype=np.int64))))
         self.names.append(name)
         self.words.append([words[i] for i in held])
         self.ids.append(ids[cover])
@@ -299,7 +301,7 @@ class _Buffer:
 
     def rows(self) -> pa.RecordBatch:
         """The suffixes that go on, and runs of words that are settled."""
-        text, start, place, prefix, at = (np.concatenate(x) for x in zip(*self.windows, strict=True))
+        text, start, place, prefix, at, long = (np.concatenate(x) for x in zip(*self.windows, strict=True))
         names = np.array(self.names, dtype=np.int64)
         rank = ranks(_numbered(self.words))[place]
         order, later = _settled(rank, names[text, 0], text, start)
@@ -326,7 +328,7 @@ class _Buffer:
             _, a, b = _merged(np.zeros(len(all_of), dtype=np.int64), start[all_of], start[all_of] + WINDOW)
             places[int(rep[i])] = _packed(a, b)
 
-        hot = self.hot[prefix[rep] % len(self.hot)] if len(rep) else np.zeros(0, dtype=bool)
+        hot = long[rep]
         offsets = np.cumsum([0, *map(len, self.words)])
         whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for w in rep[hot].tolist():
@@ -334,7 +336,7 @@ class _Buffer:
             if t not in whole:
                 whole[t] = (rolling(self.ids[t], WINDOW, 1).view(np.int64), rolling(self.ids[t], WINDOW, 2).view(np.int64))
             i = int(place[w] - offsets[t])
-            put(whole[t][0][i], whole[t][1][i], NODE, t, start[w], 1, None, places.get(w))
+            put(whole[t][0][i], whole[t][1][i], NODE, t, start[w], 1, b" ".join(self.words[t][i : i + WINDOW]), places.get(w))
 
         cold = np.sort(rep[~hot])  # by text and start
         single = np.isin(cold, list(places)) if places else np.zeros(len(cold), dtype=bool)
@@ -347,15 +349,15 @@ class _Buffer:
         return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in _SUFFIXES], schema=_SUFFIXES)
 
 
-def _suffix_rows(hot: np.ndarray, buffer: int):
-    """Step 2 in a task; ``hot`` tells by slot whether prefixes are lengthened."""
+def _suffix_rows(buffer: int):
+    """Step 2 in a task; the column long has the prefixes of a text that are lengthened."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Buffer(hot)
+        held = _Buffer()
         for batch in C.arrow_steps(batches):
-            columns = [batch.column(c).to_pylist() for c in ("doc", "key", "more", "shared")]
-            for doc, key, more, shared, text in zip(*columns, _texts(batch), strict=True):
-                held.add((doc, key, more), text or b"", shared)
+            columns = [batch.column(c).to_pylist() for c in ("doc", "key", "more", "shared", "long")]
+            for doc, key, more, shared, long, text in zip(*columns, _texts(batch), strict=True):
+                held.add((doc, key, more), text or b"", shared, long)
                 if held.size >= buffer:
                     yield held.rows()
                     held.clear()
@@ -408,7 +410,7 @@ def _cuts(buffer: int):
         names = ("k", "doc", "key", "more", "start", "n", "words", "places")
         held: dict[str, list] = {c: [] for c in names}
         size = 0
-        node, least = None, 0
+        node, least = None, {}  # the window that a run of rows shares by hash, and the least document by words
         for part in batches:
             kind = part.column("kind").to_numpy(zero_copy_only=False)
             done = part.filter(pa.array(kind == SETTLED))
@@ -419,12 +421,13 @@ def _cuts(buffer: int):
             single = part.filter(pa.array(kind == NODE))
             if single.num_rows:
                 k, k2, doc, key, more, start = (single.column(c).to_numpy(zero_copy_only=False) for c in ("k", "k2", "doc", "key", "more", "start"))
-                first = _runs(k, k2)
-                lead = doc[first]
-                if node == (k[0], k2[0]):
-                    lead[first == 0] = least
-                node, least = (k[-1], k2[-1]), lead[-1]
-                cut = np.flatnonzero(doc > lead)
+                cut = []
+                for i, (own, d, words) in enumerate(zip(zip(k.tolist(), k2.tolist(), strict=True), doc.tolist(), single.column("words").to_pylist(), strict=True)):
+                    if own != node:
+                        node, least = own, {}
+                    if d > least.setdefault(words, d):
+                        cut.append(i)
+                cut = np.array(cut, dtype=np.int64)
                 places = [p if p is not None else _packed(start[i : i + 1], start[i : i + 1] + WINDOW) for i, p in zip(cut.tolist(), single.column("places").take(pa.array(cut)).to_pylist(), strict=True)]
                 index, a, b = _unpacked(places)
                 yield _cut_rows(key, more, cut[index], a, b)
@@ -472,13 +475,11 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prefixes = known.select("text", "key").mapInArrow(_prefix_rows(BUFFER), C.spark_schema(_PREFIXES))
     prefixes = prefixes.repartition("k").sortWithinPartitions("h", "key").select("h", "key", "known")
     shared = scratch.keep(prefixes.mapInArrow(_shared_prefixes, "key long, h long"), "prefixes")
-    counts = shared.groupBy(F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
-    hot = np.zeros(SLOTS, dtype=bool)
-    hot[[r.slot for r in counts.select("slot").collect()]] = True
+    long = scratch.keep(shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select(F.col("h").alias("long")), "long")
 
     least = known.groupBy("key", "more").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    by_text = shared.groupBy("key").agg(F.collect_set("h").alias("shared"))
-    wanted = _numbers(least.drop("most").join(by_text, "key")).select(F.col("key").alias("of_key"), F.col("more").alias("of_more"), "least", "doc", "shared")
+    by_text = shared.join(long, F.col("h") == F.col("long"), "left").groupBy("key").agg(F.collect_set("h").alias("shared"), F.collect_set("long").alias("long"))
+    wanted = _numbers(least.drop("most").join(by_text, "key")).select(F.col("key").alias("of_key"), F.col("more").alias("of_more"), "least", "doc", "shared", "long")
     wanted = scratch.keep(wanted, "wanted")
     few = _is_small(wanted, "shared")
 
@@ -488,9 +489,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             same = same & c
         return left.join(F.broadcast(right) if near else right.hint("merge"), same, how)
 
-    found = on_text(texts, wanted, few, "inner", F.col("doc_id").eqNullSafe(F.col("least"))).select("doc", "key", "more", "text", "shared")
+    found = on_text(texts, wanted, few, "inner", F.col("doc_id").eqNullSafe(F.col("least"))).select("doc", "key", "more", "text", "shared", "long")
     found = found if few else found.sortWithinPartitions("key", "more")
-    rows = found.mapInArrow(_suffix_rows(hot, BUFFER), C.spark_schema(_SUFFIXES))
+    rows = found.mapInArrow(_suffix_rows(BUFFER), C.spark_schema(_SUFFIXES))
     rows = rows.repartition("k").sortWithinPartitions("k", "kind", "k2", "doc", "key", "start")
     cuts = rows.mapInArrow(_cuts(BUFFER), C.spark_schema(_CUTS)).groupBy("key", "more").agg(F.collect_list(F.struct("start", "stop")).alias("at"))
     info = least.join(cuts, ["key", "more"], "left").filter(F.col("at").isNotNull() | (F.col("most") > F.col("least")))
