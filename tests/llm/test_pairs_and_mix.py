@@ -28,7 +28,8 @@ def test_oracles(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_cover_whole_tables(spark, sf, name):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
-    got = queries.queries()[name](spark, sf).count()
+    found = queries.queries()[name](spark, sf)
+    got = found.filter("doc_id >= 0").count() if name.startswith("op11_") else found.count()  # op11 returns added rows too, under negative ids
     assert got > 0 if name.startswith("op5_") else got == n
 
 
@@ -328,3 +329,10 @@ def test_pipeline_against_plain_stages(spark, sf):
         taken[r.source] += r.mix_taken
     assert len({r.doc_id for r in got}) == len(got)
     assert all(abs(taken[s] - want[s]) <= max(len(words(t)) for t in texts.values()) for s in sizes)
+
+
+def test_mix_of_one_id(spark):
+    """Rows of one id, or of none, have hashes of their own by their texts, so a source still comes within one document of its target."""
+    given = [(7 if i % 2 else None, f"{'w ' * (i % 5)}x{i}", "en", "ab"[i % 3 == 0], 1, "") for i in range(10_000)]
+    got = mixing.mix(table(spark, given)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 2 and all(abs(r.taken - r.target) <= 5 for r in got)

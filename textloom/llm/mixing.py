@@ -10,8 +10,8 @@ sizes; a target stops at twice its source's size, and the excess is shared again
 source takes whole passes over its documents as far as its target goes, and the threshold decides
 which documents it takes once more; at the boundary it goes to the nearer side of the budget.
 
-Defined results: a null or empty text has size 0; the hash is that of the id as text, so repeated
-rows go together (a null id counts as the empty text); a source of size 0 has target 0.
+Defined results: a null or empty text has size 0; the hash is that of the id as text and of the text, so only rows
+equal in both go together (nulls count as empty); a source of size 0 has target 0.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ HASH_BITS = BITS * LEVELS
 BROADCAST_SOURCES = 100_000
 
 
-def _hash(id_column: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def _hash(id_column: Column, text: Column) -> Column:
+    both = F.concat(*(F.coalesce(c.cast("string"), F.lit("")) for c in (id_column, text)))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _size(text: Column) -> Column:
@@ -117,7 +118,7 @@ def _times() -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken and passes, one row per input row."""
     with C.Scratch(docs.sparkSession) as scratch:
-        sized = docs.select(docs[id_col].alias("doc_id"), _source(docs, source_col).alias("source"), _size(docs[text_col]).alias("size"), _hash(docs[id_col]).alias("h"))
+        sized = docs.select(docs[id_col].alias("doc_id"), _source(docs, source_col).alias("source"), _size(docs[text_col]).alias("size"), _hash(docs[id_col], docs[text_col]).alias("h"))
         sized = scratch.keep(sized, "sizes")
         state, few = thresholds(sized, scratch)
     out = sized.join(F.broadcast(state) if few else state, F.col("source").eqNullSafe(F.col("of")), "left")
@@ -130,10 +131,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Columns of these two names that the input has already are replaced.
     """
     with C.Scratch(docs.sparkSession) as scratch:
-        sized = scratch.save(docs.select(_source(docs, source_col).alias("source"), _size(docs[text_col]).alias("size"), _hash(docs[id_col]).alias("h")), "sizes")
+        sized = scratch.save(docs.select(_source(docs, source_col).alias("source"), _size(docs[text_col]).alias("size"), _hash(docs[id_col], docs[text_col]).alias("h")), "sizes")
         state, few = thresholds(sized, scratch)
     row, of = F.struct("*").alias("row"), _source(docs, source_col).alias("from")
-    own = docs.select(row, of, _hash(docs[id_col]).alias("h"), _size(docs[text_col]).alias("size"))
+    own = docs.select(row, of, _hash(docs[id_col], docs[text_col]).alias("h"), _size(docs[text_col]).alias("size"))
     out = own.join(F.broadcast(state) if few else state, F.col("from").eqNullSafe(F.col("of")), "left").filter(_times() > 0)
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_passes", "mix_taken")]
     return out.select(*kept, _times().alias("mix_passes"), (_times() * F.col("size")).alias("mix_taken"))
