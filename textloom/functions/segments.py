@@ -14,9 +14,13 @@ MODES = ("article", "sentence", "paragraph")
 SENTENCE_BREAK = rf"(?<=[.!?]){WS}++(?=[\"'“”‘’]?[A-Z0-9])"
 #: An empty line, or one line end before a capital, digit or straight quote.
 PARAGRAPH_BREAK = rf"\n{WS}*\n|\n(?=[A-Z0-9\"'])"
-# Abbreviations that the aware form doesn't end a sentence at (an extension).
-ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "vs", "etc")
-
+#: Abbreviations by language that the aware form, an extension, doesn't end a sentence at.
+ABBREVIATIONS = {
+    "de": ("Abs", "Bd", "Dipl", "Dr", "Fr", "Hr", "Nr", "bzw", "ca"),
+    "en": ("Capt", "Col", "Dr", "Gen", "Hon", "Lt", "Mr", "Mrs", "No", "Rev", "Sgt"),
+    "es": ("Av", "Dr", "Dra", "Lic", "Sra", "Srta", "pág"),
+    "fr": ("Cie", "Dr", "Mlle", "Mme", "apr", "av", "env"),
+}
 
 def _parts(text: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern, -1), strip), lambda x: x != "")
@@ -30,7 +34,7 @@ def sentences_of(clean: Column, abbreviation_aware: bool = False) -> Column:
     """Sentences. By default abbreviations do end one; the aware form is an extension."""
     if not abbreviation_aware:
         return _parts(clean, SENTENCE_BREAK)
-    guards = "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS)
+    guards = "".join(rf"(?<!\b{a}\.)" for a in sorted({a for some in ABBREVIATIONS.values() for a in some}))
     return _parts(clean, guards + SENTENCE_BREAK)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators.classify import scored
 from textloom.operators.predict import prepared
 from textloom.operators.requests import BAD_URL, NO_INPUT, NO_PAGE, enumerate_segments
+from textloom.sources import page_source
 from textloom.sources.tables import read_table, requests_of
 from textloom.streaming.assembly import assemble
 from textloom.streaming.pages import resolve_stream
@@ -88,3 +89,20 @@ def ext_stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched = arrivals([came.filter("fetched_at < timestamp_seconds(1704067200 + 1200)"), came.filter("fetched_at >= timestamp_seconds(1704067200 + 1200)"), last_page], folder, "pages")
     done = finish(resolve_stream(requests, fetched, "10 minutes", "1 hour", "30 minutes"), folder)
     return done.filter("request_id > 0").select("request_id", "source_type", "status", "error", F.sha2("resolved_text", 256).alias("text_sha256"))
+
+
+@plans.query("""
+WITH kept AS (SELECT url, min(html) AS html FROM pages WHERE page_id % 9 <> 0 GROUP BY url)
+SELECT page_id % 3 = 0 AS is_third, p.url, CASE WHEN k.html IS NULL THEN 404 ELSE 200 END AS status, CASE WHEN k.html IS NULL THEN 'HTTP 404' END AS error, sha256(k.html) AS html_sha256
+FROM (SELECT page_id, url FROM pages) p LEFT JOIN kept k ON k.url = p.url""")
+def ext_saved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed URLs by the page source, from an archive that lacks every ninth page; one list for every third page, one for the others."""
+    pages = read_table(spark, sf_dir, "pages")
+    folder = shared_folder(spark, "archive")
+    page_source.write_archive(pages.filter("page_id % 9 <> 0"), f"{folder}/archive", max(1, pages.count() // 200))
+    found = []
+    for third in (True, False):
+        pages.filter((F.col("page_id") % 3 == 0) == third).select("url").write.mode("append").text(f"{folder}/list-{third}")
+        saved = page_source.saved_pages(spark, f"{folder}/{third}", list=f"{folder}/list-{third}", archive=f"{folder}/archive")
+        found.append(saved.select(F.lit(third).alias("is_third"), "url", "status", "error", F.sha2("html", 256).alias("html_sha256")))
+    return found[0].unionAll(found[1])
