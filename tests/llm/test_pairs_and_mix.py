@@ -336,3 +336,38 @@ def test_mix_of_one_id(spark):
     given = [(7 if i % 2 else None, f"{'w ' * (i % 5)}x{i}", "en", "ab"[i % 3 == 0], 1, "") for i in range(10_000)]
     got = mixing.mix(table(spark, given)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert len(got) == 2 and all(abs(r.taken - r.target) <= 5 for r in got)
+
+
+def test_crowded_fingerprints_at_the_real_bounds(spark):
+    """5,000 distinct fingerprints that agree in 48 bits: their buckets are over ``BUCKET``, and components are those of all pairs."""
+    rng = np.random.default_rng(12)
+    base = int(rng.integers(0, 2**62))
+    low = rng.choice(1 << 16, 5_000, replace=False).astype(np.int64)
+    fps = base & ~0xFFFF | low
+    assert len(fps) > simhash.BUCKET
+    with Scratch(spark) as scratch:
+        df = spark.createDataFrame([(int(f),) for f in fps], "fp long").repartition(4)
+        found = {(r.a, r.b) for r in simhash.links(df, scratch).collect()}
+    parent = {int(f): int(f) for f in fps}
+
+    def find(x: int, up: dict) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in found:
+        assert (a ^ b).bit_count() <= simhash.MAX_BITS
+        parent[find(a, parent)] = find(b, parent)
+    plain = {int(f): int(f) for f in fps}
+    for i in range(len(fps)):
+        near = np.flatnonzero(np.bitwise_count((fps[i + 1 :] ^ fps[i]).view(np.uint64)) <= simhash.MAX_BITS)
+        for j in (near + i + 1).tolist():
+            plain[find(int(fps[j]), plain)] = find(int(fps[i]), plain)
+    groups = [Counter(), Counter()]
+    for out, up in zip(groups, (parent, plain), strict=True):
+        names: dict = defaultdict(set)
+        for f in fps.tolist():
+            names[find(f, up)].add(f)
+        out.update(frozenset(g) for g in names.values())
+    assert groups[0] == groups[1]

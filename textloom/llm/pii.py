@@ -3,7 +3,8 @@
 Candidates are pattern matches of several kinds, with their positions. Labelers vote on each: the
 form (number ranges, check digits), gazetteers (top-level domains, calling codes, card issuers,
 bank countries, reserved networks), words before the match that speak for it or against it, and its
-edges. Votes are -1, 0 or 1. Expectation-maximisation over the counts of all vote patterns estimates
+edges. A run of digits looks like many things, so of runs that are no cards those that fail as one (an issuer's digits, a card's
+length, no check digit) have a form against them, as have runs without any word that says what they are. Votes are -1, 0 or 1. Expectation-maximisation over the counts of all vote patterns estimates
 how reliable each labeler is; a logistic span classifier, one weight for each vote and one bias for
 each kind, is then trained on the posteriors. The patterns are few (kinds times 3 to the number of
 labelers), so both run on the driver over counts, and the classifier is applied as a column.
@@ -56,6 +57,8 @@ KINDS = BASE | MORE
 DECIDED = (*BASE, "iban", "ssn")
 #: Digits of a run that may be the number of an account or document; a run that is a card is none.
 ACCOUNT_DIGITS = (11, 19)
+#: Kinds that any run of their characters could be: a passed form says nothing, and no word for them speaks against.
+UNFORMED = ("account",)
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 LABELERS = ("form", "gazetteer", "context", "doubt", "edges")
 
@@ -141,7 +144,7 @@ def _form(kind: str, value: Column) -> Column:
     if kind == "ssn":
         return ~value.rlike("^(?:000|666|9)") & ~value.rlike("-00-|-0000$")
     if kind == "account":
-        return F.length(_digits(value)).isin(15, 16)  # the usual lengths of issued numbers
+        return ~_bound(_digits(value), lambda d: F.length(d).between(14, 19) & d.rlike("^[3-6]"))  # else a card that fails
     if kind == "mac":
         return ~value.rlike("^(?:00:){5}00$|^(?:[fF]{2}:){5}[fF]{2}$")
     return _digits(value).rlike("^[2-9]")
@@ -154,7 +157,7 @@ def _listed(kind: str, value: Column) -> Column:
         return vote(F.lower(F.element_at(F.split(value, r"\."), -1)).isin(DOMAINS))
     if kind == "ip":
         return vote(~value.rlike(r"^(?:0|127|255)\."))
-    if kind in ("card", "account"):
+    if kind == "card":
         return vote(value.rlike("^[3-6]"))
     if kind == "phone":
         return vote(_bound(_digits(value), lambda d: F.array_contains(F.array(*map(F.lit, CALLING_CODES)), F.substring(d, 1, 1)) | F.substring(d, 1, 2).isin(CALLING_CODES) | F.substring(d, 1, 3).isin(CALLING_CODES)))
@@ -183,8 +186,8 @@ def _told(kind: str, located: Column) -> Column:
         edges = ~F.coalesce(F.substring(s["before"], -1, 1), F.lit("")).rlike("[A-Za-z0-9]") & ~F.coalesce(s["after"], F.lit("")).rlike("[A-Za-z0-9]")
         return F.struct(
             s["start"].cast("long").alias("start"), F.lit(_ORDER[kind]).alias("rank"), s["end"].cast("long").alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"),
-            F.when(form, 1).otherwise(-1).alias("form"), _listed(kind, s["value"]).cast("int").alias("gazetteer"),
-            F.when(before.rlike(rf"\b(?:{'|'.join(CUES[kind].split())})"), 1).otherwise(0).alias("context"),
+            F.when(form, 0 if kind in UNFORMED else 1).otherwise(-1).alias("form"), _listed(kind, s["value"]).cast("int").alias("gazetteer"),
+            F.when(before.rlike(rf"\b(?:{'|'.join(CUES[kind].split())})"), 1).otherwise(-1 if kind in UNFORMED else 0).alias("context"),
             F.when(before.rlike(rf"\b(?:{'|'.join(DOUBTS)})\b"), -1).otherwise(0).alias("doubt"),
             F.when(edges, 1).otherwise(-1).alias("edges"),
         )
@@ -240,12 +243,12 @@ def reliabilities(counts: list[tuple[str, tuple[int, ...], int]]) -> list[float]
 
 
 def span_classifier(counts: list[tuple[str, tuple[int, ...], int]]) -> tuple[dict[str, float], list[float]]:
-    """Bias of each kind and weight of each vote: logistic regression on the posteriors, patterns weighted by the root of their count."""
+    """Bias of each kind and weight of each vote: logistic regression on the posteriors of all candidates."""
     bias, weight = {k: 0.0 for k in KINDS}, [1.0] * len(LABELERS)
     if not counts:
         return bias, weight
     post = reliabilities(counts)
-    share = [math.sqrt(n) for _, _, n in counts]
+    share = [n for _, _, n in counts]
     total = sum(share)
     for _ in range(FIT_STEPS):
         to_bias, to_weight = {k: 0.0 for k in KINDS}, [0.0] * len(LABELERS)
