@@ -142,10 +142,10 @@ def tables(spark):
         spark.sql(f"DROP TABLE IF EXISTS {n}")
 
 
-def test_layout(spark, tables):
+def test_layout(spark, tables, tmp_path):
     """Rerunning a partition changes nothing, other partitions stay, reads are pruned, and bucket joins don't shuffle."""
     df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("part"), (F.col("id") * 2).alias("v"))
-    write_layout(df, tables[0], "part", "id", 4)
+    write_layout(df, tables[0], "part", "id", 4, f"{tmp_path}/a")
     files = counts_by_file(spark.table(tables[0])).count()
     again = write_layout(df.filter("part = 'x'"), tables[0], "part", "id", 4)
     assert again.exceptAll(df.select(*again.columns)).count() == 0 and again.count() == 2000
@@ -153,7 +153,7 @@ def test_layout(spark, tables):
     changed = write_layout(df.filter("part = 'x'").withColumn("v", F.lit(-1).cast("long")), tables[0], "part", "id", 4)
     assert changed.filter("v = -1").count() == 667 and changed.count() == 2000
     assert "PartitionFilters: [isnotnull(part" in changed.filter("part = 'y'")._jdf.queryExecution().executedPlan().toString()
-    other = write_layout(df.select(F.col("id").alias("other"), "part", F.lit(1).alias("w")).drop("part").withColumn("p", F.lit(0)), tables[1], "p", "other", 4)
+    other = write_layout(df.select(F.col("id").alias("other"), "part", F.lit(1).alias("w")).drop("part").withColumn("p", F.lit(0)), tables[1], "p", "other", 4, f"{tmp_path}/b")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

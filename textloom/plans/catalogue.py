@@ -13,7 +13,7 @@ from textloom.operators import predict, requests, views
 from textloom.operators.classify import hashed_logits
 from textloom.sources.tables import read_table, requests_of, spread
 
-from . import encoding, oracles, streams, tables, time_joins
+from . import encoding, failures, oracles, streams, tables, time_joins
 from .registry import Query
 
 _queries: dict[str, Query] = {}
@@ -471,7 +471,7 @@ def ext_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries of other modules.
-MORE = [encoding.plans, time_joins.plans, tables.plans, streams.plans]
+MORE = [encoding.plans, failures.plans, time_joins.plans, tables.plans, streams.plans]
 
 
 def queries() -> dict[str, Query]:

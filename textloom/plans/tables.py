@@ -114,9 +114,10 @@ def ext_layout_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").join(docs.select("doc_id", "source"), "doc_id").select(F.col("doc_id").alias("labelled"), "quality", "source")
     for table in (f"{name}_predictions", f"{name}_labels"):
         at_exit(lambda t=table: spark.sql(f"DROP TABLE IF EXISTS {t}"))
-    write_layout(made, f"{name}_predictions", "lang", "doc_id", 8)
+    folder = shared_folder(spark, "layout")
+    write_layout(made, f"{name}_predictions", "lang", "doc_id", 8, f"{folder}/predictions")
     left = write_layout(made.filter("lang = 'fr'"), f"{name}_predictions", "lang", "doc_id", 8)
-    right = write_layout(labels, f"{name}_labels", "source", "labelled", 8)
+    right = write_layout(labels, f"{name}_labels", "source", "labelled", 8, f"{folder}/labels")
     return left.join(right, F.col("doc_id") == F.col("labelled")).groupBy("lang", "quality", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 
 
-def write_layout(df: DataFrame, table: str, partition_by: str, bucket_by: str, buckets: int) -> DataFrame:
+def write_layout(df: DataFrame, table: str, partition_by: str, bucket_by: str, buckets: int, path: str | None = None) -> DataFrame:
     """Writes ``df`` to a catalog table, by values of ``partition_by`` and ``buckets`` buckets of ``bucket_by``, and gives the table.
 
+    A new table's files lie at ``path``, if given, and not in the warehouse.
+
     An existing table keeps its other partitions, and those that ``df`` has rows of are replaced, so writing the same
     rows again changes nothing. Rows are dealt out by bucket first, so each partition has one file for each bucket at most.
     """
@@ -18,7 +20,8 @@ def write_layout(df: DataFrame, table: str, partition_by: str, bucket_by: str, b
     # The same hash places rows here and in buckets.
     dealt = df.repartition(buckets, bucket_by)
     if not spark.catalog.tableExists(table):
-        dealt.write.format("parquet").partitionBy(partition_by).bucketBy(buckets, bucket_by).sortBy(bucket_by).saveAsTable(table)
+        writer = dealt.write.format("parquet").partitionBy(partition_by).bucketBy(buckets, bucket_by).sortBy(bucket_by)
+        (writer.option("path", path) if path else writer).saveAsTable(table)
         return spark.table(table)
     _check(spark, table, partition_by, bucket_by, buckets)
     before = spark.conf.get(OVERWRITE)
