@@ -7,13 +7,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, mixing, near_copies, pii, quality_model, quality_rules, secret_scan, simhash, substrings, token_counts, toxicity
+from textloom.llm import branch_merge, decontamination, fingerprints, mixing, near_copies, periodic_runs, pii, quality_model, quality_rules, secret_scan, simhash, substrings, token_counts, toxicity
 
 from .data import rows, table
 
 NAMES = (
     "key more h fp node row root n at place prefix cells score label held_out predicted spans found words size kept of k start stop named print probe candidate upper "
-    "doc least shared item_id g taken target passes below value own textloom_row textloom_of textloom_fate textloom_held __textloom_kept __textloom_held"
+    "doc least shared item_id g taken target passes below value own rid place salt owner asker start runs collapsed hi lo w i a b chunk weight pos line name textloom_row textloom_of textloom_fate textloom_held __textloom_kept __textloom_held"
 ).split()
 LABELS = [(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(40)]
 
@@ -26,6 +26,7 @@ def operators(spark) -> dict:
         "op3": lambda d: quality_model.quality_classifier(d, labels), "op4": pii.personal_data, "op5": lambda d: decontamination.contaminated(d, items),
         "op5 stage": lambda d: decontamination.clean_documents(d, items), "op6": lambda d: toxicity.toxicity(d, labels), "op7": mixing.mix, "op7 stage": mixing.mixed_documents,
         "op8": simhash.near_duplicates, "op8 stage": near_copies.one_of_each, "op9": substrings.substring_digest, "op10": token_counts.token_counts,
+        "op11": branch_merge.merge_branches, "op12": fingerprints.near_texts, "op13": lambda d: periodic_runs.periodic_runs(periodic_runs.repeat_tails(d)),
     }
 
 
@@ -36,7 +37,7 @@ def values(df, drop: tuple[str, ...] = ()) -> Counter:
 OWN = ("doc_id", "text", "lang", "source", "n_chars", "extra")
 
 
-@pytest.mark.parametrize("name", ["op1", "op1 stage", "op2", "op2 stage", "op3", "op4", "op5", "op5 stage", "op6", "op7", "op7 stage", "op8", "op8 stage", "op9", "op10"])
+@pytest.mark.parametrize("name", ["op1", "op1 stage", "op2", "op2 stage", "op3", "op4", "op5", "op5 stage", "op6", "op7", "op7 stage", "op8", "op8 stage", "op9", "op10", "op11", "op12", "op13"])
 def test_columns_named_like_its_own(spark, name):
     run = operators(spark)[name]
     plain = table(spark)
@@ -50,7 +51,7 @@ def test_columns_named_like_its_own(spark, name):
         assert values(got) == values(run(plain))
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13"])
 def test_ids_of_text(spark, name):
     """Ids that aren't numbers give a row for each row."""
     docs = table(spark).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
