@@ -1,8 +1,8 @@
 """Operator 1, quality rules: distribution divergence against language references.
 
 Every document gives a histogram of character classes and one of common words. The reference of a
-language is the sum of its documents' histograms as shares (all documents: no sample), estimated
-twice, the second time without those far from the first estimate of their own language. A document fails if its
+language is the sum of its documents' histograms as shares (all documents of ``TRIM_WORDS`` words or more, as the shares of
+shorter ones are noise; no sample), estimated twice, the second time without those far from the first estimate of their own language. A document fails if its
 Jensen-Shannon distance to the nearest reference exceeds ``base + slope / sqrt(n_words)`` in
 either histogram; the slope allows for the noise of short texts, and texts under ``min_words``
 words are left to the base rules alone.
