@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators.time_joins import SLICE_ROWS, asof_join, interval_join, length_classes
+from textloom.plans import catalogue
 
 DAY = datetime(2024, 1, 1)
 SEC = timedelta(seconds=1)
@@ -100,3 +101,11 @@ def test_an_interval_has_two_bins_at_most(spark):
     binned = v.select(J._length_class(J._micros(F.col("b")) - J._micros(F.col("a"))).alias("c"), J._micros(F.col("a")).alias("x"), (J._micros(F.col("b")) - 1).alias("y"))
     counts = binned.selectExpr("shiftright(y, c) - shiftright(x, c) + 1 AS n").groupBy("n").count().collect()
     assert {r.n for r in counts} <= {1, 2}
+
+
+def test_intervals_are_not_broadcast(spark, sf):
+    """Sizes guessed from files lack the copies of rows; a broadcast by such a guess exceeded the driver's memory."""
+    points = spark.range(10).select("id", F.timestamp_seconds("id").alias("t"))
+    spans = spark.range(10).select(F.col("id").alias("n"), F.timestamp_seconds("id").alias("a"), F.timestamp_seconds(F.col("id") + 3).alias("b"))
+    for met in (interval_join(points, spans, "t", "a", "b"), catalogue.queries()["ext_orders_while_shipping"](spark, sf)):
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()

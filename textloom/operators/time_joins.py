@@ -80,6 +80,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, time: str, start: str
 
     An interval of length at most 2**k goes to the one or two bins of width 2**k that it meets; a point goes to its bin of each length that
     occurs. The pair meets in exactly one bin. Intervals that are empty, end before they start or lack an end match nothing.
+
+    Both sides are shuffled and sorted: sizes are guessed from files and don't count the copies, so a broadcast may exceed the driver's memory.
     """
     on = on or []
     if set(points.columns) & (set(intervals.columns) - set(on)):
@@ -95,5 +97,5 @@ def interval_join(points: DataFrame, intervals: DataFrame, time: str, start: str
     same = (F.col("__point_class") == F.col("__class")) & (F.col("__point_bin") == F.col("__bin"))
     for c, k in zip(on, keys, strict=True):
         same = same & (F.col(c) == F.col(k))
-    met = left.join(right, same & (F.col(start) <= F.col(time)) & (F.col(time) < F.col(end)))
+    met = left.join(right.hint("merge"), same & (F.col(start) <= F.col(time)) & (F.col(time) < F.col(end)))
     return met.drop("__class", "__bin", "__point_class", "__point_bin", *keys)

@@ -50,7 +50,7 @@ def ext_orders_while_shipping(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     spans = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at"))
     owners = orders.select(F.col("o_orderkey").alias("shipped_order"), "o_custkey")
-    shipping = owners.join(spans, F.col("shipped_order") == F.col("l_orderkey")).select("o_custkey", "shipped_order", "first_at", "last_at")
+    shipping = owners.join(spans.hint("merge"), F.col("shipped_order") == F.col("l_orderkey")).select("o_custkey", "shipped_order", "first_at", "last_at")
     return interval_join(orders, shipping, "o_orderdate", "first_at", "last_at", ["o_custkey"]).select("o_orderkey", "o_custkey", "shipped_order")
 
 
