@@ -110,3 +110,14 @@ def test_table_functions(spark):
     assert got == Counter([("u", 1, 0, "a"), ("u", 1, 1, "b"), (None, 4, 0, "d")])
     with pytest.raises(Exception, match="missing"):
         spark.sql("SELECT * FROM blocks_by_url(TABLE({df}))", df=df.drop("html"))
+
+
+def test_arrivals_of_many_files_and_a_stream_without_a_deadline(spark, tmp_path):
+    """Large parts are written and read by many tasks, and the stream ends when its rows do; one file and 300 seconds were the bounds."""
+    import inspect
+
+    parts = [spark.range(i * 1000, i * 1000 + 1000, 1, 4).select("id") for i in range(3)]
+    stream = arrivals(parts, str(tmp_path), "in", 4)
+    assert [len(list((tmp_path / "in" / f"{i:04}").glob("*.parquet"))) for i in range(3)] == [4, 4, 4]
+    assert finish(stream, str(tmp_path)).agg({"id": "sum"}).first()[0] == sum(range(3000))
+    assert inspect.signature(finish).parameters["seconds"].default is None

@@ -12,7 +12,7 @@ from textloom.sources import page_source
 from textloom.sources.tables import read_table, requests_of
 from textloom.streaming.assembly import assemble
 from textloom.streaming.pages import resolve_stream
-from textloom.streaming.run import arrivals, finish, shared_folder
+from textloom.streaming.run import arrivals, files_for, finish, shared_folder
 
 from . import oracles
 from .registry import Plans
@@ -51,7 +51,7 @@ def ext_stream_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = rows.select("request_id").limit(1).select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns)).withColumns(
         {"request_id": F.lit(-1).cast("long"), "mode": F.lit("article"), "n_segments": F.lit(1), "segment_index": F.lit(0), "at": _at("86400")}
     )
-    stream = arrivals([rows.filter("segment_index % 2 = 1"), rows.filter("segment_index % 4 IN (0, 1)"), rows.filter("segment_index % 2 = 0"), last], folder, "in")
+    stream = arrivals([rows.filter("segment_index % 2 = 1"), rows.filter("segment_index % 4 IN (0, 1)"), rows.filter("segment_index % 2 = 0"), last], folder, "in", files_for(rows))
     done = finish(assemble(stream.withWatermark("at", "1 minute"), 600, "at"), folder).filter("request_id >= 0")
     listed = F.array_join(F.transform("results", lambda r: F.concat(r["segment_index"].cast("string"), r["label"])), ",")
     texts = F.array_join(F.transform("results", lambda r: r["text"]), "\n")
@@ -85,8 +85,8 @@ def ext_stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     closing = spark.range(1)
     last_asked = closing.select(F.lit(-1).cast("long").alias("request_id"), F.lit("the end").alias("input"), F.lit("article").alias("mode"), _at("864000").alias("asked_at"))
     last_page = closing.select(F.lit(-1).cast("long").alias("page_id"), F.lit("http://end.example/").alias("url"), F.lit("").alias("html"), _at("864000").alias("fetched_at"))
-    requests = arrivals([asked.filter("request_id % 4 < 2"), asked.filter("request_id % 4 > 0"), last_asked], folder, "requests")
-    fetched = arrivals([came.filter("fetched_at < timestamp_seconds(1704067200 + 1200)"), came.filter("fetched_at >= timestamp_seconds(1704067200 + 1200)"), last_page], folder, "pages")
+    requests = arrivals([asked.filter("request_id % 4 < 2"), asked.filter("request_id % 4 > 0"), last_asked], folder, "requests", files_for(pages.select("page_id", "url")))
+    fetched = arrivals([came.filter("fetched_at < timestamp_seconds(1704067200 + 1200)"), came.filter("fetched_at >= timestamp_seconds(1704067200 + 1200)"), last_page], folder, "pages", files_for(pages))
     done = finish(resolve_stream(requests, fetched, "10 minutes", "1 hour", "30 minutes"), folder)
     return done.filter("request_id > 0").select("request_id", "source_type", "status", "error", F.sha2("resolved_text", 256).alias("text_sha256"))
 

@@ -21,7 +21,7 @@ RESPONSE = f"request_id bigint, mode string, status int, error string, n_segment
 
 
 class Assemble(StatefulProcessor):
-    """State of one request: what is known of it, and its segments by index."""
+    """State of one request: what is known of it, and its segments."""
 
     def __init__(self, wait_ms: int, by_event: bool):
         self.wait_ms, self.by_event = wait_ms, by_event
@@ -29,46 +29,51 @@ class Assemble(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.known = handle.getValueState("known", "mode string, n int, seen int, closed boolean")
-        self.parts = handle.getMapState("parts", "segment_index int", SEGMENT)
+        self.parts = handle.getListState("parts", f"segment_index int, {SEGMENT}")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self.known.get() if self.known.exists() else None
+        """Each call on the state is a round trip, so there are a few for each request and batch, none for single segments."""
+        known = self.known.get()
         if known and known[3]:
             return
         mode, n, seen = known[:3] if known else (None, None, 0)
-        first_ms = None
+        parts = {p[0]: tuple(p[1:]) for p in self.parts.get()} if seen else {}
+        fresh, first_ms = [], None
         for r in rows:
             if mode is None:
                 mode, n = r.mode, r.n_segments
             if self.by_event:
                 first_ms = r.at_ms if first_ms is None else min(first_ms, r.at_ms)
-            if not 0 <= r.segment_index < n or self.parts.containsKey((r.segment_index,)):
-                continue
-            self.parts.updateValue((r.segment_index,), (r.text, r.label, r.label_id, r.p_left, r.p_right, r.p_center, r.error))
-            seen += 1
+            if 0 <= r.segment_index < n and r.segment_index not in parts:
+                parts[r.segment_index] = (r.text, r.label, r.label_id, r.p_left, r.p_right, r.p_center, r.error)
+                fresh.append(r.segment_index)
         if known is None:
             now = first_ms if self.by_event else timerValues.getCurrentProcessingTimeInMs()
             self.handle.registerTimer(now + self.wait_ms)
-        done = seen == n
-        self.known.update((mode, n, seen, done))
+        done = len(parts) == n
+        if known is None or fresh:
+            self.known.update((mode, n, len(parts), done))
         if done:
-            yield self._response(key[0], mode, n)
-            self.parts.clear()
+            yield self._response(key[0], mode, n, parts)
+            if seen:
+                self.parts.clear()
+        elif fresh:
+            self.parts.appendList([(i, *parts[i]) for i in fresh])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.known.exists():
+        if not (known := self.known.get()):
             return
-        mode, n, seen, closed = self.known.get()
+        mode, n, seen, closed = known
         self.known.clear()
         self.parts.clear()
         if not closed:
             yield Row(request_id=key[0], mode=mode, status=FAILED, error=f"{seen} of {n} segments arrived", n_segments=n, results=None)
 
-    def _response(self, request_id: int, mode: str, n: int) -> Row:
+    def _response(self, request_id: int, mode: str, n: int, parts: dict[int, tuple]) -> Row:
         """All or nothing: the error of the first segment that has one is the request's."""
-        parts = sorted((k[0], tuple(v)) for k, v in self.parts.iterator())
-        error = next((p[6] for _, p in parts if p[6] is not None), None)
-        results = [(i, *p[:6]) for i, p in parts] if error is None else None
+        ranked = sorted(parts.items())
+        error = next((p[6] for _, p in ranked if p[6] is not None), None)
+        results = [(i, *p[:6]) for i, p in ranked] if error is None else None
         return Row(request_id=request_id, mode=mode, status=FINE if error is None else FAILED, error=error, n_segments=n, results=results)
 
     def close(self) -> None:

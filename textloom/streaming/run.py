@@ -60,22 +60,39 @@ def keyed_state(spark: SparkSession):
         spark.conf.set(STORE, before)
 
 
-def finish(stream: DataFrame, folder: str, seconds: int = 300) -> DataFrame:
-    """Runs a stream over all that its sources hold, to a table below ``folder``, and gives that table; run again, it goes on from its checkpoint."""
+def finish(stream: DataFrame, folder: str, seconds: int | None = None) -> DataFrame:
+    """Runs a stream over all that its sources hold, to a table below ``folder``, and gives that table; run again, it goes on from its checkpoint.
+
+    It takes the time that its rows take, unless ``seconds`` says that it must end before.
+    """
     spark = stream.sparkSession
     with keyed_state(spark):
         query = (
             stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         )
-    if not query.awaitTermination(seconds):
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"the stream didn't end within {seconds} seconds")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def arrivals(parts: list[DataFrame], folder: str, label: str) -> DataFrame:
-    """A stream that reads each of ``parts``, which share a schema, as a batch of its own, in order."""
+#: Bytes of a table, as its files hold it, for which an arrival gets one file.
+ARRIVAL_BYTES = 16 << 20
+
+
+def files_for(table: DataFrame) -> int:
+    """Files of each arrival of a table that is read from files."""
+    return max(1, -(-int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // ARRIVAL_BYTES))
+
+
+def arrivals(parts: list[DataFrame], folder: str, label: str, files: int = 1) -> DataFrame:
+    """A stream that reads each of ``parts``, which share a schema, as a batch of its own, in order.
+
+    A part is written as ``files`` files and a batch reads as many. A part of fewer rows has fewer files, and shares its batch with the start of the next one.
+    """
     spark = parts[0].sparkSession
     for i, part in enumerate(parts):
-        part.coalesce(1).write.parquet(f"{folder}/{label}/{i:04}")
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{label}/*")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.parquet(f"{folder}/{label}/{i:04}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{label}/*")
