@@ -100,3 +100,10 @@ def test_refused_files(tmp_path):
         path.write_text(json.dumps(whole | change), encoding="utf-8")
         with pytest.raises(ValueError, match="byte-level"):
             bpe.Merges.read(str(path))
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 511])
+def test_first_ids_are_those_of_the_whole_text(merges, most):
+    """A reader that cuts the text needs no more ids, and the rest isn't encoded; all ids of a batch were held as lists before."""
+    for given in ("", "a", "Ünïcode words, 1234 of them. " * 60, "<|endoftext|>ab<|endoftext|>" * 9):
+        assert merges.encoder(most)(given) == merges.encoder()(given)[:most]

@@ -53,8 +53,8 @@ input AS (SELECT *, list_concat([{BOUNDARY}], ids[1:510], [{BOUNDARY}]) AS x FRO
 """
 
 
-def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.byte_pair_ids(spark, bpe.Merges.read(TOKENIZER))
+def _encoded(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    ids = bpe.byte_pair_ids(spark, bpe.Merges.read(TOKENIZER), most)
     return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", ids(F.col("text")).alias("ids"))
 
 
@@ -75,6 +75,7 @@ sha256(array_to_string(list_concat(x, list_transform(range(512 - len(x)), lambda
 )
 def encode_bpe_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the model reads: signs around the text, cut to 512 ids and padded to them, with the number of ids under the mask."""
-    inputs = _encoded(spark, sf_dir).select("doc_id", "ids", bpe.model_ids(F.col("ids"), (BOUNDARY,), (BOUNDARY,)).alias("x"))
+    # One id more than fits tells whether the text is cut.
+    inputs = _encoded(spark, sf_dir, tokens.MAX_LENGTH - 1).select("doc_id", "ids", bpe.model_ids(F.col("ids"), (BOUNDARY,), (BOUNDARY,)).alias("x"))
     under = F.aggregate(tokens.attention_mask(F.col("x")), F.lit(0), lambda s, m: s + m)
     return inputs.select("doc_id", under.alias("n_ids"), (F.size("ids") > tokens.MAX_LENGTH - 2).alias("is_cut"), _checksum(tokens.pad(F.col("x"))).alias("input_sha256"))
