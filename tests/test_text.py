@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.functions import segments, text
+from textloom.functions import segments, text, urls
 
 # (input, cleaned or None for the same, sentences or None for one, paragraphs or None for one)
 CASES = [
@@ -136,3 +138,25 @@ def test_blocks(spark):
         text.ordered_distinct(F.array(*map(F.lit, "babcb"))).alias("d"), text.join_blocks(F.array(F.lit("x"), F.lit("y"))).alias("j"), text.enough_words(F.lit("1 2 3 4 5 6 7\xa08")).alias("e")
     ).first()
     assert (r.d, r.j, r.e) == (["b", "a", "c"], "x\n\ny", True)
+
+
+def test_plain_texts_pass_few_patterns(spark):
+    """Trimming, line ends and the URL test, on the usual texts, run no pattern that copies the whole text; they did five times."""
+    df = spark.range(1).select(F.concat(F.lit(" a b "), F.col("id").cast("string")).alias("t"))
+    plan = df.select(text.clean_text(F.col("t")).alias("a"), urls.looks_like_url(F.col("t")).alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 2
+
+
+def test_fast_forms_give_what_the_patterns_gave(spark):
+    rng = random.Random(3)
+    letters = [" ", "\t", "\r", "\n", "\xa0", "\u2003", "\x1c", "\x85", "\u200b", "/", "?", "#", "a", "\u00e9", "\U0001f600", "\0"]
+    some = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    made = [some(9) for _ in range(1500)] + [some(2) + rng.choice(["http", "HTTPS", "ht\ntp", "http\ts"]) + rng.choice(["://", ":/\n/", ":/"]) + some(4) for _ in range(3000)]
+    c, ws = F.col("t"), text.WS
+    strip = lambda x: F.regexp_replace(x, rf"^{ws}++|(?<!{ws}){ws}++\z", "")
+    pairs = [
+        (text.strip(c), strip(c)), (text.normalize_newlines(c), F.regexp_replace(c, r"\r\n?", "\n")), (text.collapse_spaces(c), F.regexp_replace(c, r"[ \t]+", " ")),
+        (F.size(text.words(c)), F.size(F.array_remove(F.split(c, f"{ws}++", -1), ""))), (urls.looks_like_url(c), F.regexp_replace(strip(c), r"[\t\r\n]", "").rlike(r"(?i)^https?://[^/?#]+")),
+    ]
+    df = spark.createDataFrame([(x,) for x in made], "t string")
+    assert [r for r in df.select("t", *(~a.eqNullSafe(b) for a, b in pairs)).collect() if any(r[1:])] == []

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from .scores import LABELS
 from .segments import PARAGRAPH_BREAK, SENTENCE_BREAK
-from .text import MIN_BLOCK_WORDS, NOT_WS, WS
+from .text import GAP, MIN_BLOCK_WORDS, NOT_WS, SPACES, WS
 
 
 def _raw(pattern: str) -> str:
@@ -20,7 +20,7 @@ def _raw(pattern: str) -> str:
 
 
 def _strip(c: str) -> str:
-    return f"regexp_replace({c}, {_raw(rf'^{WS}++|(?<!{WS}){WS}++\z')}, '')"
+    return f"btrim({c}, '{SPACES}')"
 
 
 def _parts(pattern: str) -> str:
@@ -34,11 +34,11 @@ _LEAST = f"({NOT_WS}++{WS}++)"
 #: Name, parameters, result and body, each after those that it uses.
 FUNCTIONS = [
     ("strip", "c STRING", "STRING", _strip("c")),
-    ("normalize_newlines", "c STRING", "STRING", r"regexp_replace(c, r'\r\n?', '\n')"),
-    ("collapse_spaces", "c STRING", "STRING", r"regexp_replace(c, r'[ \t]+', ' ')"),
+    ("normalize_newlines", "c STRING", "STRING", r"replace(replace(c, '\r\n', '\n'), '\r', '\n')"),
+    ("collapse_spaces", "c STRING", "STRING", r"regexp_replace(c, r'[ \t]{2,}|\t', ' ')"),
     ("collapse_blank_lines", "c STRING", "STRING", r"regexp_replace(c, r'\n{3,}', '\n\n')"),
     ("clean_text", "c STRING", "STRING", "strip(collapse_blank_lines(collapse_spaces(normalize_newlines(c))))"),
-    ("words_of", "c STRING", "ARRAY<STRING>", f"array_remove(split(c, {_raw(f'{WS}++')}, -1), '')"),
+    ("words_of", "c STRING", "ARRAY<STRING>", f"array_remove(split(c, {_raw(GAP)}, -1), '')"),
     ("word_count", "c STRING", "INT", "CASE WHEN c IS NOT NULL THEN size(words_of(c)) END"),
     ("enough_words", f"c STRING, least INT DEFAULT {MIN_BLOCK_WORDS}", "BOOLEAN", f"c RLIKE concat({_raw(rf'\A{WS}*+{_LEAST}')}, '{{', least - 1, '}}', {_raw(NOT_WS)})"),
     ("looks_like_url", "c STRING", "BOOLEAN", "strip(c) RLIKE r'(?i)^https?://[^/?#]+'"),
