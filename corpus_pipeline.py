@@ -6,7 +6,7 @@ import contextlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.common import Scratch
+from textloom.llm.common import Scratch, arrow_rows
 from textloom.llm.decontamination import clean_documents
 from textloom.llm.mixing import mixed_documents
 from textloom.llm.quality_rules import good_documents
@@ -60,6 +60,9 @@ STAGES = [
     ("mixing", mixture),
 ]
 
+#: Rows of an Arrow batch; a batch of 10,000 long texts takes tens of MB several times over in every task.
+BATCH_ROWS = 2048
+
 #: The stages hash and compare in ways that SQL doesn't share; tests hold run() against a plain version.
 ORACLE_SQL = None
 
@@ -67,7 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the table of a stage goes when the next is written, or when one fails."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with contextlib.ExitStack() as before:
+    with arrow_rows(spark, BATCH_ROWS), contextlib.ExitStack() as before:
         for name, stage in STAGES[:-1]:
             scratch = Scratch(spark)
             with contextlib.ExitStack() as now:

@@ -95,3 +95,27 @@ def test_maps_discard_no_near_pair():
             assert allowed or 5 * both < 4 * (len(a) + len(b) - both)
             if bits == near_copies.BITS and 100 < n < 500 and 2 * both < len(a):
                 assert not allowed
+
+
+@pytest.mark.parametrize("crowd", [3, 1000])
+def test_pairs_of_components(monkeypatch, crowd):
+    """Pairs of different components against all pairs; the nearest are one for each node at most, and name every node that has a pair."""
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < 0.93], rng.integers(0, 2**63, 12, dtype=np.uint64)])) for _ in range(60)]
+    key = np.repeat([4, 9, 9, 9], 15)
+    n = np.array([len(x) for x in sets])
+    order = np.lexsort((n, key))
+    key, n, sets = key[order], n[order], [sets[i] for i in order]
+    node, root, place = np.arange(60) + 100, np.where(np.arange(60) % 5 > 1, -7, np.arange(60) // 2), n << 32
+    maps = np.stack([np.frombuffer(near_copies.bit_map(x, near_copies.FOLDED), dtype=np.uint64) for x in sets])
+    want = set()
+    for i in range(60):
+        for j in range(i):
+            if key[i] == key[j] and root[i] != root[j] and near_copies.can_be_near(maps[i][None], maps[j][None], n[i : i + 1], n[j : j + 1])[0]:
+                want.add((j + 100, i + 100))
+    got = [(a, b) for part in near_copies._pairs(key, place, node, root, maps) for a, b in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+    assert len(want) > 100 and sorted(got) == sorted(want)
+    near = [(a, b) for part in near_copies._nearest(key, place, node, root, maps) for a, b in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+    assert set(near) <= want and len(near) <= 60 and {x for p in near for x in p} == {x for p in want for x in p}

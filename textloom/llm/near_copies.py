@@ -9,9 +9,10 @@ propose pairs of nodes, and every pair is verified on whole sets:
    in one order that all sets share. Two sets at 0.8 or more share a shingle of both prefixes. At each such
    shingle the first node in each of ``ORDERS`` orders is a hub; of ``HUBS`` hubs of a node the ``BEST`` that may be
    nearest are compared with it. Sizes and positions discard pairs that can't reach 0.8.
-3. After links of 1 and 2 have become components, all pairs at shared prefix shingles whose nodes are still in
-   different components. So no link between components is lost, and a large group of near
-   copies, which 1 and 2 join, isn't compared pair by pair.
+3. After links of 1 and 2 have become components, each node with the nearest one, by maps, of another component at
+   each shared prefix shingle; and after these have joined components, all pairs at shared prefix shingles whose nodes
+   are still in different ones. So no link between components is lost, and a large group of near copies, which
+   is joined by then, isn't verified pair by pair. Nodes that maps allow no pair at first have none later and drop out.
 
 Before whole sets travel, maps of ``BITS`` bits, one set for each shingle's hash, bound what two sets share: a bit of
 one that the other lacks is a shingle that the other lacks. Pairs whose bound is under 4/5 are discarded, which
@@ -47,8 +48,8 @@ SAMPLE, ONE_OF, FREQUENT, MOST = 10_000, 6, 3, 500_000
 BROADCAST_ROWS = 1_000_000
 #: Bits of the maps, pairs of a hub that one task takes; hubs of a shingle, and of a node by map and by set, before components are known.
 BITS, FOLDED, PAIRS_OF_HUB, ORDERS, HUBS, BEST = 2048, 1024, 256, 4, 4, 2
-#: Pairs whose maps are compared at a time.
-STEP = 1 << 16
+#: Pairs whose maps are compared at a time; rows of a shingle beyond which those of its largest component aren't paired with each other.
+STEP, CROWD = 1 << 16, 64
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -160,16 +161,23 @@ def _stars(key, place, node) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[lead][ok]), pa.array(node[ok])], names=["hub", "node"])
 
 
-def _pairs(key, place, node, root, maps) -> Iterator[pa.RecordBatch]:
-    """All pairs of nodes in different components that their maps allow; places, and so sizes, ascend for a key."""
-    start, lag = np.arange(len(key)), 0
-    found: list[np.ndarray] = []
+def _allowed(key, place, root, maps) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places x, y of all pairs of different components that their maps allow, each pair once for its key, and the share that both
+    may have in common; places, and so sizes, ascend for a key."""
 
-    def once() -> pa.RecordBatch:
-        """Pairs that met at several keys here are given once."""
-        both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return _pair_rows(both[:, 0], both[:, 1])
+    def told(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ok = (root[x] != root[y]) & _reachable(place[x], place[y])
+        x, y = x[ok], y[ok]
+        for at in range(0, len(x), STEP):
+            a, b = x[at : at + STEP], y[at : at + STEP]
+            most, size = most_shared(maps[a], maps[b], place[a] >> 32, place[b] >> 32), (place[a] >> 32) + (place[b] >> 32)
+            near = 9 * most >= 4 * size
+            if near.any():
+                yield a[near], b[near], 2 * most[near] / np.maximum(size[near], 1)
 
+    runs = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    ends = np.append(runs[1:], len(key))
+    start, lag = np.flatnonzero(np.repeat(ends - runs <= CROWD, ends - runs)), 0
     while True:
         lag += 1
         start = start[: np.searchsorted(start, len(key) - lag)]
@@ -177,18 +185,53 @@ def _pairs(key, place, node, root, maps) -> Iterator[pa.RecordBatch]:
         start = start[(key[start] == key[start + lag]) & (5 * (place[start] >> 32) >= 4 * (place[start + lag] >> 32))]
         if not len(start):
             break
-        near = start[(root[start] != root[start + lag]) & _reachable(place[start], place[start + lag])]
-        for at in range(0, len(near), STEP):
-            a = near[at : at + STEP]
-            a = a[can_be_near(maps[a], maps[a + lag], place[a] >> 32, place[a + lag] >> 32)]
-            found.append(np.stack([node[a], node[a + lag]], 1))
-        if sum(map(len, found)) >= 16 * STEP:
-            yield once()
-            found = []
+        yield from told(start, start + lag)
+    for low, high in zip(runs, ends, strict=True):
+        if high - low > CROWD:
+            found, n = np.unique(root[low:high], return_counts=True)
+            large = root[low:high] == found[n.argmax()]
+            size = place[low:high] >> 32
+            for i in np.flatnonzero(~large):
+                y = np.arange(np.searchsorted(5 * size, 4 * size[i]), np.searchsorted(4 * size, 5 * size[i], "right"))
+                y = low + y[large[y] | (y > i)]
+                yield from told(np.full(len(y), low + i), y)
+
+
+def _pairs(key, place, node, root, maps) -> Iterator[pa.RecordBatch]:
+    """All pairs of nodes in different components that their maps allow."""
+    found: list[np.ndarray] = []
+
+    def once() -> pa.RecordBatch:
+        """Pairs that met at several keys here are given once."""
+        both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return _pair_rows(both[:, 0], both[:, 1])
+
+    for x, y, _ in _allowed(key, place, root, maps):
+        found.append(np.stack([node[x], node[y]], 1))
+        if sum(map(len, found)) >= STEP:
+            found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
+            if len(found[0]) >= STEP // 2:
+                yield once()
+                found = []
     if found:
         yield once()
 
 
+def _nearest(key, place, node, root, maps) -> Iterator[pa.RecordBatch]:
+    """Each node that has such a pair with the one whose map agrees most."""
+    best, other = np.full(len(key), -1.0), np.zeros(len(key), dtype=np.int64)
+    for x, y, share in _allowed(key, place, root, maps):
+        order = np.argsort(share, kind="stable")
+        for p, q in ((x[order], y[order]), (y[order], x[order])):
+            more = share[order] > best[p]
+            # Of a place that is written repeatedly, the last, nearest, counts.
+            best[p[more]], other[p[more]] = share[order][more], node[q[more]]
+    has = best >= 0
+    if has.any():
+        both = np.unique(np.sort(np.stack([node[has], other[has]], 1), axis=1), axis=0)
+        yield _pair_rows(both[:, 0], both[:, 1])
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hub and part, the hub's own map (no member) first; gives the pairs that maps allow, and at most what share of both sets is common."""
     schema = pa.schema([*_PAIR, ("share", pa.float64())])
@@ -328,10 +371,20 @@ def groups(docs: DataFrame, id_col: str, text_col: str, scratch: C.Scratch) -> D
     stars = by_key(met).mapInArrow(_by_key(_stars), "hub long, node long").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("hub")), 1, HUBS).alias("hubs"))
     stars = stars.select(F.explode("hubs").alias("a"), F.col("node").alias("b"))
     near = _verify(texts, heads, _print_links(heads, scratch).unionAll(stars), scratch, BEST)
-    mapped = met.join(_rooted(heads.select("node", "folded"), near, scratch).withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
-    apart = by_key(mapped.select("key", "place", "node", "root", "folded"))
-    rest = _verify(texts, heads, apart.mapInArrow(_by_key(_pairs), "a long, b long"), scratch)
-    return _rooted(rows.select("doc_id", "row", "node"), near.unionAll(rest), scratch)
+    maps = heads.select("node", "folded")
+
+    def apart(undecided: DataFrame, links: DataFrame, find) -> DataFrame:
+        """Pairs of undecided nodes in different components, distinct."""
+        mapped = met.join(_rooted(undecided, links, scratch).withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
+        found = by_key(mapped.select("key", "place", "node", "root", "folded")).mapInArrow(_by_key(find), "a long, b long")
+        return scratch.save(found.distinct(), "apart")
+
+    nearest = apart(maps, near, _nearest)
+    either = _near(nearest.select("a").unionAll(nearest.select("b")).distinct())
+    undecided = scratch.save(maps.join(either, F.col("node") == F.col("a"), "left_semi"), "undecided")
+    links = near.unionAll(_verify(texts, heads, nearest, scratch))
+    links = links.unionAll(_verify(texts, heads, apart(undecided, links, _pairs), scratch))
+    return _rooted(rows.select("doc_id", "row", "node"), links, scratch)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
