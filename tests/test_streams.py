@@ -8,12 +8,13 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from textloom.functions import table_functions
 from textloom.functions.html import read_page
 from textloom.operators.requests import BAD_URL, NO_INPUT, NO_PAGE, NO_TEXT_ON_PAGE
-from textloom.streaming.assembly import assemble
+from textloom.streaming.assembly import Assemble, assemble
 from textloom.streaming.pages import resolve_stream
 from textloom.streaming.run import arrivals, finish, keyed_state
 
@@ -77,6 +78,56 @@ def test_assembly_by_the_clock(spark, tmp_path):
     assert [(r.request_id, r.status) for r in spark.table("by_the_clock").collect()] == [(1, 200)]
 
 
+class _State:
+    """A key's state and timers without a stream, with a count of the calls that would be round trips."""
+
+    def __init__(self) -> None:
+        self.value, self.timers, self.calls, self.clock = None, set(), 0, 0
+
+    def getValueState(self, name: str, schema: str) -> _State:
+        return self
+
+    def get(self) -> tuple | None:
+        self.calls += 1
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self) -> None:
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at: int) -> None:
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self) -> int:
+        return self.clock
+
+    def getExpiryTimeInMs(self) -> int:
+        return self.fired
+
+
+def test_requests_that_share_a_key():
+    """A batch of many requests takes a few calls on the state, and each request still ends at its own time; calls grew with the requests."""
+    state, made = _State(), Assemble(1000, True)
+    made.init(state)
+    row = lambda r, n, i, at: Row(request_id=r, mode="article", n_segments=n, segment_index=i, text=f"t{r}", label="LEFT", label_id=0, p_left=0.1, p_right=0.7, p_center=0.2, error=None, at_ms=at)
+    got = list(made.handleInputRows((0,), iter([row(r, 2, 0, r * 10) for r in range(300)] + [row(r, 2, 1, r * 10) for r in range(0, 300, 3)]), state))
+    assert sorted(r.request_id for r in got) == list(range(0, 300, 3)) and state.calls <= 3 and state.timers == {1000}
+    assert list(made.handleInputRows((0,), iter([row(0, 2, 1, 0), row(1, 2, 0, 0)]), state)) == []  # closed; come already
+    (late,) = made.handleInputRows((0,), iter([row(1, 2, 1, 5)]), state)
+    assert late.status == 200 and [x[:2] + x[4:] for x in late.results] == [(0, "t1", 0.1, 0.7, 0.2), (1, "t1", 0.1, 0.7, 0.2)]
+    ended = {}
+    while state.timers and min(state.timers) < 2005:
+        state.fired = state.clock = min(state.timers)
+        state.timers.remove(state.fired)
+        ended |= {r.request_id: (state.fired, r.error) for r in made.handleExpiredTimer((0,), state, state)}
+    assert ended == {r: (1000 + r * 10, "1 of 2 segments arrived") for r in range(2, 101) if r % 3}
+    state.fired, state.clock = min(state.timers), 10**6
+    assert len(list(made.handleExpiredTimer((0,), state, state))) == sum(r % 3 > 0 for r in range(101, 300)) and state.value is None
+
+
 WORDS = "one two three four five six seven eight nine"
 PAGE = f"<html><p>{WORDS}</p></html>"
 

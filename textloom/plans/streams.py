@@ -9,7 +9,7 @@ from textloom.operators.classify import scored
 from textloom.operators.predict import prepared
 from textloom.operators.requests import BAD_URL, NO_INPUT, NO_PAGE, enumerate_segments
 from textloom.sources import page_source
-from textloom.sources.tables import read_table, requests_of
+from textloom.sources.tables import read_table, requests_of, spread
 from textloom.streaming.assembly import assemble
 from textloom.streaming.pages import resolve_stream
 from textloom.streaming.run import arrivals, files_for, finish, shared_folder
@@ -38,7 +38,8 @@ FROM pred GROUP BY request_id""",
 )
 def ext_stream_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored paragraphs arrive in three parts, some twice; ids divisible by 10 lack their last one, ids before 2 of 10 have one that wasn't scored."""
-    base = prepared(requests_of(read_table(spark, sf_dir, "documents"), "doc_id", "text", "paragraph")).withColumn("n_segments", F.size("segments"))
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = prepared(requests_of(docs, "doc_id", "text", "paragraph")).withColumn("n_segments", F.size("segments"))
     rows = scored(enumerate_segments(base.filter("status = 200"), "request_id", "mode", "n_segments"))
     failed = F.when((F.col("request_id") % 10 == 1) & (F.col("segment_index") == 0), NOT_SCORED)
     rows = rows.withColumn("error", failed).withColumn("at", _at("request_id % 60"))

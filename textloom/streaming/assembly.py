@@ -1,13 +1,18 @@
 """Responses put together from scored segments that arrive one by one, in any order and more than once.
 
-Each request keeps its segments as keyed state until all are there, and then gives one response. A timer, set by a request's
+Each request keeps its segments as keyed state until all are there, and then gives one response. A time, set by a request's
 first segment, ends the wait: a request that is incomplete then fails as a whole. So does one with a segment that couldn't be
-scored. State is bounded by the requests that are open, and by one short row for each that closed before its timer.
+scored. State is bounded by the requests that are open, and by one short entry for each that closed before its time.
+
+Each call on the state is a round trip between Python and the JVM. Requests share a key with others by a hash of their ids, and
+the state of a key is one value, so a batch takes a few calls for each key and not for each request.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -15,59 +20,90 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from textloom.operators.requests import FAILED, FINE
 
+#: Keys that requests are dealt to. A checkpoint goes on only with the number that it began with.
+KEYS = 4096
+
 SEGMENT = "text string, label string, label_id int, p_left double, p_right double, p_center double, error string"
 RESULT = "segment_index int, text string, label string, label_id int, p_left double, p_right double, p_center double"
 RESPONSE = f"request_id bigint, mode string, status int, error string, n_segments int, results array<struct<{', '.join(':'.join(c.split(' ')) for c in RESULT.split(', '))}>>"
 
 
+@dataclass(slots=True)
+class _Request:
+    """What is known of a request: ``until`` is its time in milliseconds, ``parts`` its segments so far by index."""
+
+    mode: str | None
+    n: int | None
+    until: int | None = None
+    closed: bool = False
+    parts: dict[int, tuple] = field(default_factory=dict)
+
+
 class Assemble(StatefulProcessor):
-    """State of one request: what is known of it, and its segments."""
+    """State of one key: its requests as JSON, and the time of its timer, which is that of the request whose time comes first."""
 
     def __init__(self, wait_ms: int, by_event: bool):
         self.wait_ms, self.by_event = wait_ms, by_event
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "mode string, n int, seen int, closed boolean")
-        self.parts = handle.getListState("parts", f"segment_index int, {SEGMENT}")
+        self.kept = handle.getValueState("kept", "timer bigint, requests string")
+
+    def _read(self) -> tuple[int | None, dict[int, _Request]]:
+        if not (found := self.kept.get()):
+            return None, {}
+        return found[0], {i: _Request(*known, {p[0]: tuple(p[1:]) for p in parts}) for i, *known, parts in json.loads(found[1])}
+
+    def _write(self, timer: int | None, requests: dict[int, _Request]) -> None:
+        if not requests:
+            self.kept.clear()
+            return
+        first = min(r.until for r in requests.values())
+        if timer is None or first < timer:
+            self.handle.registerTimer(first)
+            timer = first
+        listed = [(i, r.mode, r.n, r.until, r.closed, [(k, *p) for k, p in r.parts.items()]) for i, r in requests.items()]
+        self.kept.update((timer, json.dumps(listed, ensure_ascii=False)))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        """Each call on the state is a round trip, so there are a few for each request and batch, none for single segments."""
-        known = self.known.get()
-        if known and known[3]:
+        timer, requests = self._read()
+        fresh, touched = {}, {}
+        for row in rows:
+            i = row.request_id
+            request = requests.get(i)
+            if request is None:
+                request = requests[i] = fresh[i] = _Request(row.mode, row.n_segments)
+            if request.closed:
+                continue
+            if request.mode is None:
+                request.mode, request.n = row.mode, row.n_segments
+            if i in fresh and self.by_event:
+                request.until = row.at_ms if request.until is None else min(request.until, row.at_ms)
+            if 0 <= row.segment_index < request.n and row.segment_index not in request.parts:
+                request.parts[row.segment_index] = (row.text, row.label, row.label_id, row.p_left, row.p_right, row.p_center, row.error)
+                touched[i] = request
+        if not fresh and not touched:
             return
-        mode, n, seen = known[:3] if known else (None, None, 0)
-        parts = {p[0]: tuple(p[1:]) for p in self.parts.get()} if seen else {}
-        fresh, first_ms = [], None
-        for r in rows:
-            if mode is None:
-                mode, n = r.mode, r.n_segments
-            if self.by_event:
-                first_ms = r.at_ms if first_ms is None else min(first_ms, r.at_ms)
-            if 0 <= r.segment_index < n and r.segment_index not in parts:
-                parts[r.segment_index] = (r.text, r.label, r.label_id, r.p_left, r.p_right, r.p_center, r.error)
-                fresh.append(r.segment_index)
-        if known is None:
-            now = first_ms if self.by_event else timerValues.getCurrentProcessingTimeInMs()
-            self.handle.registerTimer(now + self.wait_ms)
-        done = len(parts) == n
-        if known is None or fresh:
-            self.known.update((mode, n, len(parts), done))
-        if done:
-            yield self._response(key[0], mode, n, parts)
-            if seen:
-                self.parts.clear()
-        elif fresh:
-            self.parts.appendList([(i, *parts[i]) for i in fresh])
+        now = None if self.by_event else timerValues.getCurrentProcessingTimeInMs()
+        for request in fresh.values():
+            request.until = (request.until if self.by_event else now) + self.wait_ms
+        for i, request in {**fresh, **touched}.items():
+            if len(request.parts) == request.n:
+                yield self._response(i, request.mode, request.n, request.parts)
+                request.closed, request.parts = True, {}
+        self._write(timer, requests)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not (known := self.known.get()):
-            return
-        mode, n, seen, closed = known
-        self.known.clear()
-        self.parts.clear()
-        if not closed:
-            yield Row(request_id=key[0], mode=mode, status=FAILED, error=f"{seen} of {n} segments arrived", n_segments=n, results=None)
+        """All requests of the key whose time has come; one that closed is forgotten."""
+        _, requests = self._read()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs() if self.by_event else timerValues.getCurrentProcessingTimeInMs()
+        for i, r in list(requests.items()):
+            if r.until <= fired or r.until < now:
+                del requests[i]
+                if not r.closed:
+                    yield Row(request_id=i, mode=r.mode, status=FAILED, error=f"{len(r.parts)} of {r.n} segments arrived", n_segments=r.n, results=None)
+        self._write(None, requests)
 
     def _response(self, request_id: int, mode: str, n: int, parts: dict[int, tuple]) -> Row:
         """All or nothing: the error of the first segment that has one is the request's."""
@@ -90,6 +126,6 @@ def assemble(segments: DataFrame, wait_seconds: int, event_time: str | None = No
     """
     at = F.unix_millis(F.col(event_time)) if event_time else F.lit(0).cast("long")
     named = [c.split(" ")[0] for c in SEGMENT.split(", ")]
-    rows = segments.select("request_id", "mode", "n_segments", "segment_index", *named, at.alias("at_ms"), *([event_time] if event_time else []))
+    rows = segments.select(F.pmod(F.xxhash64("request_id"), F.lit(KEYS)).alias("key"), "request_id", "mode", "n_segments", "segment_index", *named, at.alias("at_ms"), *([event_time] if event_time else []))
     mode = "EventTime" if event_time else "ProcessingTime"
-    return rows.groupBy("request_id").transformWithState(Assemble(wait_seconds * 1000, bool(event_time)), RESPONSE, "append", mode)
+    return rows.groupBy("key").transformWithState(Assemble(wait_seconds * 1000, bool(event_time)), RESPONSE, "append", mode)
